@@ -7,10 +7,14 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import AUTHOR_LINK_CLASS, REPOST_HOST, REPOST_PATTERN, REPOST_WALL_PREFIX, SKIPPED_AUTHOR
+from ..config import AUTHOR_LINK_CLASS, REPOST_HOST, REPOST_WALL_PREFIX, SKIPPED_AUTHOR
 from ..functions.text import has_text
 from ..functions.urls import netloc
 
+REPOST_MARKER = "Reposted ("
+REPOST_MARKER_RE = "Reposted \\("
+REPOST_ID_RE = 'data-post-id="([^"]*)"'
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -71,11 +75,17 @@ def drop_reposts(items: DataFrame, known_urls: DataFrame | None, pos_col: str =
     on that host, or is already in the history. Left semi/anti joins only: the reposted
     URL is an equi-join key, the own-row exclusion a residual condition."""
     host_rows = items.filter(netloc(_c(url_col)) == F.lit(REPOST_HOST))
+    # The marker pattern is '.*Reposted \(.*data-post-id="(.*?)".*' on the text with
+    # newlines as spaces: the captured id is the last data-post-id="..." after the first
+    # 'Reposted ('. It is evaluated as split + extract-all: linear in the text, where the
+    # backtracking pattern is quadratic on long texts without a marker.
     flat = F.replace(_c(text_col), F.lit("\n"), F.lit(" "))
-    pattern = "(?s)" + REPOST_PATTERN
-    reposts = (host_rows.filter(flat.rlike(pattern))
+    after = F.element_at(F.split(flat, REPOST_MARKER_RE, 2), 2)
+    ids = F.regexp_extract_all(after, F.lit(REPOST_ID_RE), 1)
+    reposts = (host_rows.withColumn("_ids", ids)
+               .filter(F.contains(flat, F.lit(REPOST_MARKER)) & (F.size("_ids") > 0))
                .select(_c(pos_col).alias("_rpos"),
-                       F.concat(F.lit(REPOST_WALL_PREFIX), F.regexp_extract(flat, pattern, 1)).alias("_target")))
+                       F.concat(F.lit(REPOST_WALL_PREFIX), F.element_at("_ids", -1)).alias("_target")))
     targets = host_rows.select(_c(pos_col).alias("_tpos"), _c(url_col).alias("_turl"))
     hit_run = reposts.join(targets, (F.col("_target") == F.col("_turl")) & (F.col("_rpos") != F.col("_tpos")),
                            "left_semi")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import queries_digest
+from . import queries_basic, queries_digest
 
 
 def _registry():
     reg = {}
-    for mod in (queries_digest,):
+    for mod in (queries_digest, queries_basic):
         reg.update(mod.QUERIES)
     return reg
 
