@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import queries_basic, queries_digest
+from . import queries_basic, queries_dates, queries_digest, queries_sources
 
 
 def _registry():
     reg = {}
-    for mod in (queries_digest, queries_basic):
+    for mod in (queries_digest, queries_basic, queries_dates, queries_sources):
         reg.update(mod.QUERIES)
     return reg
 
