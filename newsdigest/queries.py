@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import queries_basic, queries_dates, queries_digest, queries_sources
+from . import queries_basic, queries_dates, queries_digest, queries_sources, queries_stream
 
 
 def _registry():
     reg = {}
-    for mod in (queries_digest, queries_basic, queries_dates, queries_sources):
+    for mod in (queries_digest, queries_basic, queries_dates, queries_sources, queries_stream):
         reg.update(mod.QUERIES)
     return reg
 
