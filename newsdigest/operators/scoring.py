@@ -27,6 +27,17 @@ def doc_terms(df: DataFrame, id_col: str = "id", cleaned_col: str = "cleaned") -
             .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
+#: tokens a default TF-IDF vectoriser sees in raw text: runs of two or more word characters
+RAW_TOKEN = "[\\p{L}\\p{N}_]{2,}"
+
+
+def doc_terms_raw(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, term, tf) from raw text (lower-cased word runs), the v1 vectoriser input."""
+    toks = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(RAW_TOKEN), 0)
+    return (df.select(F.col(id_col).alias("id"), F.explode(toks).alias("term"))
+            .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
 def fit_idf(terms: DataFrame, n_docs: int | None = None) -> DataFrame:
     """(term, df, idf) fitted on a corpus of ``(id, term, tf)`` rows."""
     if n_docs is None:

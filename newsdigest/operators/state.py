@@ -29,13 +29,13 @@ def unsent(found: DataFrame, history: DataFrame, order_col: str = "text") -> Dat
     return rest.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def upsert(state: DataFrame, items: DataFrame, keys=("site_name", "href2"),
+def upsert(state: DataFrame | None, items: DataFrame, keys=("site_name", "href2"),
            run_col: str = "run_no", pos_col: str = "pos") -> DataFrame:
     """A2: union of the old state and the new rows, last write wins per key (largest
     ``(run_no, pos)``). ``max_by`` is a partial aggregate, so a hot key is combined
     map-side."""
     cols = [c for c in items.columns if c not in keys]
-    allrows = state.unionByName(items, allowMissingColumns=True)
+    allrows = items if state is None else state.unionByName(items, allowMissingColumns=True)
     order = F.struct(F.col(run_col), F.col(pos_col))
     agg = allrows.groupBy(*keys).agg(F.max_by(F.struct(*cols), order).alias("_last"))
     return agg.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in cols])

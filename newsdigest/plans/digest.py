@@ -93,6 +93,28 @@ def scored(distinct: DataFrame, labels: DataFrame, cfg: Config, res: TextResourc
     return probs.withColumnRenamed("id", "pos"), vectors
 
 
+def score_news_v1(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Config,
+                  history: DataFrame | None = None) -> DataFrame:
+    """M4: the first-generation scorer: raw-text TF-IDF (no cleaning), rows with a zero
+    vector dropped (F8), raw probability at or above the v1 threshold (F9), not yet sent
+    (J2), links shown undone (P10). Returns (pos, url, prob)."""
+    cands = candidates_from_documents(docs, cfg)
+    distinct = resolved_texts(ordered_candidates(cands, history), cfg)
+    distinct = cut_lineage(distinct)
+    terms = scoring.doc_terms_raw(distinct, "pos", "text")
+    idf = scoring.fit_idf(terms, distinct.count())
+    vectors = scoring.tfidf_vectors(terms, idf)
+    weights, b = scoring.fit_linear_model(terms, labels)
+    ids = scoring.nonzero_vector(distinct.select(F.col("pos").alias("id"), "url", "text"), vectors)
+    probs = scoring.lr_score(ids, vectors, weights, b)
+    found = scoring.threshold_v1(probs, cfg.threshold_v1)
+    if history is not None:
+        found = found.join(history.select("url"), "url", "left_anti")
+    w = Window.partitionBy("url").orderBy("text")
+    found = found.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
+    return found.select(F.col("id").alias("pos"), undo_messenger_link(F.col("url")).alias("url"), "prob")
+
+
 def score_news_v2(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Config,
                   res: TextResources, history: DataFrame | None = None,
                   known_urls: DataFrame | None = None):

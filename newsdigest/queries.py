@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import queries_basic, queries_dates, queries_digest, queries_sources, queries_stream
+from . import queries_basic, queries_dates, queries_digest, queries_plans, queries_sources, queries_stream
 
 
 def _registry():
     reg = {}
-    for mod in (queries_digest, queries_basic, queries_dates, queries_sources, queries_stream):
+    for mod in (queries_digest, queries_basic, queries_dates, queries_sources, queries_stream, queries_plans):
         reg.update(mod.QUERIES)
     return reg
 

@@ -37,8 +37,10 @@ def clean_sql(t: str, head_n=None) -> str:
 # shared SQL chain: candidates -> distinct texts -> cleaned -> vectors -> scores
 # ---------------------------------------------------------------------------
 
-def chain_sql(history: str | None = None) -> str:
-    """CTEs up to ``probs`` (pos, url, text, prob) and ``vec`` (id, term, df, w)."""
+def chain_sql(history: str | None = None, raw_terms: bool = False) -> str:
+    """CTEs up to ``probs`` (pos, url, text, prob) and ``vec`` (id, term, df, w).
+    ``raw_terms``: the v1 vectoriser input (word runs of the raw text, no cleaning)."""
+    raw_terms_sql = "regexp_extract_all(cleaned, '[\\p{L}\\p{N}_]{2,}')"
     hist_exists = ""
     if history:
         hist_exists = f" OR EXISTS (SELECT 1 FROM ({history}) h WHERE h.url = {O.repost_target('c.text')})"
@@ -65,10 +67,11 @@ dist AS (
   SELECT text, first(url ORDER BY rnd, cnt DESC, fp) AS url, first(pos ORDER BY rnd, cnt DESC, fp) AS pos
   FROM ordered WHERE {O.has_text('text')} GROUP BY text
 ),
-cleaned AS (SELECT pos, url, text, {clean_sql('text')} AS cleaned FROM dist),
+cleaned AS (SELECT pos, url, text, {"lower(text)" if raw_terms else clean_sql('text')} AS cleaned FROM dist),
 terms AS (
   SELECT id, term, count(*) AS tf FROM (
-    SELECT pos AS id, unnest({O.vector_terms('cleaned')}) AS term FROM cleaned) GROUP BY id, term
+    SELECT pos AS id, unnest({raw_terms_sql if raw_terms else O.vector_terms('cleaned')}) AS term FROM cleaned)
+  GROUP BY id, term
 ),
 ndocs AS (SELECT count(*) AS n FROM cleaned),
 idf AS (
