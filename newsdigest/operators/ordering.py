@@ -36,6 +36,25 @@ def global_row_number(df: DataFrame, order_by: list, name: str = "rn") -> DataFr
     return out
 
 
+def rank_within_group(df: DataFrame, group_col: str, order_cols: list, name: str = "rank") -> DataFrame:
+    """1-based rank of each row inside its group in ``order_cols`` order (a total order
+    inside the group), without a window partitioned by the group: a range sort on
+    (group, order) splits a group that holds a third of all rows over many partitions;
+    each partition is counted per group (one small row per partition and group), and
+    the offsets of earlier partitions of the same group are joined back."""
+    tagged = (df.orderBy(F.col(group_col), *order_cols)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = cut_lineage(tagged)
+    # one row per (partition, group): bounded by #partitions + #groups
+    pieces = tagged.groupBy("_pid", group_col).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    w = Window.partitionBy(group_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select("_pid", group_col, "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return (tagged.join(offsets, ["_pid", group_col])
+            .withColumn(name, F.col("_off") + (F.col("_mid") - F.col("_m0")) + 1)
+            .drop("_pid", "_mid", "_m0", "_off"))
+
+
 def netloc_of(url) -> Column:
     from ..functions.urls import netloc
     return netloc(url)
@@ -54,17 +73,14 @@ def interleave_domains(items: DataFrame, url_col: str = "url", pos_col: str = "p
     """Round-robin over hosts. Hosts are ranked by item count (desc), ties by first
     appearance; round ``r`` takes the ``r``-th item of every host that still has one.
 
-    The rank inside a host is a window partitioned by host (co-located, no global
-    window). The host ranking needs one row per host, joined back. The output key is
-    ``(round, host_rank)``; ``order_key`` packs it for a single sort column.
-
-    A host holding a third of all rows is one window partition; the work in it is a
-    sort of that host's rows, which Spark spills."""
+    The rank inside a host comes from :func:`rank_within_group` (a host holding a third
+    of all rows is split over many partitions, not one window partition). The host
+    counts are a partial aggregate, one row per host, joined back. The output key is
+    ``(round, -count, first position)``."""
     with_host = items.withColumn("netloc", netloc_of(F.col(url_col)))
     hosts = (with_host.groupBy("netloc")
              .agg(F.count(F.lit(1)).alias("_cnt"), F.min(pos_col).alias("_first")))
-    ranked = with_host.withColumn(
-        "round", F.row_number().over(Window.partitionBy("netloc").orderBy(pos_col)))
+    ranked = rank_within_group(with_host, "netloc", [F.col(pos_col)], "round")
     out = ranked.join(hosts, "netloc")
     return (out.withColumn("host_order", F.struct(F.col("round"), (-F.col("_cnt")).alias("c"),
                                                   F.col("_first").alias("f")))

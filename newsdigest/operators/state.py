@@ -25,8 +25,11 @@ def unsent(found: DataFrame, history: DataFrame, order_col: str = "text") -> Dat
     """Drop URLs already in today's history, then a URL is kept once (first by
     ``order_col``). The window is partitioned by URL: co-located with the anti join."""
     rest = found.join(history.select("url").distinct(), "url", "left_anti")
-    w = Window.partitionBy("url").orderBy(order_col)
-    return rest.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    # first wins as a partial aggregate (a URL repeated in a third of all rows is
+    # combined map-side), not a window partitioned by URL
+    cols = [c for c in rest.columns if c != "url"]
+    first = rest.groupBy("url").agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("_f"))
+    return first.select("url", *[F.col(f"_f.{c}").alias(c) for c in cols])
 
 
 def upsert(state: DataFrame | None, items: DataFrame, keys=("site_name", "href2"),
@@ -58,10 +61,11 @@ def report_rows(sites: DataFrame, state: DataFrame) -> DataFrame:
     'nothing found' row for a site without items. Returns (site_pos, site_name, row_no,
     date, title, href2, cell_html) where row_no orders items inside a site; the sort is
     per site (window partitioned by site), never global."""
-    j = sites.select("site_pos", "site_name").join(
-        state.select("site_name", "href2", "date", "title"), "site_name", "left")
-    w = Window.partitionBy("site_name").orderBy(F.col("href2").asc_nulls_first())
-    row = F.when(F.col("href2").isNull(), F.lit(0)).otherwise(F.row_number().over(w))
+    from .ordering import rank_within_group
+    items = rank_within_group(state.select("site_name", "href2", "date", "title"), "site_name",
+                              [F.col("href2")], "row_no")
+    j = sites.select("site_pos", "site_name").join(items, "site_name", "left")
+    row = F.coalesce(F.col("row_no"), F.lit(0))
     cell = F.when(
         F.col("href2").isNull(),
         F.lit(f"<th>{REPORT_NOTHING_FOUND}</th><th></th></tr>"),

@@ -22,7 +22,7 @@ from ..config import (DIGEST_GROUPS_HEADER, DIGEST_SEPARATOR, DIGEST_SINGLES_HEA
                       LATIN_ENTITIES, LATIN_LEMMAS, LATIN_STOPWORDS, latin_config)
 from ..functions import text as T
 from ..functions.urls import fix_messenger_link, undo_messenger_link
-from ..operators import dedup, filters, ordering, scoring
+from ..operators import dedup, filters, ordering, scoring, state
 from ..session import cut_lineage
 
 
@@ -108,10 +108,8 @@ def score_news_v1(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg:
     ids = scoring.nonzero_vector(distinct.select(F.col("pos").alias("id"), "url", "text"), vectors)
     probs = scoring.lr_score(ids, vectors, weights, b)
     found = scoring.threshold_v1(probs, cfg.threshold_v1)
-    if history is not None:
-        found = found.join(history.select("url"), "url", "left_anti")
-    w = Window.partitionBy("url").orderBy("text")
-    found = found.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
+    hist = history if history is not None else found.sparkSession.createDataFrame([], "url string")
+    found = state.unsent(found, hist, "text")
     return found.select(F.col("id").alias("pos"), undo_messenger_link(F.col("url")).alias("url"), "prob")
 
 
@@ -126,11 +124,9 @@ def score_news_v2(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg:
     probs, vectors = scored(distinct, labels, cfg, res)
     found = (scoring.threshold_v2(probs, cfg.threshold_v2)
              .withColumn("prob", scoring.round_prob("prob")))
-    if history is not None:
-        found = found.join(history.select("url"), "url", "left_anti")
-    # A URL is reported once; the first text in text order wins
-    w = F.row_number().over(Window.partitionBy("url").orderBy("text"))
-    found = found.withColumn("_rn", w).filter(F.col("_rn") == 1).drop("_rn")
+    # Not in today's history; a URL is reported once, the first text in text order wins
+    hist = history if history is not None else found.sparkSession.createDataFrame([], "url string")
+    found = state.unsent(found, hist, "text")
     return found, vectors
 
 

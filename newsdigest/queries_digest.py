@@ -18,7 +18,7 @@ RES = D.latin_resources()
 
 
 def _docs(spark, sf):
-    return read_table(spark, sf, "documents")
+    return read_table(spark, sf, "documents", spread_rows=True)
 
 
 def _labels(spark, sf):

@@ -21,7 +21,7 @@ INGEST_KEYWORDS = filters.normalise_words(["The", " ble "])
 
 
 def _t(spark, sf, name):
-    return read_table(spark, sf, name)
+    return read_table(spark, sf, name, spread_rows=name in ("documents", "pages"))
 
 
 # --- M4 -------------------------------------------------------------------------------

@@ -22,7 +22,7 @@ RULES = [
 
 
 def _t(spark, sf, name):
-    return read_table(spark, sf, name)
+    return read_table(spark, sf, name, spread_rows=name in ("documents", "pages"))
 
 
 def _suffixes(spark):

@@ -19,6 +19,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = (
         SparkSession.builder.master(master).appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -56,8 +57,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spread_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over the cluster's cores before CPU-heavy per-row work (text cleaning,
+    HTML parsing) when the scan yields fewer partitions than cores (a file with one row
+    group is one task). On a large input the scan already has enough partitions and this
+    is a no-op, so no shuffle is added there."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(cores) if n < cores else df
 
 
 def register_tables(spark: SparkSession, sf_dir: str) -> None:
