@@ -64,9 +64,11 @@ def candidates_from_documents(docs: DataFrame, cfg: Config) -> DataFrame:
 def ordered_candidates(cands: DataFrame, known_urls: DataFrame | None) -> DataFrame:
     """F11 then W1: reposts dropped, then each row gets its interleave order key."""
     kept = filters.drop_reposts(cands, known_urls)
-    inter = ordering.interleave_domains(kept)
-    return inter.withColumn("order", F.struct(F.col("round"), F.col("host_order.c"), F.col("host_order.f"))) \
-        .drop("host_order", "netloc", "round")
+    # the order key is computed on a narrow projection (no text is sorted or shuffled
+    # by host) and joined back on pos
+    keys = (ordering.interleave_domains(kept.select("pos", "url"))
+            .select("pos", F.struct(F.col("round"), F.col("host_order.c"), F.col("host_order.f")).alias("order")))
+    return kept.join(keys, "pos")
 
 
 def resolved_texts(ordered: DataFrame, cfg: Config) -> DataFrame:
@@ -89,7 +91,7 @@ def scored(distinct: DataFrame, labels: DataFrame, cfg: Config, res: TextResourc
     idf = scoring.fit_idf(terms, cleaned.count())
     vectors = cut_lineage(scoring.tfidf_vectors(terms, idf))
     weights, b = scoring.fit_linear_model(terms, labels)
-    probs = scoring.lr_score(cleaned.select(F.col("pos").alias("id"), "url", "text"), vectors, weights, b)
+    probs = scoring.lr_score(cleaned.select(F.col("pos").alias("id"), "url", "text", "cleaned"), vectors, weights, b)
     return probs.withColumnRenamed("id", "pos"), vectors
 
 
@@ -134,16 +136,37 @@ def digest_rows(found: DataFrame, vectors: DataFrame, cfg: Config) -> DataFrame:
     """From found rows to digest lines: text-order index, pairs, leaders, groups, lines.
     Returns (line_no, line)."""
     indexed = ordering.global_row_number(found, [F.col("text")], "idx")
-    ids = indexed.select(F.col("pos").alias("id"), "idx")
-    vec = vectors.join(ids, "id").select(F.col("idx").alias("id"), "term", "df", "w")
-    pairs = dedup.cosine_pairs(vec, cfg.ksim)
-    zero = indexed.join(vec.select(F.col("id").alias("idx")).distinct(), "idx", "left_anti").select("idx")
-    leaders = dedup.assign_leaders(indexed.select("idx"), pairs, zero, cfg.zero_vectors_one_group)
+    leaders = text_order_leaders(indexed, vectors, cfg)
     members = indexed.join(leaders, "idx").select("idx", "leader", "prob", "url")
     groups = dedup.dup_groups(members)
     return digest_lines(members, groups)
 
 
+def text_order_leaders(indexed: DataFrame, vectors: DataFrame, cfg: Config) -> DataFrame:
+    """A5 over the found rows in text order: (idx, leader).
+
+    Rows with equal cleaned text (equal, non-zero vectors) are collapsed to the
+    smallest index first: such a row always gets the same leader as that
+    representative, so only representatives enter the pair join and the rounds; a hot
+    group of copies that survive exact-text dedup costs one representative, not a
+    quadratic number of pairs. Zero vectors never match anything and stay singletons
+    (or share id -1 with ``zero_vectors_one_group``)."""
+    ids = indexed.select(F.col("pos").alias("id"), "idx", "cleaned")
+    nonzero = vectors.select("id").distinct()
+    nz = ids.join(nonzero, "id", "left_semi")
+    reps = nz.groupBy("cleaned").agg(F.min("idx").alias("rep"))
+    rep_of = nz.join(reps, "cleaned").select("idx", "rep")
+    rep_ids = reps.select(F.col("rep").alias("idx"))
+    vec = (vectors.join(nz.select("id", "idx"), "id").join(rep_ids, "idx", "left_semi")
+           .select(F.col("idx").alias("id"), "term", "df", "w"))
+    pairs = dedup.cosine_pairs(vec, cfg.ksim)
+    rep_leaders = dedup.assign_leaders(rep_ids, pairs)
+    lead_nz = rep_of.join(rep_leaders.withColumnRenamed("idx", "rep"), "rep").select("idx", "leader")
+    zero = indexed.select("idx").join(rep_of.select("idx"), "idx", "left_anti")
+    zero_leader = F.lit(-1).cast("long") if cfg.zero_vectors_one_group else F.col("idx")
+    return lead_nz.unionByName(zero.select("idx", zero_leader.alias("leader")))
+
+
 def digest_lines(members: DataFrame, groups: DataFrame) -> DataFrame:
     """K3: singles header, one ``%.3f url`` line per single group (groups by max prob
     desc, then leader), groups header, a dashed separator before each multi group and

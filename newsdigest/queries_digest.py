@@ -180,10 +180,7 @@ def sql_score_news_v2():
 def q_leader_clusters(spark, sf):
     found, vectors = _found_and_vectors(spark, sf)
     indexed = ordering.global_row_number(found, [F.col("text")], "idx")
-    ids = indexed.select(F.col("pos").alias("id"), "idx")
-    vec = vectors.join(ids, "id").select(F.col("idx").alias("id"), "term", "df", "w")
-    pairs = dedup.cosine_pairs(vec, CFG.ksim)
-    lead = dedup.assign_leaders(indexed.select("idx"), pairs)
+    lead = D.text_order_leaders(indexed, vectors, CFG)
     return lead.join(indexed.select("idx", "pos"), "idx").select("pos", "idx", "leader")
 
 
