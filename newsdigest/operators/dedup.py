@@ -31,9 +31,11 @@ def distinct_texts(df: DataFrame, text_col: str = "text", url_col: str = "url",
 
 
 def prefix_terms(vectors: DataFrame, ksim: float) -> DataFrame:
-    """The indexed prefix of every vector (id, term). The rest-of-vector norm comes
-    from a running sum (one pass per document), not an unbounded-following frame;
-    terms in one document only are never indexed (they cannot be shared)."""
+    """The indexed prefix of every vector: (id, term, w, k, rest) where ``k`` is the
+    term's position in the global order and ``rest`` the norm of the vector strictly
+    after it. The rest-of-vector norm comes from a running sum (one pass per document),
+    not an unbounded-following frame; terms in one document only are never indexed
+    (they cannot be shared)."""
     w = Window.partitionBy("id")
     run = Window.partitionBy("id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
     sq = F.col("w") * F.col("w")
@@ -41,23 +43,36 @@ def prefix_terms(vectors: DataFrame, ksim: float) -> DataFrame:
             .withColumn("_run", F.sum(sq).over(run))
             .withColumn("_rest", F.col("_tot") - F.col("_run") + sq)
             .filter((F.col("_rest") > F.lit(ksim * ksim - _EPS)) & (F.col("df") > 1))
-            .select("id", "term"))
+            .select("id", "term", "w", F.struct("df", "term").alias("k"),
+                    F.sqrt(F.greatest(F.col("_tot") - F.col("_run"), F.lit(0.0))).alias("rest")))
 
 
 def cosine_pairs(vectors: DataFrame, ksim: float) -> DataFrame:
     """All pairs ``a < b`` with ``cos(a, b) > ksim`` -> (a, b, cos).
 
-    ``vectors``: (id, term, df, w), unit-norm per id, ``df`` a global term order."""
+    ``vectors``: (id, term, df, w), unit-norm per id, ``df`` a global term order.
+
+    Candidates come from the prefix join. Every shared term up to the last shared
+    prefix term ``t*`` is in both prefixes, so the join yields the exact partial dot
+    product ``S`` over them; the rest is at most ``rest_a(t*) * rest_b(t*)``
+    (Cauchy-Schwarz). Candidates with ``S + rest_a * rest_b <= ksim`` are pruned, those
+    whose remainder bound is zero are exact, and only the others are verified with the
+    full dot product."""
     pref = prefix_terms(vectors, ksim)
-    cand = (pref.alias("p").join(pref.alias("q"), "term")
-            .where(F.col("p.id") < F.col("q.id"))
-            .select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-            .distinct())
+    p = pref.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"), "k", F.col("rest").alias("ra"))
+    q = pref.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"), F.col("rest").alias("rb"))
+    cand = (p.join(q, "term").where(F.col("a") < F.col("b"))
+            .groupBy("a", "b")
+            .agg(F.sum(F.col("wa") * F.col("wb")).alias("s"),
+                 F.max_by(F.col("ra") * F.col("rb"), F.col("k")).alias("tail")))
+    cand = cand.filter(F.col("s") + F.col("tail") > F.lit(ksim - _EPS))
+    exact = cand.filter(F.col("tail") <= F.lit(0.0)).select("a", "b", F.col("s").alias("cos"))
+    open_ = cand.filter(F.col("tail") > F.lit(0.0)).select("a", "b")
     va = vectors.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
     vb = vectors.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
-    dots = (cand.join(va, "a").join(vb, ["b", "term"])
+    dots = (open_.join(va, "a").join(vb, ["b", "term"])
             .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos")))
-    return dots.filter(F.col("cos") > F.lit(ksim))
+    return exact.unionByName(dots).filter(F.col("cos") > F.lit(ksim))
 
 
 def leader_clusters(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
