@@ -177,11 +177,16 @@ def sql_score_news_v2():
     return f"WITH {chain_sql()},\n{found_sql()}\nSELECT pos, url, prob FROM found"
 
 
-def q_leader_clusters(spark, sf):
+def _leaders(spark, sf):
+    """(pos, idx, leader, prob) of the found rows (computed once per query)."""
     found, vectors = _found_and_vectors(spark, sf)
     indexed = ordering.global_row_number(found, [F.col("text")], "idx")
     lead = D.text_order_leaders(indexed, vectors, CFG)
-    return lead.join(indexed.select("idx", "pos"), "idx").select("pos", "idx", "leader")
+    return lead.join(indexed.select("idx", "pos", "prob"), "idx")
+
+
+def q_leader_clusters(spark, sf):
+    return _leaders(spark, sf).select("pos", "idx", "leader")
 
 
 def sql_leader_clusters():
@@ -192,10 +197,8 @@ SELECT i.pos, m.idx, m.leader FROM members m JOIN idx i USING (idx)"""
 
 
 def q_dup_groups(spark, sf):
-    lc = q_leader_clusters(spark, sf)
-    found, _ = _found_and_vectors(spark, sf)
-    members = lc.join(found.select("pos", "prob"), "pos")
-    g = dedup.dup_groups(members)
+    lc = _leaders(spark, sf)
+    g = dedup.dup_groups(lc.select("idx", "leader", "prob"))
     return g.join(lc.select(F.col("idx").alias("leader"), F.col("pos").alias("leader_pos")), "leader") \
         .select("leader_pos", "max_prob", "n_members", "is_single")
 
@@ -207,9 +210,18 @@ def sql_dup_groups():
 SELECT i.pos AS leader_pos, g.max_prob, g.n_members, g.is_single FROM groups g JOIN idx i ON i.idx = g.leader"""
 
 
+def q_dup_split(spark, sf):
+    """A4: each duplicate group goes to the singles or the groups section."""
+    g = q_dup_groups(spark, sf)
+    return g.select("leader_pos", F.when(F.col("is_single"), F.lit("single")).otherwise(F.lit("multi")).alias("section"))
+
+
+def sql_dup_split():
+    return f"""SELECT leader_pos, CASE WHEN is_single THEN 'single' ELSE 'multi' END AS section FROM ({sql_dup_groups()})"""
+
+
 def q_dup_stats(spark, sf):
-    lc = q_leader_clusters(spark, sf)
-    return dedup.dup_stats(lc)
+    return dedup.dup_stats(_leaders(spark, sf))
 
 
 def sql_dup_stats():
@@ -490,7 +502,7 @@ QUERIES = {
     "score_news_v2": (q_score_news_v2, sql_score_news_v2),
     "leader_clusters": (q_leader_clusters, sql_leader_clusters),
     "dup_groups": (q_dup_groups, sql_dup_groups),
-    "dup_split": (q_dup_groups, sql_dup_groups),
+    "dup_split": (q_dup_split, sql_dup_split),
     "dup_stats": (q_dup_stats, sql_dup_stats),
     "cosine_pairs": (q_cosine_pairs, sql_cosine_pairs),
     "lr_score": (q_lr_score, sql_lr_score),
