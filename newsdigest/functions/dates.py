@@ -124,6 +124,21 @@ def _residue_parser(run_ts: _dt.datetime, dayfirst: bool):
     return parse_residue
 
 
+def with_day(df, src_col: str, out_col: str, cfg: Config, residue: bool = True):
+    """P7 as a DataFrame step: the normalised string is projected once (it feeds about
+    twenty regex extractions; keeping it a separate projection keeps the generated code
+    of the cascade small enough to compile)."""
+    nx = "_nx_" + out_col
+    x = df.withColumn(nx, normalise(F.col(src_col), cfg))
+    day, handled = cascade_day(F.col(nx), cfg)
+    parts = [day]
+    if residue:
+        udf = _residue_parser(cfg.run_ts, cfg.dayfirst)
+        parts.append(udf(F.when(~handled, F.col(nx))))
+    parts.append(F.lit(cfg.run_day))
+    return x.withColumn(out_col, F.coalesce(*parts)).drop(nx)
+
+
 def parse_day(s, cfg: Config, residue: bool = True) -> Column:
     """The calendar day of a free-form date string; the run day when it cannot be
     parsed (so undated items count as today, Q2)."""

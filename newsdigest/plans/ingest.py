@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.dates import parse_day
+from ..functions.dates import with_day
 from ..functions.text import has_text, strip_boilerplate, text_fallback
 from ..functions.urls import netloc, origin, resolve_link
 from ..operators import filters, state
@@ -32,7 +32,7 @@ def listing_items(pages: DataFrame, dates: DataFrame | None, cfg: Config, keywor
         x = x.join(dates, "page_id", "left")
     else:
         x = x.withColumn("date_str", F.lit(""))
-    x = x.withColumn("day", parse_day(F.coalesce(F.col("date_str"), F.lit("")), cfg))
+    x = with_day(x.withColumn("date_str", F.coalesce(F.col("date_str"), F.lit(""))), "date_str", "day", cfg)
     x = filters.today_filter(x, cfg.run_day)
     x = filters.keyword_filter(x, keywords, "title", "text", cfg.filter_by_keywords)
     return x.select("site_name",

@@ -91,7 +91,7 @@ END, DATE '{run}')"""
 
 def q_parse_date(spark, sf):
     s = date_strings(spark, sf)
-    return s.select("event_id", "date_str", D.parse_day(F.col("date_str"), CFG).alias("day"))
+    return D.with_day(s, "date_str", "day", CFG).select("event_id", "date_str", "day")
 
 
 def sql_parse_date():
