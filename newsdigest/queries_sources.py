@@ -36,6 +36,8 @@ def _rules(spark):
 # --- SQL helpers for regular markup ----------------------------------------------
 
 def _unescape_sql(x: str) -> str:
+    # '&amp' without a semicolon (a truncated title) decodes too, before the full forms
+    x = f"regexp_replace({x}, '&amp([^;]|$)', '&\\1', 'g')"
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = f"replace({x}, {O.q(a)}, {O.q(b)})"
     return x

@@ -54,7 +54,9 @@ def extract_listing(pages: DataFrame, main_tag: str, main_attrs: dict | None, ti
 # --- built-in regex extraction for regular markup ---------------------------------
 
 def unescape(c: Column) -> Column:
-    """The entities found in the fixture markup (``&amp;`` last)."""
+    """The entities found in the fixture markup (``&amp;`` last; a truncated ``&amp``
+    without its semicolon decodes first, as an HTML parser does)."""
+    c = F.regexp_replace(c, "&amp([^;]|$)", "&$1")
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
