@@ -54,11 +54,17 @@ def normalise(s, cfg: Config) -> Column:
     return F.regexp_replace(x, "^\\s+|\\s+$", "")
 
 
+_ABBR_STRING = "".join(MONTHS_ABBR)
+_FULL_STRING = "|" + "|".join(MONTHS) + "|"
+
+
 def _month_no(name: Column) -> Column:
-    full = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name)
-    abbr = F.array_position(F.array(*[F.lit(m) for m in MONTHS_ABBR]), name)
-    n = F.when(full > 0, full).when(abbr > 0, abbr)
-    return n.cast("int")
+    """Month number of a full English month name or its three-letter abbreviation,
+    else null (string lookups keep the generated code small)."""
+    pos = F.instr(F.lit(_ABBR_STRING), F.substring(name, 1, 3))
+    is_name = ((F.length(name) == 3) | (F.instr(F.lit(_FULL_STRING), F.concat(F.lit("|"), name, F.lit("|"))) > 0))
+    ok = is_name & (pos > 0) & (((pos - 1) % 3) == 0)
+    return F.when(ok, ((pos - 1) / 3 + 1).cast("int"))
 
 
 def _ymd(y: Column, m: Column, d: Column) -> Column:

@@ -14,7 +14,7 @@ from . import html as H
 RULE_DIV = "array<struct<tag: string, attrs: map<string, string>>>"
 RULES_SCHEMA = (f"netloc string, divs {RULE_DIV}, drop_divs {RULE_DIV}, collect_all boolean, "
                 "sub_p boolean, ignore_header boolean, attr_from_path string")
-ARTICLE_OUT = "page_id long, text string, skipped boolean"
+ARTICLE_OUT = "page_id long, url string, canonical string, has_rule boolean, text string, skipped boolean"
 LISTING_OUT = "page_id long, item_no int, title string, text string, href string, href2 string"
 
 
@@ -26,8 +26,9 @@ def extract_articles(pages: DataFrame, rules: DataFrame, suffixes: DataFrame) ->
     routed = domains.route_rules(c, rules).withColumn("path", url_path(F.col("url")))
     cols = ["page_id", "url", "html", "canonical", "has_rule", "divs", "drop_divs", "collect_all", "sub_p",
             "ignore_header", "path", "attr_from_path"]
-    out = routed.select(*cols).mapInPandas(H.map_articles, ARTICLE_OUT)
-    return out.join(routed.select("page_id", "url", "canonical", "has_rule"), "page_id")
+    # the routing columns ride through the Python job, so the routed pages are not
+    # recomputed for a join back
+    return routed.select(*cols).mapInPandas(H.map_articles, ARTICLE_OUT)
 
 
 def _map_listing(main_tag, main_attrs, title_tag, href_tag, text_tag):

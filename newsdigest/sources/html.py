@@ -7,7 +7,7 @@ after (rule routing, filters, dedup, joins) stays in DataFrame operators, and ru
 arrive as columns of a broadcast join, so a task needs no side input.
 
 Regular markup (the driver's pages) is also covered by built-in regex expressions in
-:mod:`newsdigest.sources.markup`; both paths are checked against SQL.
+:mod:`newsdigest.sources.extract`; both paths are checked against SQL.
 """
 
 from __future__ import annotations
@@ -279,7 +279,9 @@ def map_articles(batches):
             else:
                 texts.append(generic_article(html))
             skipped.append(False)
-        yield pd.DataFrame({"page_id": pdf["page_id"].values, "text": texts, "skipped": skipped})
+        yield pd.DataFrame({"page_id": pdf["page_id"].values, "url": pdf["url"].values,
+                            "canonical": pdf["canonical"].values, "has_rule": pdf["has_rule"].values,
+                            "text": texts, "skipped": skipped})
 
 
 def _as_list(v):
