@@ -85,10 +85,10 @@ def leader_clusters(pairs: DataFrame, max_rounds: int | None = None) -> DataFram
     decides at least the smallest undecided node; edges into decided nodes and out of
     followers are dropped, so the graph shrinks. Lineage is cut by a reliable checkpoint
     every round. Returns (id, leader)."""
-    edges = pairs.select("a", "b")
+    # the pair join runs once: edges are materialised first, nodes derive from them
+    edges = cut_lineage(pairs.select("a", "b"))
     nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
     state = cut_lineage(nodes.withColumn("leader", F.lit(None).cast("long")))
-    edges = cut_lineage(edges)
     rounds = 0
     while True:
         rounds += 1

@@ -128,7 +128,8 @@ def score_news_v2(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg:
              .withColumn("prob", scoring.round_prob("prob")))
     # Not in today's history; a URL is reported once, the first text in text order wins
     hist = history if history is not None else found.sparkSession.createDataFrame([], "url string")
-    found = state.unsent(found, hist, "text")
+    # materialised once: the text-order numbering reads it twice (sample, then sort)
+    found = cut_lineage(state.unsent(found, hist, "text"))
     return found, vectors
 
 
