@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import ARCHIVE_PREFIX, MESSENGER_FIX, MESSENGER_HOST, SOURCE_LABEL
+from ..config import MESSENGER_FIX, MESSENGER_HOST, SOURCE_LABEL
 
 # scheme "://" authority: the authority runs to the first '/', '?' or '#'
 _AUTHORITY = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"

@@ -7,9 +7,7 @@ implementation, only the parameters.
 
 from __future__ import annotations
 
-from .config import (ARCHIVE_PREFIX, DIGEST_GROUPS_HEADER, DIGEST_SEPARATOR, DIGEST_SINGLES_HEADER,
-                     MESSENGER_FIX, MESSENGER_HOST, REPOST_HOST, REPOST_PATTERN, REPOST_WALL_PREFIX,
-                     SOURCE_LABEL, Config)
+from .config import MESSENGER_FIX, MESSENGER_HOST, REPOST_PATTERN, REPOST_WALL_PREFIX, SOURCE_LABEL, Config
 
 
 def q(s: str) -> str:
