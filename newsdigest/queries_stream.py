@@ -62,8 +62,7 @@ FROM events WHERE CAST(ts AS DATE) = DATE '{CFG.run_day}'"""
 
 def q_stream_daily_counts(spark, sf):
     out = ST.stream_dir(spark, "daily")
-    s = ST.daily_counts(_events(spark, sf), "event_type").select(
-        F.to_date(F.col("window.start")).alias("day"), "event_type", "n_events")
+    s = ST.daily_counts(_events(spark, sf), "event_type").select("day", "event_type", "n_events")
 
     def overwrite(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/data")

@@ -67,8 +67,11 @@ def spread(df: DataFrame) -> DataFrame:
     HTML parsing) when the scan yields fewer partitions than cores (a file with one row
     group is one task). On a large input the scan already has enough partitions and this
     is a no-op, so no shuffle is added there."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. a remote session): leave the plan as is
+        return df
     return df.repartition(cores) if n < cores else df
 
 

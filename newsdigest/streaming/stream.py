@@ -37,9 +37,11 @@ def event_stream(spark: SparkSession, sf_dir: str, table: str = "events",
 
 
 def with_event_time(df: DataFrame, ts_col: str = "ts") -> DataFrame:
-    """``events.ts`` is TIMESTAMP_NTZ; watermarks need TIMESTAMP."""
-    return df.withColumn("event_time", F.col(ts_col).cast("timestamp")).withColumn(
-        "day", F.to_date(F.col(ts_col)))
+    """``events.ts`` is TIMESTAMP_NTZ (wall clock); watermarks need TIMESTAMP. The wall
+    clock is read as UTC explicitly, so event times, 1-day windows and days do not
+    depend on the session time zone."""
+    return (df.withColumn("event_time", F.concat(F.col(ts_col).cast("string"), F.lit("Z")).cast("timestamp"))
+            .withColumn("day", F.to_date(F.col(ts_col))))
 
 
 def run_available(query_builder, out: str, fmt: str = "parquet"):
@@ -68,7 +70,7 @@ def daily_counts(stream: DataFrame, group_col: str, watermark: str = "1 day") ->
     """ST4: per day (tumbling 1-day window) and group, the number of events."""
     return (stream.withWatermark("event_time", watermark)
             .groupBy(F.window("event_time", "1 day"), F.col(group_col))
-            .agg(F.count(F.lit(1)).alias("n_events")))
+            .agg(F.count(F.lit(1)).alias("n_events"), F.min("day").alias("day")))
 
 
 def upsert_batches(state_path: str, keys, run_col: str, pos_col: str):

@@ -51,3 +51,16 @@ def test_seen_keys_and_upsert_across_batches(spark):
         k = (r["d"], r["event_type"], f"https://u{r['user_id']}/")
         exp[k] = max(exp.get(k, -1), r["event_id"])
     assert st == exp
+
+
+def test_daily_counts_independent_of_session_time_zone(spark):
+    from newsdigest import queries_stream as QS
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        got = {(r["day"], r["event_type"]): r["n_events"] for r in QS.q_stream_daily_counts(spark, SF).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    want = {(r[0], r[1]): r[2] for r in ev.groupBy(F.to_date("ts"), "event_type").count().collect()}
+    assert got == want
