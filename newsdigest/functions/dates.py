@@ -76,35 +76,49 @@ def _g(x: Column, pat: str, i: int) -> Column:
     return F.regexp_extract(x, pat, i)
 
 
-def cascade_day(x: Column, cfg: Config) -> tuple[Column, Column]:
-    """(day or null, handled flag) from the normalised string ``x``."""
+# shapes of the normalised string: letter runs -> 'a', each digit -> 'd'
+TIME_SHAPE = "^dd?:dd(:dd)?$"
+DOTTED_SHAPE = "^dd?\\.dd?\\.dddd$"
+DMY_SHAPE = "^dd? a,? dddd$"
+MDY_SHAPE = "^a dd?,? dddd$"
+DM_SHAPE = "^dd? a$"
+MY_SHAPE = "^a dddd$"
+
+
+def shape_of(x: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(x, "[a-z]+", "a"), "[0-9]", "d")
+
+
+def cascade_day(x: Column, cfg: Config, shape: Column | None = None, nums: Column | None = None,
+                words: Column | None = None) -> tuple[Column, Column]:
+    """(day or null, handled flag) from the normalised string ``x``. The string is
+    reduced once to its shape, its digit runs and its letter runs; each case is a match
+    on the short shape plus array lookups (ISO keeps its own prefix regex)."""
     run = cfg.run_day
-    ry, rm, rd = F.lit(run.year), F.lit(run.month), F.lit(run.day)
+    ry, rd = F.lit(run.year), F.lit(run.day)
+    shape = shape if shape is not None else shape_of(x)
+    nums = nums if nums is not None else F.regexp_extract_all(x, F.lit("[0-9]+"), 0)
+    words = words if words is not None else F.regexp_extract_all(x, F.lit("[a-z]+"), 0)
+    n1, n2, n3 = (F.try_element_at(nums, F.lit(i)) for i in (1, 2, 3))
+    mon = _month_no(F.try_element_at(words, F.lit(1)))
 
     iso = _ymd(_g(x, ISO_RE, 1), _g(x, ISO_RE, 2), _g(x, ISO_RE, 3))
-    a, b, y = (_g(x, DOTTED_RE, i).cast("int") for i in (1, 2, 3))
+    a, b, y = n1.cast("int"), n2.cast("int"), n3
     if cfg.dayfirst:
         dotted = F.when(b > 12, _ymd(y, a, b)).otherwise(_ymd(y, b, a))
     else:
         # Q3: month first unless the first number cannot be a month
         dotted = F.when(a > 12, _ymd(y, b, a)).otherwise(_ymd(y, a, b))
-    dmy = _ymd(_g(x, DMY_RE, 3), _month_no(_g(x, DMY_RE, 2)), _g(x, DMY_RE, 1))
-    mdy = _ymd(_g(x, MDY_RE, 3), _month_no(_g(x, MDY_RE, 1)), _g(x, MDY_RE, 2))
-    dm = _ymd(ry, _month_no(_g(x, DM_RE, 2)), _g(x, DM_RE, 1))
-    my_m = _month_no(_g(x, MY_RE, 1))
-    my_y = _g(x, MY_RE, 2).cast("int")
-    first = _ymd(my_y, my_m, F.lit(1))
-    my = F.date_add(first, F.least(rd, F.dayofmonth(F.last_day(first))) - 1)
-
+    first = _ymd(n1, mon, F.lit(1))
     cases = [
         (x == F.lit(""), F.lit(run)),
-        (x.rlike(TIME_RE), F.lit(run)),
+        (shape.rlike(TIME_SHAPE), F.lit(run)),
         (x.rlike(ISO_RE), iso),
-        (x.rlike(DOTTED_RE), dotted),
-        (x.rlike(DMY_RE) & _month_no(_g(x, DMY_RE, 2)).isNotNull(), dmy),
-        (x.rlike(MDY_RE) & _month_no(_g(x, MDY_RE, 1)).isNotNull(), mdy),
-        (x.rlike(DM_RE) & _month_no(_g(x, DM_RE, 2)).isNotNull(), dm),
-        (x.rlike(MY_RE) & _month_no(_g(x, MY_RE, 1)).isNotNull(), my),
+        (shape.rlike(DOTTED_SHAPE), dotted),
+        (shape.rlike(DMY_SHAPE) & mon.isNotNull(), _ymd(n2, mon, n1)),
+        (shape.rlike(MDY_SHAPE) & mon.isNotNull(), _ymd(n2, mon, n1)),
+        (shape.rlike(DM_SHAPE) & mon.isNotNull(), _ymd(ry, mon, n1)),
+        (shape.rlike(MY_SHAPE) & mon.isNotNull(), F.date_add(first, F.least(rd, F.dayofmonth(F.last_day(first))) - 1)),
     ]
     expr = None
     handled = F.lit(False)
@@ -134,15 +148,18 @@ def with_day(df, src_col: str, out_col: str, cfg: Config, residue: bool = True):
     """P7 as a DataFrame step: the normalised string is projected once (it feeds about
     twenty regex extractions; keeping it a separate projection keeps the generated code
     of the cascade small enough to compile)."""
-    nx = "_nx_" + out_col
+    nx, sh, nu, wo = (f"_{k}_{out_col}" for k in ("nx", "shape", "nums", "words"))
     x = df.withColumn(nx, normalise(F.col(src_col), cfg))
-    day, handled = cascade_day(F.col(nx), cfg)
+    x = x.withColumn(sh, shape_of(F.col(nx))) \
+        .withColumn(nu, F.regexp_extract_all(F.col(nx), F.lit("[0-9]+"), 0)) \
+        .withColumn(wo, F.regexp_extract_all(F.col(nx), F.lit("[a-z]+"), 0))
+    day, handled = cascade_day(F.col(nx), cfg, F.col(sh), F.col(nu), F.col(wo))
     parts = [day]
     if residue:
         udf = _residue_parser(cfg.run_ts, cfg.dayfirst)
         parts.append(udf(F.when(~handled, F.col(nx))))
     parts.append(F.lit(cfg.run_day))
-    return x.withColumn(out_col, F.coalesce(*parts)).drop(nx)
+    return x.withColumn(out_col, F.coalesce(*parts)).drop(nx, sh, nu, wo)
 
 
 def parse_day(s, cfg: Config, residue: bool = True) -> Column:

@@ -68,24 +68,26 @@ def _ymd_sql(y, m, d) -> str:
 def parse_day_sql(x: str) -> str:
     run = CFG.run_day
     g = lambda pat, i: f"regexp_extract({x}, {O.q(pat)}, {i})"
+    shape = f"regexp_replace(regexp_replace({x}, '[a-z]+', 'a', 'g'), '[0-9]', 'd', 'g')"
+    nums = f"regexp_extract_all({x}, '[0-9]+')"
+    words = f"regexp_extract_all({x}, '[a-z]+')"
+    n1, n2, n3 = (f"{nums}[{i}]" for i in (1, 2, 3))
+    mon = _month_sql(f"{words}[1]")
     iso = _ymd_sql(g(D.ISO_RE, 1), g(D.ISO_RE, 2), g(D.ISO_RE, 3))
-    a, b, y = (f"CAST({g(D.DOTTED_RE, i)} AS INTEGER)" for i in (1, 2, 3))
-    dotted = f"CASE WHEN {a} > 12 THEN {_ymd_sql(y, b, a)} ELSE {_ymd_sql(y, a, b)} END"
-    dmy = _ymd_sql(g(D.DMY_RE, 3), _month_sql(g(D.DMY_RE, 2)), g(D.DMY_RE, 1))
-    mdy = _ymd_sql(g(D.MDY_RE, 3), _month_sql(g(D.MDY_RE, 1)), g(D.MDY_RE, 2))
-    dm = _ymd_sql(run.year, _month_sql(g(D.DM_RE, 2)), g(D.DM_RE, 1))
-    first = _ymd_sql(g(D.MY_RE, 2), _month_sql(g(D.MY_RE, 1)), 1)
+    a, b = f"CAST({n1} AS INTEGER)", f"CAST({n2} AS INTEGER)"
+    dotted = f"CASE WHEN {a} > 12 THEN {_ymd_sql(n3, b, a)} ELSE {_ymd_sql(n3, a, b)} END"
+    first = _ymd_sql(n1, mon, 1)
     my = f"CAST({first} + (least({run.day}, day(last_day({first}))) - 1) * INTERVAL 1 DAY AS DATE)"
-    m = lambda pat: f"regexp_matches({x}, {O.q(pat)})"
+    m = lambda pat: f"regexp_matches({shape}, {O.q(pat.replace(chr(92) * 2, chr(92)))})"
     return f"""coalesce(CASE
   WHEN {x} = '' THEN DATE '{run}'
-  WHEN {m(D.TIME_RE)} THEN DATE '{run}'
-  WHEN {m(D.ISO_RE)} THEN {iso}
-  WHEN {m(D.DOTTED_RE)} THEN {dotted}
-  WHEN {m(D.DMY_RE)} AND {_month_sql(g(D.DMY_RE, 2))} IS NOT NULL THEN {dmy}
-  WHEN {m(D.MDY_RE)} AND {_month_sql(g(D.MDY_RE, 1))} IS NOT NULL THEN {mdy}
-  WHEN {m(D.DM_RE)} AND {_month_sql(g(D.DM_RE, 2))} IS NOT NULL THEN {dm}
-  WHEN {m(D.MY_RE)} AND {_month_sql(g(D.MY_RE, 1))} IS NOT NULL THEN {my}
+  WHEN {m(D.TIME_SHAPE)} THEN DATE '{run}'
+  WHEN regexp_matches({x}, {O.q(D.ISO_RE)}) THEN {iso}
+  WHEN {m(D.DOTTED_SHAPE)} THEN {dotted}
+  WHEN {m(D.DMY_SHAPE)} AND {mon} IS NOT NULL THEN {_ymd_sql(n2, mon, n1)}
+  WHEN {m(D.MDY_SHAPE)} AND {mon} IS NOT NULL THEN {_ymd_sql(n2, mon, n1)}
+  WHEN {m(D.DM_SHAPE)} AND {mon} IS NOT NULL THEN {_ymd_sql(run.year, mon, n1)}
+  WHEN {m(D.MY_SHAPE)} AND {mon} IS NOT NULL THEN {my}
 END, DATE '{run}')"""
 
 
