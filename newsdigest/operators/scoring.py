@@ -109,3 +109,20 @@ def round_prob(prob_col: str = "prob"):
 def threshold_v2(df: DataFrame, t: float, prob_col: str = "prob") -> DataFrame:
     """rounded (3 decimals, half even) probability at or above ``t``."""
     return df.filter(round_prob(prob_col) >= F.lit(t))
+
+
+def save_linear_model(idf: DataFrame, weights: DataFrame, intercept: float, path: str) -> None:
+    """The fitted vectoriser and model as one table ``(term, df, idf, weight)`` plus
+    the intercept, written under ``path`` (parquet; the intercept is a one-row table)."""
+    model = idf.select("term", "df", "idf").join(weights, "term", "left") \
+        .withColumn("weight", F.coalesce(F.col("weight"), F.lit(0.0)))
+    model.write.mode("overwrite").parquet(f"{path}/terms")
+    idf.sparkSession.createDataFrame([(float(intercept),)], "intercept double") \
+        .write.mode("overwrite").parquet(f"{path}/intercept")
+
+
+def load_linear_model(spark, path: str):
+    """(idf DataFrame, weights DataFrame, intercept) saved by :func:`save_linear_model`."""
+    terms = spark.read.parquet(f"{path}/terms")
+    intercept = spark.read.parquet(f"{path}/intercept").first()["intercept"]
+    return terms.select("term", "df", "idf"), terms.select("term", "weight"), intercept

@@ -107,3 +107,27 @@ def parse_history(lines: DataFrame, run_date, value_col: str = "value") -> DataF
     return (parsed.join(first, "file")
             .filter(F.col("run_date") == F.lit(run_date))
             .filter(F.col("url").isNotNull()))
+
+
+def write_report(report: DataFrame, sites_header: DataFrame, path: str, run_date) -> None:
+    """K1 sink: the day's report as text lines under ``run_date=<day>``: one header line
+    per configured site, then its cells, in site order then link order. The sort is a
+    range sort (no single-partition step); part files are written in order."""
+    spark = report.sparkSession
+    heads = sites_header.select("site_pos", F.lit(-1).alias("row_no"), report_header(F.col("site_name")).alias("value"))
+    cells = report.select("site_pos", "row_no", F.col("cell_html").alias("value"))
+    lines = heads.unionByName(cells).withColumn("run_date", F.lit(run_date))
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    (lines.orderBy("site_pos", "row_no").select("run_date", "value")
+     .write.mode("overwrite").partitionBy("run_date").text(path))
+
+
+def write_history(history: DataFrame, path: str, run_date) -> None:
+    """K2 sink: today's history as text lines (date header, then ``prob url`` by
+    probability desc, insertion order on ties), rewriting only today's partition."""
+    spark = history.sparkSession
+    lines = history_lines(history, run_date).withColumn("run_date", F.lit(run_date))
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    (lines.orderBy("part", F.col("k").asc_nulls_first(), F.col("pos").asc_nulls_first())
+     .select("run_date", F.col("line").alias("value"))
+     .write.mode("overwrite").partitionBy("run_date").text(path))
