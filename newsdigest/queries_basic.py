@@ -85,7 +85,7 @@ def _nav_links(p: DataFrame) -> DataFrame:
 
 def q_resolve_link(spark, sf):
     links = _nav_links(_t(spark, sf, "pages"))
-    return links.select("page_id", "link_no",
+    return links.select("page_id", F.col("link_no").cast("long").alias("link_no"),
                         U.resolve_link(F.lit(""), F.col("href"), U.origin(F.col("url"))).alias("href2"))
 
 
@@ -222,7 +222,7 @@ def sql_nonblank_text():
 def q_strip_boilerplate(spark, sf):
     from .functions.text import strip_boilerplate
     d = _t(spark, sf, "documents")
-    return d.select("doc_id", F.length(strip_boilerplate(F.col("text"), CFG.boilerplate)).alias("n_chars"))
+    return d.select("doc_id", F.length(strip_boilerplate(F.col("text"), CFG.boilerplate)).cast("long").alias("n_chars"))
 
 
 def sql_strip_boilerplate():
@@ -247,7 +247,7 @@ def q_text_fallback(spark, sf):
     x = c.withColumn("article", F.regexp_replace("text", "^\\s+|\\s+$", "")) \
         .withColumn("feed", F.lead("text").over(w))
     out = x.select("conv_id", "turn", text_fallback(F.col("article"), F.col("feed")).alias("text"))
-    return out.filter(F.col("text").isNotNull()).select("conv_id", "turn", F.length("text").alias("n_chars"))
+    return out.filter(F.col("text").isNotNull()).select("conv_id", "turn", F.length("text").cast("long").alias("n_chars"))
 
 
 def sql_text_fallback():
@@ -347,7 +347,7 @@ FROM r JOIN h USING (netloc)"""
 
 def q_batch_assign(spark, sf):
     p = _t(spark, sf, "pages").select(F.col("page_id").alias("pos"), "url")
-    return ordering.batch_assign(p, CFG.batch_size).select("pos", "batch")
+    return ordering.batch_assign(p, CFG.batch_size).select("pos", F.col("batch").cast("long").alias("batch"))
 
 
 def sql_batch_assign():

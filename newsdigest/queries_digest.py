@@ -308,7 +308,7 @@ def sql_tfidf():
 def q_distinct_texts(spark, sf):
     cands = D.candidates_from_documents(_docs(spark, sf), CFG)
     distinct = D.resolved_texts(D.ordered_candidates(cands, None), CFG)
-    return distinct.select("pos", "url", F.length("text").alias("n_chars"))
+    return distinct.select("pos", "url", F.length("text").cast("long").alias("n_chars"))
 
 
 def sql_distinct_texts():
@@ -330,7 +330,8 @@ def _doc_select(spark, sf, expr, name):
 def q_paragraphs(spark, sf):
     d = _docs(spark, sf)
     return d.select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("para_no", "paragraph")) \
-        .select("doc_id", "para_no", F.length("paragraph").alias("n_chars"))
+        .select("doc_id", F.col("para_no").cast("long").alias("para_no"),
+                F.length("paragraph").cast("long").alias("n_chars"))
 
 
 def sql_paragraphs():
@@ -350,7 +351,7 @@ def sql_head_paragraphs():
 def q_sentences(spark, sf):
     d = _docs(spark, sf)
     s = F.flatten(F.transform(T.paragraphs(F.col("text")), lambda p: T.sentences(p)))
-    return d.select("doc_id", F.size(s).alias("n_sentences"),
+    return d.select("doc_id", F.size(s).cast("long").alias("n_sentences"),
                     F.array_join(F.transform(s, lambda x: F.length(x).cast("string")), ",").alias("lengths"))
 
 

@@ -83,7 +83,7 @@ def q_src_listing_items(spark, sf):
     pages = _t(spark, sf, "pages")
     items = X.extract_listing(pages, "li", None, "a", "a")
     j = items.join(pages.select("page_id", "url"), "page_id")
-    return j.select("page_id", "item_no", "title",
+    return j.select("page_id", F.col("item_no").cast("long").alias("item_no"), "title",
                     resolve_link(F.col("href2"), F.col("href"), origin(F.col("url"))).alias("href2"))
 
 
@@ -238,7 +238,8 @@ def _feeds(spark, sf):
 
 def q_src_feed_items(spark, sf):
     items = S.feed_items(_feeds(spark, sf))
-    return items.select("source", "page", "entry_no", "title", "link", "summary", "published")
+    return items.select("source", "page", F.col("entry_no").cast("long").alias("entry_no"), "title", "link",
+                        "summary", "published")
 
 
 def sql_src_feed_items():
@@ -255,7 +256,8 @@ FROM documents"""
 
 def q_feed_link_override(spark, sf):
     items = S.feed_items(_feeds(spark, sf))
-    return items.filter(F.col("source") == "src3").select("page", "entry_no", "link")
+    return items.filter(F.col("source") == "src3").select("page", F.col("entry_no").cast("long").alias("entry_no"),
+                                                          "link")
 
 
 def sql_feed_link_override():
@@ -278,7 +280,7 @@ def _doc_lines_sql() -> str:
 
 
 def q_src_word_list(spark, sf):
-    return S.word_list(_doc_lines(spark, sf)).select("doc_id", "line_no", "word")
+    return S.word_list(_doc_lines(spark, sf)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "word")
 
 
 def sql_src_word_list():
@@ -400,7 +402,7 @@ LEFT JOIN c ON c.url = f.url AND c.attempt = f.attempt"""
 
 def q_decode_body(spark, sf):
     p = _t(spark, sf, "pages")
-    return p.select("page_id", F.length(S.decode_body(F.encode("html", "UTF-8"))).alias("n_chars"))
+    return p.select("page_id", F.length(S.decode_body(F.encode("html", "UTF-8"))).cast("long").alias("n_chars"))
 
 
 def sql_decode_body():
