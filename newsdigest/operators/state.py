@@ -61,9 +61,10 @@ def report_rows(sites: DataFrame, state: DataFrame) -> DataFrame:
     'nothing found' row for a site without items. Returns (site_pos, site_name, row_no,
     date, title, href2, cell_html) where row_no orders items inside a site; the sort is
     per site (window partitioned by site), never global."""
-    from .ordering import rank_within_group
-    items = rank_within_group(state.select("site_name", "href2", "date", "title"), "site_name",
-                              [F.col("href2")], "row_no")
+    from .ordering import rank_in_groups
+    st = state.select("site_name", "href2", "date", "title")
+    sizes = st.groupBy("site_name").agg(F.count(F.lit(1)).alias("_n"))
+    items = rank_in_groups(st, "site_name", [F.col("href2")], "row_no", sizes, "_n")
     j = sites.select("site_pos", "site_name").join(items, "site_name", "left")
     row = F.coalesce(F.col("row_no"), F.lit(0))
     cell = F.when(

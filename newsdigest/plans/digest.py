@@ -90,7 +90,8 @@ def scored(distinct: DataFrame, labels: DataFrame, cfg: Config, res: TextResourc
     terms = scoring.doc_terms(cleaned, "pos", "cleaned")
     idf = scoring.fit_idf(terms, cleaned.count())
     vectors = cut_lineage(scoring.tfidf_vectors(terms, idf))
-    weights, b = scoring.fit_linear_model(terms, labels)
+    # the model fit reads the materialised vectors (id, term), not the exploded terms again
+    weights, b = scoring.fit_linear_model(vectors, labels)
     probs = scoring.lr_score(cleaned.select(F.col("pos").alias("id"), "url", "text", "cleaned"), vectors, weights, b)
     return probs.withColumnRenamed("id", "pos"), vectors
 

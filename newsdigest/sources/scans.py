@@ -35,7 +35,7 @@ def word_list(lines: DataFrame, value_col: str = "value", lower: bool = True) ->
 
 def require_nonempty(df: DataFrame, what: str) -> DataFrame:
     """A missing keyword list is an error (checked with one tiny action)."""
-    if df.limit(1).count() == 0:
+    if df.isEmpty():
         raise ValueError(f"{what} is empty")
     return df
 

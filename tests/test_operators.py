@@ -180,3 +180,21 @@ def test_mojibake_repair_other_charset(spark):
     moj = src.encode("utf-8").decode("cp1251")
     df = spark.createDataFrame([(moj,)], "s string")
     assert df.select(S.repair_mojibake(F.col("s"), "cp1251")).first()[0] == src
+
+
+def test_rank_within_group_matches_window_on_a_hot_group(spark):
+    from pyspark.sql import Window
+    rows = [("hot", i) for i in range(500)] + [(f"g{i % 7}", i) for i in range(500, 560)]
+    df = spark.createDataFrame(rows, "g string, pos long").repartition(5)
+    got = {(r["g"], r["pos"]): r["rk"] for r in ordering.rank_within_group(df, "g", [F.col("pos")], "rk").collect()}
+    want = {(r["g"], r["pos"]): r["rk"] for r in
+            df.withColumn("rk", F.row_number().over(Window.partitionBy("g").orderBy("pos"))).collect()}
+    assert got == want
+
+
+def test_interleave_hot_host_path(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "WINDOW_GROUP_LIMIT", 0)
+    urls = ["https://a/1", "https://b/1", "https://a/2", "https://c/1", "https://a/3", "https://b/2"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "pos long, url string")
+    rows = ordering.interleave_domains(df).orderBy(*ordering.interleave_sort_cols()).select("pos").collect()
+    assert [r[0] for r in rows] == [0, 1, 3, 2, 5, 4]
