@@ -141,7 +141,10 @@ def _residue_parser(run_ts: _dt.datetime, dayfirst: bool):
             except (ValueError, OverflowError, TypeError):
                 return None
         return s.map(one)
-    return parse_residue
+    # marked non-deterministic only to keep Catalyst from copying the whole cascade into
+    # a filter on the parsed day (predicate pushdown through the projection); the filter
+    # then reads the computed column and the generated code stays small
+    return parse_residue.asNondeterministic()
 
 
 def with_day(df, src_col: str, out_col: str, cfg: Config, residue: bool = True):
