@@ -24,17 +24,31 @@ def _bounded(df: DataFrame, what: str) -> DataFrame:
     return F.broadcast(df)
 
 
+#: suffix lists up to this size become one CASE expression (no join at all)
+MAX_INLINE_SUFFIXES = 1_000
+
+
 def canonical_domain(df: DataFrame, suffixes: DataFrame, url_col: str = "url",
                      key_col: str = "row_id") -> DataFrame:
     """The lookup host of each URL, replaced by the first template (by ``ord``) it
-    ends with; unchanged when none matches. ``suffixes``: (ord, template)."""
+    ends with; unchanged when none matches. ``suffixes``: (ord, template).
+
+    A configuration-sized list (checked) becomes one ordered CASE expression evaluated
+    per row: no join and no shuffle. A larger list is matched once per distinct host
+    (broadcast nested-loop join on ``endswith``) and the host map is joined back."""
     hosts = df.withColumn("netloc", lookup_host(F.col(url_col)))
+    n = suffixes.count()
+    if n <= MAX_INLINE_SUFFIXES:
+        rows = suffixes.select("ord", "template").orderBy("ord").collect()  # bounded: checked above
+        expr = F.col("netloc")
+        for r in reversed(rows):
+            expr = F.when(F.endswith(F.col("netloc"), F.lit(r["template"])), F.lit(r["template"])).otherwise(expr)
+        return hosts.withColumn("canonical", expr)
+    distinct_hosts = hosts.select("netloc").distinct()
     sfx = _bounded(suffixes.select("ord", "template"), "suffixes")
-    matched = (hosts.select(key_col, "netloc")
-               .join(sfx, F.endswith(F.col("netloc"), F.col("template")), "left")
-               .groupBy(key_col, "netloc")
-               .agg(F.min_by("template", "ord").alias("_t")))
-    return (hosts.join(matched.select(key_col, "_t"), key_col, "left")
+    mapping = (distinct_hosts.join(sfx, F.endswith(F.col("netloc"), F.col("template")), "left")
+               .groupBy("netloc").agg(F.min_by("template", "ord").alias("_t")))
+    return (hosts.join(mapping, "netloc", "left")
             .withColumn("canonical", F.coalesce(F.col("_t"), F.col("netloc")))
             .drop("_t"))
 
