@@ -3,7 +3,6 @@
 import datetime as dt
 import os
 
-from pyspark.sql import functions as F
 
 from newsdigest.operators import scoring, state
 from newsdigest.session import ensure_checkpoint_dir
