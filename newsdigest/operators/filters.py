@@ -32,11 +32,16 @@ def normalise_words(words: Iterable[str]) -> list[str]:
 
 
 def keyword_match(text, words: list[str]) -> Column:
-    """lower-cased substring of any keyword; null or '' -> False."""
+    """lower-cased substring of any keyword; null or '' -> False. The keywords are
+    unrolled into one OR of ``contains`` over a single lowered value (no lambda, so the
+    text is lowered once and the predicate stays in generated code)."""
     if not words:
         return F.lit(False)
     low = F.lower(_c(text))
-    hit = F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
+    hit = None
+    for w in words:
+        c = F.contains(low, F.lit(w))
+        hit = c if hit is None else (hit | c)
     return F.coalesce(hit, F.lit(False)) & (F.coalesce(_c(text), F.lit("")) != F.lit(""))
 
 
@@ -58,6 +63,51 @@ def keyword_hits(df: DataFrame, words_df: DataFrame, text_col: str = "text", id_
             .select("id", "word"))
 
 
+#: keyword lists longer than this are matched with one automaton per task instead of
+#: one ``contains`` per word (the list itself must stay under the broadcast bound)
+LARGE_LIST = 50
+MAX_KEYWORDS = 1_000_000
+
+
+def keyword_counts(df: DataFrame, words_df: DataFrame, text_col: str = "text", id_col: str = "id",
+                   word_col: str = "word") -> DataFrame:
+    """F1 with a long keyword list: (id, kw_hit, n_words) where ``n_words`` counts the
+    distinct keywords contained in the lowered text. Short lists stay a built-in
+    ``exists(contains)`` expression; a long list (size checked, then shipped with the
+    task closure) drives an Aho-Corasick automaton built once per partition inside
+    ``mapInPandas``, so the cost per text is linear in its length, not in the list size."""
+    words = [r[0] for r in words_df.select(F.col(word_col)).distinct().collect()
+             ] if words_df.count() <= MAX_KEYWORDS else None
+    if words is None:
+        raise ValueError("keyword list exceeds the size bound")
+    words = normalise_words(words)
+    base = df.select(_c(id_col).alias("id"), _c(text_col).alias("_t"))
+    if len(words) <= LARGE_LIST:
+        # the lowered text is a column of its own, not recomputed inside the lambda per word
+        base = base.withColumn("_low", F.lower(F.col("_t")))
+        n = F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("_low"), w))) \
+            if words else F.lit(0)
+        n = F.when(F.coalesce(F.col("_t"), F.lit("")) == "", F.lit(0)).otherwise(n)
+        return base.select("id", (n > 0).alias("kw_hit"), n.cast("long").alias("n_words"))
+
+    def run(batches):
+        import ahocorasick
+        import pandas as pd
+        auto = ahocorasick.Automaton()
+        for i, w in enumerate(words):
+            auto.add_word(w, i)
+        auto.make_automaton()
+        for pdf in batches:
+            counts = []
+            for t in pdf["_t"].values:
+                if t is None or t == "":
+                    counts.append(0)
+                    continue
+                counts.append(len({i for _, i in auto.iter(t.lower())}))
+            yield pd.DataFrame({"id": pdf["id"].values, "kw_hit": [c > 0 for c in counts], "n_words": counts})
+    return base.mapInPandas(run, "id long, kw_hit boolean, n_words long")
+
+
 def today_filter(df: DataFrame, run_day, day_col: str = "day") -> DataFrame:
     """The item's calendar day equals the run day."""
     return df.filter(_c(day_col) == F.lit(run_day))

@@ -201,6 +201,27 @@ def _items_sql() -> str:
             f"{O.doc_rest('text')} AS body FROM documents")
 
 
+def _nav_words(spark, sf):
+    """A long keyword list derived from the pages: every nav link word of 5+ letters."""
+    links = _nav_links(_t(spark, sf, "pages"))
+    w = F.lower(F.regexp_replace("href", "^/", ""))
+    return links.select(w.alias("word")).filter(F.length("word") >= 5).distinct()
+
+
+def q_kw_filter_large(spark, sf):
+    d = _t(spark, sf, "documents")
+    return filters.keyword_counts(d, _nav_words(spark, sf), "text", "doc_id").withColumnRenamed("id", "doc_id")
+
+
+def sql_kw_filter_large():
+    words = ("SELECT DISTINCT lower(regexp_replace(href, '^/', '')) AS word FROM "
+             f"({_nav_links_sql()}) WHERE length(lower(regexp_replace(href, '^/', ''))) >= 5")
+    return f"""WITH w AS ({words})
+SELECT d.doc_id, count(w.word) > 0 AS kw_hit, count(w.word) AS n_words
+FROM documents d LEFT JOIN w ON contains(lower(d.text), w.word) AND coalesce(d.text, '') <> ''
+GROUP BY d.doc_id"""
+
+
 def q_kw_filter_title_or_text(spark, sf):
     it = _items(_t(spark, sf, "documents"))
     return filters.keyword_filter(it, KEYWORDS, "title", "body").select("doc_id", "site_name")
@@ -525,6 +546,7 @@ QUERIES = {
     "domain_routing": (q_domain_routing, sql_domain_routing),
     "kw_filter": (q_kw_filter, sql_kw_filter),
     "kw_filter_title_or_text": (q_kw_filter_title_or_text, sql_kw_filter_title_or_text),
+    "kw_filter_large": (q_kw_filter_large, sql_kw_filter_large),
     "nonblank_text": (q_nonblank_text, sql_nonblank_text),
     "strip_boilerplate": (q_strip_boilerplate, sql_strip_boilerplate),
     "candidate_text": (q_candidate_text, sql_candidate_text),
