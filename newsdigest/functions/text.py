@@ -2,9 +2,9 @@
 
 Every step is a built-in expression (string functions, regexes and higher-order
 array functions), so the whole cleaning of a document runs inside one stage with no
-shuffle and no Python. Dictionaries (lemmas, entities) are map literals when small
-(see :func:`dictionary_map`); large ones go through :mod:`newsdigest.operators.lexicon`
-as joins.
+shuffle and no Python. Dictionaries (lemmas, entities) are map literals
+(:func:`dictionary_map`), sized for gazetteers and lemma lists of up to a few thousand
+entries; a full morphology dictionary would need an exploded-token join instead.
 
 Cleaning of one text (the order of the monitored job):
 
