@@ -21,10 +21,10 @@ def new_items(items: DataFrame, state: DataFrame, keys=("site_name", "href2")) -
     return items.join(state.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def unsent(found: DataFrame, history: DataFrame, order_col: str = "text") -> DataFrame:
-    """Drop URLs already in today's history, then a URL is kept once (first by
-    ``order_col``). The window is partitioned by URL: co-located with the anti join."""
-    rest = found.join(history.select("url").distinct(), "url", "left_anti")
+def unsent(found: DataFrame, history: DataFrame | None, order_col: str = "text") -> DataFrame:
+    """Drop URLs already in today's history (none: the first run of the day), then
+    a URL is kept once (first by ``order_col``)."""
+    rest = found if history is None else found.join(history.select("url").distinct(), "url", "left_anti")
     # first wins as a partial aggregate (a URL repeated in a third of all rows is
     # combined map-side), not a window partitioned by URL
     cols = [c for c in rest.columns if c != "url"]

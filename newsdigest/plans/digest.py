@@ -111,8 +111,7 @@ def score_news_v1(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg:
     ids = scoring.nonzero_vector(distinct.select(F.col("pos").alias("id"), "url", "text"), vectors)
     probs = scoring.lr_score(ids, vectors, weights, b)
     found = scoring.threshold_v1(probs, cfg.threshold_v1)
-    hist = history if history is not None else found.sparkSession.createDataFrame([], "url string")
-    found = state.unsent(found, hist, "text")
+    found = state.unsent(found, history, "text")
     return found.select(F.col("id").alias("pos"), undo_messenger_link(F.col("url")).alias("url"), "prob")
 
 
@@ -128,9 +127,8 @@ def score_news_v2(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg:
     found = (scoring.threshold_v2(probs, cfg.threshold_v2)
              .withColumn("prob", scoring.round_prob("prob")))
     # Not in today's history; a URL is reported once, the first text in text order wins
-    hist = history if history is not None else found.sparkSession.createDataFrame([], "url string")
     # materialised once: the text-order numbering reads it twice (sample, then sort)
-    found = cut_lineage(state.unsent(found, hist, "text"))
+    found = cut_lineage(state.unsent(found, history, "text"))
     return found, vectors
 
 
@@ -185,11 +183,13 @@ def digest_lines(members: DataFrame, groups: DataFrame) -> DataFrame:
     seps = groups.filter(~F.col("is_single")).select(
         F.lit(3).alias("sec"), (-F.col("max_prob")).alias("gk"), F.col("leader").alias("gl"),
         F.lit(0).alias("sub"), F.lit(None).cast("long").alias("mk"), F.lit(DIGEST_SEPARATOR).alias("line"))
-    fixed = spark.createDataFrame(
-        [(0, DIGEST_SINGLES_HEADER), (2, DIGEST_GROUPS_HEADER), (4, DIGEST_SEPARATOR)],
-        "sec int, line string").select(
-        "sec", F.lit(None).cast("double").alias("gk"), F.lit(None).cast("long").alias("gl"),
-        F.lit(0).alias("sub"), F.lit(None).cast("long").alias("mk"), "line")
+    # the three fixed lines come from a JVM range (no Python-side rows to ship)
+    sec = F.element_at(F.array(F.lit(0), F.lit(2), F.lit(4)), (F.col("id") + 1).cast("int"))
+    text = F.element_at(F.array(F.lit(DIGEST_SINGLES_HEADER), F.lit(DIGEST_GROUPS_HEADER), F.lit(DIGEST_SEPARATOR)),
+                        (F.col("id") + 1).cast("int"))
+    fixed = spark.range(3).select(
+        sec.alias("sec"), F.lit(None).cast("double").alias("gk"), F.lit(None).cast("long").alias("gl"),
+        F.lit(0).alias("sub"), F.lit(None).cast("long").alias("mk"), text.alias("line"))
     allrows = body.unionByName(seps).unionByName(fixed)
     numbered = ordering.global_row_number(
         allrows, [F.col("sec"), F.col("gk").asc_nulls_first(), F.col("gl").asc_nulls_first(),
