@@ -66,8 +66,7 @@ def ordered_candidates(cands: DataFrame, known_urls: DataFrame | None) -> DataFr
     kept = filters.drop_reposts(cands, known_urls)
     # the order key is computed on a narrow projection (no text is sorted or shuffled
     # by host) and joined back on pos
-    keys = (ordering.interleave_domains(kept.select("pos", "url"))
-            .select("pos", F.struct(F.col("round"), F.col("host_order.c"), F.col("host_order.f")).alias("order")))
+    keys = ordering.interleave_domains(kept.select("pos", "url")).select("pos", F.col("order_key").alias("order"))
     return kept.join(keys, "pos")
 
 
@@ -78,6 +77,7 @@ def resolved_texts(ordered: DataFrame, cfg: Config) -> DataFrame:
          .withColumn("url", fix_messenger_link(F.col("url")))
          .withColumn("text", T.strip_boilerplate(F.col("text"), cfg.boilerplate)))
     x = filters.nonblank_text(x)
+    # one pass: the first row's (pos, url) by the packed order key, combined map-side
     return (x.groupBy("text")
             .agg(F.min_by(F.struct("pos", "url"), F.col("order")).alias("_f"))
             .select("text", F.col("_f.url").alias("url"), F.col("_f.pos").alias("pos")))
