@@ -99,7 +99,7 @@ def interleave_domains(items: DataFrame, url_col: str = "url", pos_col: str = "p
              .agg(F.count(F.lit(1)).alias("_cnt"), F.min(pos_col).alias("_first")))
     ranked = rank_in_groups(with_host, "netloc", [F.col(pos_col)], "round", hosts, "_cnt")
     # hosts in visiting order (count desc, first appearance); one row per host
-    hosts = hosts.withColumn("_hrank", global_rank_small(hosts, [F.col("_cnt").desc(), F.col("_first")]))
+    hosts = global_row_number(hosts, [F.col("_cnt").desc(), F.col("_first")], "_hrank")
     out = ranked.join(hosts, "netloc")
     # (round, host rank) packed in one long: fixed-width, so aggregates over it hash
     key = F.col("round").cast("long") * F.lit(1 << 31) + F.col("_hrank")
@@ -109,10 +109,6 @@ def interleave_domains(items: DataFrame, url_col: str = "url", pos_col: str = "p
             .drop("_cnt", "_first", "_hrank"))
 
 
-def global_rank_small(df: DataFrame, order_by: list):
-    """Row number over a reduced table (one row per group, e.g. per host)."""
-    return F.row_number().over(Window.orderBy(*order_by)).cast("long")
-
 
 def interleave_sort_cols() -> list:
     return [F.col("round"), F.col("host_order.c"), F.col("host_order.f")]
