@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import oracle as O
@@ -264,9 +264,13 @@ def q_text_fallback(spark, sf):
     blank-stripped to nothing; both empty -> the row is dropped."""
     from .functions.text import text_fallback
     c = _t(spark, sf, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    x = c.withColumn("article", F.regexp_replace("text", "^\\s+|\\s+$", "")) \
-        .withColumn("feed", F.lead("text").over(w))
+    # the next turn of the same conversation: skew-aware in-conversation ranks, then an
+    # equi-join on (conversation, rank + 1) instead of a window over a whole conversation
+    sizes = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = ordering.rank_in_groups(c, "conv_id", [F.col("turn")], "_rk", sizes, "_n")
+    nxt = ranked.select("conv_id", (F.col("_rk") - 1).alias("_rk"), F.col("text").alias("feed"))
+    x = ranked.join(nxt, ["conv_id", "_rk"], "left") \
+        .withColumn("article", F.regexp_replace("text", "^\\s+|\\s+$", ""))
     out = x.select("conv_id", "turn", text_fallback(F.col("article"), F.col("feed")).alias("text"))
     return out.filter(F.col("text").isNotNull()).select("conv_id", "turn", F.length("text").cast("long").alias("n_chars"))
 
