@@ -31,17 +31,20 @@ def normalise_words(words: Iterable[str]) -> list[str]:
     return out
 
 
+def _quote(w: str) -> str:
+    """A literal inside a Java regex."""
+    return "\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def keyword_match(text, words: list[str]) -> Column:
-    """lower-cased substring of any keyword; null or '' -> False. The keywords are
-    unrolled into one OR of ``contains`` over a single lowered value (no lambda, so the
-    text is lowered once and the predicate stays in generated code)."""
+    """lower-cased substring of any keyword; null or '' -> False. A short list is one
+    alternation of quoted literals: the text is lowered and scanned once per row, even
+    when a filter pushed below a projection inlines the expression. Long lists go
+    through :func:`keyword_counts` (automaton)."""
     if not words:
         return F.lit(False)
-    low = F.lower(_c(text))
-    hit = None
-    for w in words:
-        c = F.contains(low, F.lit(w))
-        hit = c if hit is None else (hit | c)
+    pattern = "|".join(_quote(w) for w in words)
+    hit = F.lower(_c(text)).rlike(pattern)
     return F.coalesce(hit, F.lit(False)) & (F.coalesce(_c(text), F.lit("")) != F.lit(""))
 
 
