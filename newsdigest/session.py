@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 _SHIPPED: set = set()
+_SHIP_LOCK = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -63,20 +65,24 @@ def ship_package(spark: SparkSession) -> None:
         key = sc.applicationId
     except Exception:  # noqa: BLE001 - no SparkContext API (remote session): nothing to ship
         return
-    if key in _SHIPPED:
-        return
-    import zipfile
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    root = os.path.dirname(pkg)
-    out = os.path.join(tempfile.mkdtemp(prefix="newsdigest-pkg-"), "newsdigest.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for d, _, files in os.walk(pkg):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(d, f)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(out)
-    _SHIPPED.add(key)
+    with _SHIP_LOCK:
+        if key in _SHIPPED:
+            return
+        import zipfile
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg)
+        out = os.path.join(tempfile.mkdtemp(prefix="newsdigest-pkg-"), "newsdigest.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for d, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(d, f)
+                        z.write(full, os.path.relpath(full, root))
+        try:
+            sc.addPyFile(out)
+        except Exception:  # noqa: BLE001 - already registered by an earlier call
+            pass
+        _SHIPPED.add(key)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
