@@ -204,3 +204,13 @@ def digest(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Config
     res = res or latin_resources()
     found, vectors = score_news_v2(spark, docs, labels, cfg, res, history, known_urls=history)
     return digest_rows(found, vectors, cfg)
+
+
+def write_digest(lines: DataFrame, path: str, run_date) -> None:
+    """K3 sink: the digest message as text lines under ``run_date=<day>`` in line order
+    (range sort, part files in order), rewriting only that day."""
+    spark = lines.sparkSession
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    (lines.withColumn("run_date", F.lit(run_date)).orderBy("line_no")
+     .select("run_date", F.col("line").alias("value"))
+     .write.mode("overwrite").partitionBy("run_date").text(path))

@@ -49,3 +49,13 @@ def test_model_table_round_trip(spark):
     assert b == -0.25
     assert {r["term"]: r["weight"] for r in w2.collect()} == {"a": 0.3, "b": 0.0}
     assert idf2.count() == 2
+
+
+def test_digest_sink(spark):
+    from newsdigest.plans.digest import write_digest
+    base = ensure_checkpoint_dir(spark).replace("file:", "") + "/digest"
+    lines = spark.createDataFrame([(2, "0.900 https://a/1"), (1, "News without duplicates:"), (3, "News with duplicates:"),
+                                   (4, "-" * 30)], "line_no long, line string")
+    write_digest(lines, base, DAY)
+    assert _lines(spark, f"{base}/run_date={DAY}") == ["News without duplicates:", "0.900 https://a/1",
+                                                      "News with duplicates:", "-" * 30]
