@@ -4,7 +4,7 @@ A document of a source whose words are to be taken ``r`` times is copied ``floor
 once with probability ``p = r - floor(r)``. The fractional masses (``p`` times the words) are
 rounded dependently: two documents meet, a random share of mass moves from one to the other
 until one is empty or whole, and the other goes on. Mass is kept at each meeting, so a source
-misses its target by one document at most, and each document keeps its probability.
+misses its target by half a document at most, and each document but the last keeps its probability.
 
 Meetings run as a distributed reduction tree: documents of a source are dealt by hash into
 blocks of about ``FAN_IN``, each block folds its documents with a higher-order function and
@@ -131,8 +131,8 @@ def round_copies(docs: DataFrame, plan: DataFrame, fan_in: int = FAN_IN) -> Data
         if left <= 1:
             break
         left = -(-left // fan_in)
-    # one residual per source is left: it is taken with the probability it still has
-    last = F.expr(f"if({_uniform('item.h', 'item.doc_id')} * item.size < item.m, {_with('item', 'double(item.size)')}, {_with('item', '0D')})")
+    # one residual per source is left: to the nearer end, so a source misses by half a document at most
+    last = F.expr(f"if(2 * item.m >= item.size, {_with('item', 'double(item.size)')}, {_with('item', '0D')})")
     done.append(level.select(*source, last.alias("item")))
     out = reduce(DataFrame.unionByName, done)
     whole = F.when((F.col("item.size") > 0) & (F.col("item.m") >= F.col("item.size")), 1).otherwise(0)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, url_filter
+from . import exact_dedup, mixing, quality, sharding, token_count, url_filter
 
 QUERIES = {
     "op3_exact_dedup": (exact_dedup.op3_exact_dedup, exact_dedup.OP3_SQL),
     "op4_sharding": (sharding.op4_sharding, None),
     "op5_url_filter": (url_filter.op5_url_filter, url_filter.OP5_SQL),
+    "op7_token_count": (token_count.op7_token_count, None),
     "op9_mixing": (mixing.op9_mixing, None),
+    "op10_quality": (quality.op10_quality, None),
 }
