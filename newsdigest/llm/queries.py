@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, sharding, token_count, url_filter
+from . import decontaminate, exact_dedup, license_scan, mixing, quality, sharding, token_count, url_filter
 
 QUERIES = {
     "op3_exact_dedup": (exact_dedup.op3_exact_dedup, exact_dedup.OP3_SQL),
     "op4_sharding": (sharding.op4_sharding, None),
     "op5_url_filter": (url_filter.op5_url_filter, url_filter.OP5_SQL),
+    "op6_license_scan": (license_scan.op6_license_scan, None),
     "op7_token_count": (token_count.op7_token_count, None),
+    "op8_decontaminate": (decontaminate.op8_decontaminate, None),
     "op9_mixing": (mixing.op9_mixing, None),
     "op10_quality": (quality.op10_quality, None),
 }
