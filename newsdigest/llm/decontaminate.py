@@ -220,20 +220,27 @@ def blocks(items: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[int
         yield [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
 
 
+_FOUND = "array<struct<item_id: long, score: double>>"
+
+
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Two columns: ``row``, a struct of docs' own columns, and ``found``, an array of (item_id, score)."""
-    kind = "array<struct<item_id: long, score: double>>"
-    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.expr(f"cast(array() as {kind})").alias("found"))
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.expr(f"cast(array() as {_FOUND})").alias("found"))
     for k, block in enumerate(blocks(items)):
-        shipped = docs.sparkSession.sparkContext.broadcast(Index(block))
+        if k:  # one index at a time in a worker
+            out = cut(out, "decontaminated")
+        search = _search(docs.sparkSession.sparkContext.broadcast(Index(block)))
+        out = out.select("row", F.concat("found", search(F.col("row.text"))).alias("found"))
+    return out
 
-        @F.arrow_udf(kind)
-        def search(texts: pa.Array, shipped=shipped) -> pa.Array:
-            rows = [[{"item_id": i, "score": s} for i, s in r] for r in shipped.value.find(texts)]
-            return pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64())])))
 
-        out = (cut(out, "decontaminated") if k else out).select("row", F.concat("found", search.asNondeterministic()(F.col("row.text"))).alias("found"))
-    return out
+def _search(shipped):
+    @F.arrow_udf(_FOUND)
+    def search(texts: pa.Array) -> pa.Array:
+        rows = [[{"item_id": i, "score": s} for i, s in r] for r in shipped.value.find(texts)]
+        return pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64())])))
+
+    return search.asNondeterministic()  # so a filter on the result does not search twice
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
