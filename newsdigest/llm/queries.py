@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, license_scan, mixing, near_dup, quality, sharding, token_count, url_filter
+from . import decontaminate, exact_dedup, license_scan, mixing, near_dup, quality, sharding, substring_dedup, token_count, url_filter
 
 QUERIES = {
     "op1_near_dup": (near_dup.op1_near_dup, None),
+    "op2_substring_dedup": (substring_dedup.op2_substring_dedup, substring_dedup.OP2_SQL),
     "op3_exact_dedup": (exact_dedup.op3_exact_dedup, exact_dedup.OP3_SQL),
     "op4_sharding": (sharding.op4_sharding, None),
     "op5_url_filter": (url_filter.op5_url_filter, url_filter.OP5_SQL),
