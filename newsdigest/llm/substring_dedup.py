@@ -12,8 +12,9 @@ greatest fingerprint, is the window's anchor. Equal windows have equal anchors,
 windows mostly share one, and a document has about a fifth as many anchors as words. Steps:
 
 1. Each document's anchors, sorted over the cluster by range of (anchor, doc_id): those that another
-   document has too are kept. A hot anchor is many rows and is split like any range.
-2. Documents with shared anchors give their windows at these anchors, with 128-bit fingerprints of
+   document has too are kept. A hot anchor is many rows and is split like any range. The rows of copies
+   (below) then go, and what is left is sorted and thinned again.
+2. Documents with shared anchors give their windows at these anchors, with 96-bit fingerprints of
    all 13 words; of each fingerprint the smallest doc_id counts. This verifies the repeats.
 3. Words covered by a window that also starts in a document with a smaller doc_id are removed.
 
@@ -124,9 +125,10 @@ def anchors(w: wd.Words) -> tuple[np.ndarray, np.ndarray]:
     return starts, inside[starts] >> np.uint64(64 - ANCHOR_BITS)
 
 
-def fingerprints(w: wd.Words, starts: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit halves for each window."""
-    return [wd.mixed(wd.spans(w.hashes, starts, starts + WINDOW, base | 1) + np.uint64(k)).view(np.int64) for k, base in enumerate(_BASES)]
+def fingerprints(w: wd.Words, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits for each window."""
+    one, two = (wd.mixed(wd.spans(w.hashes, starts, starts + WINDOW, base | 1) + np.uint64(k)) for k, base in enumerate(_BASES))
+    return one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,32 +189,43 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, tags, found = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
-        for low, high, text in wd.slices(b.column(2)):
+        ids, found = b.column(0).to_numpy(), b.column(2)
+        for low, high, text in wd.slices(b.column(1)):
             w = wd.words(text)
             own = [np.frombuffer(found[low + d].as_py(), np.int32) for d in range(high - low)]
             doc = np.repeat(np.arange(high - low), [len(x) for x in own])
             place = np.concatenate(own)
-            prints = fingerprints(w, w.first[doc] + place)
-            yield pa.RecordBatch.from_arrays([pa.array(prints[0]), pa.array(prints[1]), pa.array(ids[low + doc]), pa.array(tags[low + doc]), pa.array(place)],
-                                             ["w1", "w2", "doc_id", "tag", "place"])
+            one, two = fingerprints(w, w.first[doc] + place)
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids[low + doc]), pa.array(place)], ["w1", "w2", "doc_id", "place"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the starts of their repeated windows to what is left of them."""
+    """Texts with the starts of their repeated windows, (place, w2), to what is left of them. Windows of
+    another text with the same doc_id are told by w2."""
     for b in batches:
-        counts, hashes = [], []
-        for text, places in zip(b.column(2), b.column(3)):
-            words = text.as_py().encode().split()
-            edges = np.zeros(len(words) + 1, np.int64)
-            places = np.unique(places.values.to_numpy(zero_copy_only=False))
-            np.add.at(edges, places, 1)
-            np.add.at(edges, places + WINDOW, -1)
-            covered = np.cumsum(edges[:-1]) > 0
-            counts.append(int(covered.sum()))
-            hashes.append(hashlib.sha256(b" ".join(x for x, gone in zip(words, covered.tolist()) if not gone)).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(hashes, pa.string())],
-                                         ["doc_id", "tag", "n_removed", "kept_sha256"])
+        places = b.column(3)
+        for low, high, text in wd.slices(b.column(2)):
+            w = wd.words(text)
+            counts, hashes = [], []
+            for d in range(high - low):
+                n = int(w.first[d + 1] - w.first[d])
+                place, two = (x.to_numpy() for x in places[low + d].values.flatten())
+                place, two = place[place + WINDOW <= n], two[place + WINDOW <= n]
+                place = np.unique(place[fingerprints(w, w.first[d] + place)[1] == two])
+                edges = np.zeros(n + 1, np.int64)
+                np.add.at(edges, place, 1)
+                np.add.at(edges, place + WINDOW, -1)
+                covered = np.cumsum(edges[:-1]) > 0
+                counts.append(int(covered.sum()))
+                hashes.append(hashlib.sha256(b" ".join(x for x, gone in zip(text.doc(d).split(), covered.tolist()) if not gone)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), b.column(1).slice(low, high - low),
+                                              pa.array(counts, pa.int64()), pa.array(hashes, pa.string())], ["doc_id", "tag", "n_removed", "kept_sha256"])
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows (anchor, doc_id) whose anchor has several documents, and few others."""
+    return (rows.select("anchor", "doc_id").repartitionByRange("anchor", "doc_id").sortWithinPartitions("anchor", "doc_id")
+            .mapInArrow(_shared_rows, "anchor long, doc_id long"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -223,23 +236,24 @@ def dedup(docs: DataFrame) -> DataFrame:
     first = whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     copies = cut(whole.filter(F.col("n_words") >= WINDOW).join(first, ["h1", "h2"]).filter("doc_id > first_id").select("doc_id", "tag").distinct(), "copies")
 
-    # 1: shared anchors, by document
+    # 1: shared anchors, by document, without the documents whose every row is a copy
+    rest = whole.join(copies, ["doc_id", "tag"], "left_anti").select("doc_id")
+    only_copies = copies.select("doc_id").distinct().join(rest, "doc_id", "left_anti")
     rows = texts.filter("doc_id IS NOT NULL").mapInArrow(_anchor_rows, "anchor long, doc_id long")
-    shared = (rows.repartitionByRange("anchor", "doc_id").sortWithinPartitions("anchor", "doc_id")
-              .mapInArrow(_shared_rows, "anchor long, doc_id long"))
+    shared = _shared(_shared(rows).join(only_copies, "doc_id", "left_anti"))
     by_doc = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
     # 2: their windows, verified
-    found = cut(tagged.join(copies, ["doc_id", "tag"], "left_anti").join(by_doc, "doc_id")
-                .mapInArrow(_candidates, "doc_id long, tag long, text string, starts binary").filter("octet_length(starts) > 0"), "candidates")
-    windows = found.mapInArrow(_windows, "w1 long, w2 long, doc_id long, tag long, place int")
+    found = cut(tagged.join(by_doc, "doc_id").mapInArrow(_candidates, "doc_id long, tag long, text string, starts binary")
+                .filter("octet_length(starts) > 0"), "candidates")
+    windows = found.select("doc_id", "text", "starts").mapInArrow(_windows, "w1 long, w2 int, doc_id long, place int")
     repeats = (windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
                .filter("first_id < last_id").select("w1", "w2", "first_id"))
     places = (windows.join(repeats, ["w1", "w2"]).filter("doc_id > first_id")
-              .groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places")))
+              .groupBy("doc_id").agg(F.collect_list(F.struct("place", "w2")).alias("places")))
 
     # 3: what is left
-    left = (found.select("doc_id", "tag", "text").join(places, ["doc_id", "tag"])
+    left = (found.select("doc_id", "tag", "text").join(places, "doc_id")
             .mapInArrow(_removed, "doc_id long, tag long, n_removed long, kept_sha256 string").dropDuplicates(["doc_id", "tag"]))
     gone = copies.withColumn("copy", F.lit(True))
     return (whole.join(left, ["doc_id", "tag"], "left").join(gone, ["doc_id", "tag"], "left")

@@ -26,8 +26,9 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 #: A host is blocked when its bad rate is surely above this: its posterior mean less ``SURE``
 #: standard deviations.
 MAX_BAD, SURE = 0.5, 1.645
-#: Bounds of the fitted correlation of outcomes within a group; prior strength is (1 - r) / r.
-LEAST_R, MOST_R = 1e-4, 0.999
+#: Bounds of the fitted correlation of outcomes within a group. Prior strength is (1 - r) / r, so a
+#: prior counts as two pages at least, and a single label does not block a host.
+LEAST_R, MOST_R = 1e-4, 0.3333
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -109,7 +110,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _POSTERIOR = """
 {name}_fit AS (
-  SELECT least(0.999::DOUBLE, greatest(0.0001::DOUBLE, CASE WHEN sum(CASE WHEN n > 0 THEN n - 1 END) > 0
+  SELECT least(0.3333::DOUBLE, greatest(0.0001::DOUBLE, CASE WHEN sum(CASE WHEN n > 0 THEN n - 1 END) > 0
            THEN (sum(CASE WHEN n > 0 THEN (k - n * m) * (k - n * m) / (n * m * (1 - m)) END) - count(CASE WHEN n > 0 THEN 1 END))
                 / sum(CASE WHEN n > 0 THEN n - 1 END) ELSE 0.0001 END)) AS r FROM {name}),
 {name}_post AS (
