@@ -8,11 +8,13 @@ similarity. Candidates are verified by banded alignment: with M shingles aligned
 the similarity is M / (n1 + n2 - M), the Jaccard index of ordered shingles; 0.8 links.
 
 Documents with equal words are one node. In a first step each node of a bucket is compared with
-the bucket's smallest; linked nodes form components. Buckets whose other nodes fall into several
-components are left with pairs that were not compared: these nodes are joined on their rarest shingles (a
-prefix filter, which loses no pair of the similarity), across components only, and verified
-too. So no bucket is expanded into all pairs and no link between candidates is lost. A pair
-at the similarity shares none of the keys with a chance of 1e-5; more similar pairs, less.
+the bucket's smallest and largest; linked nodes form components. Buckets whose other nodes fall into
+several components are left with pairs that were not compared. In ``MERGES`` further steps one node
+drawn of each component of such a bucket is compared with one of another, which soon joins
+large groups. The nodes of buckets that are still mixed are then joined on their rarest shingles (a
+prefix filter with positions, which loses no pair of the similarity), across components only, and
+verified too. So no bucket is expanded into all pairs and no link between candidates is lost. A
+pair at the similarity shares none of the keys with a chance of 1e-5; more similar pairs, less.
 
 Defined results: words are runs of other than white space, A-Z lower-cased; a text of fewer than five
 words is one shingle; a null, empty or blank text has none and is a class of its own; of each class
@@ -39,6 +41,8 @@ from .components import components
 SHINGLE, SIMILAR = 5, 0.8
 #: Orders, and labelled shingles kept of each.
 SKETCHES, KEEP = 16, 3
+#: Steps that compare components by a drawn node before all is compared.
+MERGES = 2
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _rng = np.random.default_rng(1905)
 _XOR = _rng.integers(0, 1 << 63, SKETCHES, np.uint64)
@@ -167,24 +171,42 @@ def _labelled_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                                               pa.array(np.full(len(own), len(own))), pa.array(own)], ["node", "root", "n", "shingle"])
 
 
-def _left_pairs(members: DataFrame, roots: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Candidate pairs across components that the first step did not compare: nodes, other than the
-    smallest, of buckets in which these fall into several components, joined on their rarest shingles. A pair at
-    the similarity shares at least s * n shingles of either, so one of each node's n - ceil(s * n) + 1
-    rarest."""
-    rest = members.filter("node <> center").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rest.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-    open_nodes = cut(rest.join(mixed, "key").select("node", "root").distinct(), "open")
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of buckets whose nodes, other than those that all were compared with, fall into
+    several components."""
+    rest = (members.filter("node <> low AND node <> high").select("key", "node").join(roots, "node", "left")
+            .withColumn("root", F.coalesce("root", "node")))
+    keys = cut(rest.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key"), "mixed")
+    return cut(rest.join(keys, "key"), "mixed")
+
+
+def _drawn_pairs(mixed: DataFrame, step: int) -> DataFrame:
+    """One drawn node of each component of a bucket, with the drawn node of one of its components."""
+    order = F.xxhash64("node", F.lit(step))
+    reps = mixed.groupBy("key", "root").agg(F.min(F.struct(order.alias("h"), "node")).alias("rep"))
+    centers = cut(reps.groupBy("key").agg(F.min("rep").alias("center")), "centers")
+    return (reps.join(centers, "key").select(F.col("rep.node").alias("a"), F.col("center.node").alias("b"))
+            .filter("a <> b").distinct())
+
+
+def _left_pairs(mixed: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Candidate pairs across the components of mixed buckets, by their rarest shingles. A pair at the
+    similarity has at least s (n1 + n2) / (1 + s) shingles in common, so at least s n of either: one of each
+    node's n - ceil(s n) + 1 rarest is common, and the first that is has enough shingles behind it in
+    both."""
+    open_nodes = mixed.select("node", "root").distinct()
     rows = cut(open_nodes.join(sequences, "node").select("node", "root", "words")
                .mapInArrow(_labelled_rows, "node long, root long, n long, shingle long"), "open-shingles")
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("least"), F.max("root").alias("most"))
     rank = F.row_number().over(W.Window.partitionBy("node").orderBy("df", "shingle"))
     prefix = cut(rows.join(often, "shingle").withColumn("rank", rank)
                  .filter((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9) + 1) & (F.col("least") != F.col("most")))
-                 .select("shingle", "node", "root", "n"), "prefix")
-    other = prefix.select("shingle", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    return (prefix.join(other, "shingle").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb"))
-                                                 & (F.least("n", "nb") >= SIMILAR * F.greatest("n", "nb") - 1e-9))
+                 .select("shingle", "node", "root", "n", "rank"), "prefix")
+    other = prefix.select("shingle", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("rank").alias("kb"))
+    behind = F.least(F.col("n") - F.col("rank"), F.col("nb") - F.col("kb")) + 1
+    return (prefix.join(other, "shingle")
+            .filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb"))
+                    & (behind >= (F.col("n") + F.col("nb")) * (SIMILAR / (1 + SIMILAR)) - 1e-9))
             .select(F.col("node").alias("a"), "b").distinct())
 
 
@@ -196,18 +218,25 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = cut(texts.select("doc_id", tag, "text").mapInArrow(_sketched, "doc_id long, tag long, node long, n long, keys array<long>"), "sketches")
     nodes = cut(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "tag")).alias("rep"), F.first("keys").alias("keys")), "nodes")
     bands = nodes.select("node", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "center")
+    shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     members = cut(bands.join(shared, "key"), "members")
-    pairs = members.filter("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    ends = F.explode(F.array("low", "high"))
+    pairs = members.select(F.col("node").alias("a"), ends.alias("b")).filter("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tag").alias("rep_tag"))
     sequences = cut(texts.withColumn("tag", F.crc32("text"))
                     .join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("tag") == F.col("rep_tag")))
                     .select("node", "text").mapInArrow(_sequences, "node long, words binary").dropDuplicates(["node"]), "sequences")
     links = cut(_verified(pairs, sequences), "links")
     roots = components(links)
-    more = cut(_verified(_left_pairs(members, roots, sequences), sequences), "links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    for step in range(MERGES + 1):
+        mixed = _mixed(members, roots)
+        if mixed.isEmpty():
+            break
+        more = cut(_verified(_drawn_pairs(mixed, step) if step < MERGES else _left_pairs(mixed, sequences), sequences), "links")
+        if not more.isEmpty():  # links and the components they have made
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+            roots = components(links)
     own = rows.select("doc_id", "tag", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of = cut(own.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")
     full = own.filter("n > 0").join(of, "root").select("doc_id", "class_id", "class_size", "tag")
