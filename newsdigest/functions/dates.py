@@ -29,7 +29,7 @@ MONTHS_ABBR = [m[:3] for m in MONTHS]
 # characters kept before parsing: Latin blocks (Basic, Latin-1, Extended-A/B, Additional)
 NON_LATIN = "[^\\u0000-\\u024F\\u1E00-\\u1EFF]"
 
-ISO_RE = "^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})"
+ISO_RE = "^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})([t ].*)?$"
 DOTTED_RE = "^([0-9]{1,2})\\.([0-9]{1,2})\\.([0-9]{4})$"
 DMY_RE = "^([0-9]{1,2}) ([a-z]+),? ([0-9]{4})$"
 MDY_RE = "^([a-z]+) ([0-9]{1,2}),? ([0-9]{4})$"

@@ -37,13 +37,17 @@ SENTENCE_END = "([.!?])\\s+"
 _SENT_MARK = "\u0001"
 
 
+#: a character that is no white space, Unicode blanks included
+NOT_BLANK = "(?U)\\S"
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def paragraphs(text) -> Column:
     """Non-blank paragraphs, in order."""
-    return F.filter(F.split(_c(text), "\n"), lambda p: p.rlike("\\S"))
+    return F.filter(F.split(_c(text), "\n"), lambda p: p.rlike(NOT_BLANK))
 
 
 def head(paras, n: int = 4) -> Column:
@@ -59,7 +63,7 @@ def head_text(text, n: int = 4) -> Column:
 def sentences(paragraph) -> Column:
     """Sentences of one paragraph; the end mark stays with its sentence."""
     marked = F.regexp_replace(_c(paragraph), SENTENCE_END, "$1" + _SENT_MARK)
-    return F.filter(F.split(marked, _SENT_MARK), lambda s: s.rlike("\\S"))
+    return F.filter(F.split(marked, _SENT_MARK), lambda s: s.rlike(NOT_BLANK))
 
 
 def mask_quoted(s, cfg: Config) -> Column:
@@ -231,4 +235,4 @@ def candidate_text(title, text) -> Column:
 
 def has_text(text) -> Column:
     """not null and not only white space."""
-    return _c(text).isNotNull() & _c(text).rlike("\\S")
+    return _c(text).isNotNull() & _c(text).rlike(NOT_BLANK)

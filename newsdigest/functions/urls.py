@@ -59,7 +59,7 @@ def resolve_link(href2, href, base_url) -> Column:
 
 def strip_ws(s) -> Column:
     """Python-style strip of leading/trailing white space (``F.trim`` strips spaces only)."""
-    return F.regexp_replace(_c(s), "^\\s+|\\s+$", "")
+    return F.regexp_replace(_c(s), "(?U)^\\s+|\\s+$", "")
 
 
 def clean_source_url(url) -> Column:

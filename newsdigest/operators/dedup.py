@@ -34,15 +34,15 @@ def prefix_terms(vectors: DataFrame, ksim: float) -> DataFrame:
     """The indexed prefix of every vector: (id, term, w, k, rest) where ``k`` is the
     term's position in the global order and ``rest`` the norm of the vector strictly
     after it. The rest-of-vector norm comes from a running sum (one pass per document),
-    not an unbounded-following frame; terms in one document only are never indexed
-    (they cannot be shared)."""
+    not an unbounded-following frame. ``df`` only orders the terms: it may come from a stored
+    model, so it does not tell which terms are shared here."""
     w = Window.partitionBy("id")
     run = Window.partitionBy("id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
     sq = F.col("w") * F.col("w")
     return (vectors.withColumn("_tot", F.sum(sq).over(w))
             .withColumn("_run", F.sum(sq).over(run))
             .withColumn("_rest", F.col("_tot") - F.col("_run") + sq)
-            .filter((F.col("_rest") > F.lit(ksim * ksim - _EPS)) & (F.col("df") > 1))
+            .filter(F.col("_rest") > F.lit(ksim * ksim - _EPS))
             .select("id", "term", "w", F.struct("df", "term").alias("k"),
                     F.sqrt(F.greatest(F.col("_tot") - F.col("_run"), F.lit(0.0))).alias("rest")))
 
@@ -75,7 +75,7 @@ def cosine_pairs(vectors: DataFrame, ksim: float) -> DataFrame:
     return exact.unionByName(dots).filter(F.col("cos") > F.lit(ksim))
 
 
-def leader_clusters(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def leader_clusters(pairs: DataFrame) -> DataFrame:
     """A5 over the nodes that have at least one pair: rows in ``id`` order; an
     unassigned row leads and takes every still-unassigned row it is similar to.
 
@@ -89,9 +89,7 @@ def leader_clusters(pairs: DataFrame, max_rounds: int | None = None) -> DataFram
     edges = cut_lineage(pairs.select("a", "b"))
     nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
     state = cut_lineage(nodes.withColumn("leader", F.lit(None).cast("long")))
-    rounds = 0
     while True:
-        rounds += 1
         st_a = state.select(F.col("id").alias("a"), F.col("leader").alias("la"))
         agg = (edges.join(st_a, "a")
                .groupBy("b")
@@ -107,7 +105,7 @@ def leader_clusters(pairs: DataFrame, max_rounds: int | None = None) -> DataFram
         undecided = new_state.filter(F.col("leader").isNull())
         n_left = undecided.count()
         state = new_state
-        if n_left == 0 or (max_rounds is not None and rounds >= max_rounds):
+        if n_left == 0:
             break
         followers = new_state.filter(F.col("leader") != F.col("id")).select(F.col("id").alias("a"))
         edges = cut_lineage(

@@ -1,9 +1,7 @@
 """Domain canonicalisation (J4) and rule routing.
 
-Suffix templates and extraction rules are configuration: one row per template or per
-host, bounded by the configuration size, so they are broadcast explicitly. The theta
-join on ``endswith`` becomes a broadcast nested-loop join that never shuffles the
-large side.
+Suffix templates and rules are tables of any size: a host's ends are exploded once per distinct host and
+joined to the templates by equality; rules join by host. Spark broadcasts what is small at run time.
 """
 
 from __future__ import annotations
@@ -13,40 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import lookup_host
 
-#: configuration tables above this many rows are not broadcast
-MAX_BROADCAST_ROWS = 100_000
-
-
-def _bounded(df: DataFrame, what: str) -> DataFrame:
-    n = df.count()
-    if n > MAX_BROADCAST_ROWS:
-        raise ValueError(f"{what}: {n} rows exceed the broadcast bound {MAX_BROADCAST_ROWS}")
-    return F.broadcast(df)
-
-
-#: suffix lists up to this size become one CASE expression (no join at all)
-MAX_INLINE_SUFFIXES = 1_000
-
 
 def canonical_domain(df: DataFrame, suffixes: DataFrame, url_col: str = "url",
                      key_col: str = "row_id") -> DataFrame:
     """The lookup host of each URL, replaced by the first template (by ``ord``) it
-    ends with; unchanged when none matches. ``suffixes``: (ord, template).
-
-    A configuration-sized list (checked) becomes one ordered CASE expression evaluated
-    per row: no join and no shuffle. A larger list is matched once per distinct host
-    (broadcast nested-loop join on ``endswith``) and the host map is joined back."""
+    ends with; unchanged when none matches. ``suffixes``: (ord, template). A template may end
+    anywhere in a label, so every end of a host is tried."""
     hosts = df.withColumn("netloc", lookup_host(F.col(url_col)))
-    n = suffixes.count()
-    if n <= MAX_INLINE_SUFFIXES:
-        rows = suffixes.select("ord", "template").orderBy("ord").collect()  # bounded: checked above
-        expr = F.col("netloc")
-        for r in reversed(rows):
-            expr = F.when(F.endswith(F.col("netloc"), F.lit(r["template"])), F.lit(r["template"])).otherwise(expr)
-        return hosts.withColumn("canonical", expr)
-    distinct_hosts = hosts.select("netloc").distinct()
-    sfx = _bounded(suffixes.select("ord", "template"), "suffixes")
-    mapping = (distinct_hosts.join(sfx, F.endswith(F.col("netloc"), F.col("template")), "left")
+    ends = F.transform(F.sequence(F.lit(1), F.length("netloc")), lambda i: F.col("netloc").substr(i, F.length("netloc")))
+    mapping = (hosts.select("netloc").filter(F.length("netloc") > 0).distinct()
+               .select("netloc", F.explode(ends).alias("template"))
+               .join(suffixes.select("ord", "template"), "template")
                .groupBy("netloc").agg(F.min_by("template", "ord").alias("_t")))
     return (hosts.join(mapping, "netloc", "left")
             .withColumn("canonical", F.coalesce(F.col("_t"), F.col("netloc")))
@@ -56,6 +31,6 @@ def canonical_domain(df: DataFrame, suffixes: DataFrame, url_col: str = "url",
 def route_rules(df: DataFrame, rules: DataFrame, host_col: str = "canonical") -> DataFrame:
     """J5 + F6: left join the per-host rule row; ``has_rule`` is false when the host has
     no rule (no rule extraction, the generic path applies)."""
-    r = _bounded(rules.withColumnRenamed("netloc", "_rule_host"), "rules")
+    r = rules.withColumnRenamed("netloc", "_rule_host")
     out = df.join(r, F.col(host_col) == F.col("_rule_host"), "left")
     return out.withColumn("has_rule", F.col("_rule_host").isNotNull()).drop("_rule_host")

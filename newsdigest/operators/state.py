@@ -21,14 +21,14 @@ def new_items(items: DataFrame, state: DataFrame, keys=("site_name", "href2")) -
     return items.join(state.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def unsent(found: DataFrame, history: DataFrame | None, order_col: str = "text") -> DataFrame:
+def unsent(found: DataFrame, history: DataFrame | None, order_col: str = "text", tie_col: str | None = None) -> DataFrame:
     """Drop URLs already in today's history (none: the first run of the day), then
-    a URL is kept once (first by ``order_col``)."""
+    a URL is kept once (first by ``order_col``, then ``tie_col``)."""
     rest = found if history is None else found.join(history.select("url").distinct(), "url", "left_anti")
     # first wins as a partial aggregate (a URL repeated in a third of all rows is
     # combined map-side), not a window partitioned by URL
     cols = [c for c in rest.columns if c != "url"]
-    first = rest.groupBy("url").agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("_f"))
+    first = rest.groupBy("url").agg(F.min_by(F.struct(*cols), F.struct(order_col, *([tie_col] if tie_col else []))).alias("_f"))
     return first.select("url", *[F.col(f"_f.{c}").alias(c) for c in cols])
 
 

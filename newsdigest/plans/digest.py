@@ -96,6 +96,16 @@ def scored(distinct: DataFrame, labels: DataFrame, cfg: Config, res: TextResourc
     return probs.withColumnRenamed("id", "pos"), vectors
 
 
+def scored_raw(distinct: DataFrame, labels: DataFrame):
+    """Rows (id, url, text, prob) with a non-zero vector (F8) of the whole raw texts, and the vectors."""
+    distinct = cut_lineage(distinct)
+    terms = scoring.doc_terms_raw(distinct, "pos", "text")
+    vectors = scoring.tfidf_vectors(terms, scoring.fit_idf(terms, distinct.count()))
+    weights, b = scoring.fit_linear_model(terms, labels)
+    ids = scoring.nonzero_vector(distinct.select(F.col("pos").alias("id"), "url", "text"), vectors)
+    return scoring.lr_score(ids, vectors, weights, b), vectors
+
+
 def score_news_v1(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Config,
                   history: DataFrame | None = None) -> DataFrame:
     """M4: the first-generation scorer: raw-text TF-IDF (no cleaning), rows with a zero
@@ -103,15 +113,9 @@ def score_news_v1(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg:
     (J2), links shown undone (P10). Returns (pos, url, prob)."""
     cands = candidates_from_documents(docs, cfg)
     distinct = resolved_texts(ordered_candidates(cands, history), cfg)
-    distinct = cut_lineage(distinct)
-    terms = scoring.doc_terms_raw(distinct, "pos", "text")
-    idf = scoring.fit_idf(terms, distinct.count())
-    vectors = scoring.tfidf_vectors(terms, idf)
-    weights, b = scoring.fit_linear_model(terms, labels)
-    ids = scoring.nonzero_vector(distinct.select(F.col("pos").alias("id"), "url", "text"), vectors)
-    probs = scoring.lr_score(ids, vectors, weights, b)
+    probs, _ = scored_raw(distinct, labels)
     found = scoring.threshold_v1(probs, cfg.threshold_v1)
-    found = state.unsent(found, history, "text")
+    found = state.unsent(found, history, "text", "id")
     return found.select(F.col("id").alias("pos"), undo_messenger_link(F.col("url")).alias("url"), "prob")
 
 
@@ -128,7 +132,7 @@ def score_news_v2(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg:
              .withColumn("prob", scoring.round_prob("prob")))
     # Not in today's history; a URL is reported once, the first text in text order wins
     # materialised once: the text-order numbering reads it twice (sample, then sort)
-    found = cut_lineage(state.unsent(found, history, "text"))
+    found = cut_lineage(state.unsent(found, history, "text", "pos"))
     return found, vectors
 
 

@@ -22,23 +22,26 @@ from ..sources.extract import extract_articles, extract_listing
 
 
 def listing_items(pages: DataFrame, dates: DataFrame | None, cfg: Config, keywords: list[str],
-                  main_tag="li", main_attrs=None, title_tag="a", href_tag="a", text_tag=None) -> DataFrame:
+                  main_tag="li", main_attrs=None, title_tag="a", href_tag="a", text_tag=None, city_tag=None,
+                  date_tag=None) -> DataFrame:
     """Today's keyword-matching items of the listing pages: (site_name, href2, title,
-    date, pos). ``dates``: (page_id, date_str), missing -> undated (today)."""
-    items = extract_listing(pages, main_tag, main_attrs, title_tag, href_tag, text_tag)
+    date, city, pos). ``dates``: (page_id, date_str), missing -> undated (today). Selectors may be columns
+    of ``pages`` (per-site configuration)."""
+    items = extract_listing(pages, main_tag, main_attrs, title_tag, href_tag, text_tag, city_tag, date_tag)
     pg = pages.select("page_id", netloc(F.col("url")).alias("site_name"), origin(F.col("url")).alias("base_url"))
     x = items.join(pg, "page_id")
+    page_date = F.lit(None).cast("string")
     if dates is not None:
-        x = x.join(dates, "page_id", "left")
-    else:
-        x = x.withColumn("date_str", F.lit(""))
-    x = with_day(x.withColumn("date_str", F.coalesce(F.col("date_str"), F.lit(""))), "date_str", "day", cfg)
+        x = x.join(dates.select("page_id", F.col("date_str").alias("page_date")), "page_id", "left")
+        page_date = F.col("page_date")
+    own = F.nullif(F.col("date_str"), F.lit(""))  # an item's own date comes before its page's
+    x = with_day(x.withColumn("date_str", F.coalesce(own, page_date, F.lit(""))), "date_str", "day", cfg)
     x = filters.today_filter(x, cfg.run_day)
     x = filters.keyword_filter(x, keywords, "title", "text", cfg.filter_by_keywords)
     return x.select("site_name",
                     resolve_link(F.col("href2"), F.col("href"), F.col("base_url")).alias("href2"),
-                    "title", F.date_format("day", "yyyy-MM-dd").alias("date"),
-                    (F.col("page_id") * 1000 + F.col("item_no")).alias("pos"))
+                    "title", F.date_format("day", "yyyy-MM-dd").alias("date"), "city",
+                    F.struct("page_id", "item_no").alias("pos"))
 
 
 def ingest(pages: DataFrame, dates: DataFrame | None, sites: DataFrame, cfg: Config, keywords: list[str],

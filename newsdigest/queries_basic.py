@@ -436,7 +436,7 @@ def q_unsent_urls(spark, sf):
     hist = (_t(spark, sf, "labels").filter(F.col("toxic") == 1)
             .join(_t(spark, sf, "documents"), "doc_id")
             .select(F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/")).alias("url")))
-    return state.unsent(found, hist).select("url", "doc_id")
+    return state.unsent(found, hist, "text", "doc_id").select("url", "doc_id")
 
 
 def sql_unsent_urls():

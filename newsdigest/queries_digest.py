@@ -263,14 +263,19 @@ def sql_lr_score():
     return f"WITH {chain_sql()}\nSELECT pos, url, round(prob, 6) AS prob FROM probs"
 
 
+def _scored_raw(spark, sf):
+    """The first scorer's rows and vectors: terms of the whole raw texts."""
+    cands = D.candidates_from_documents(_docs(spark, sf), CFG)
+    return D.scored_raw(D.resolved_texts(D.ordered_candidates(cands, None), CFG), _labels(spark, sf))
+
+
 def q_lr_threshold_v1(spark, sf):
-    probs, vectors = _scored(spark, sf)
-    nz = scoring.nonzero_vector(probs.withColumnRenamed("pos", "id"), vectors).withColumnRenamed("id", "pos")
-    return scoring.threshold_v1(nz, CFG.threshold_v1).select("pos", "url", F.round("prob", 6).alias("prob"))
+    probs, _ = _scored_raw(spark, sf)
+    return scoring.threshold_v1(probs, CFG.threshold_v1).select(F.col("id").alias("pos"), "url", F.round("prob", 6).alias("prob"))
 
 
 def sql_lr_threshold_v1():
-    return f"""WITH {chain_sql()}
+    return f"""WITH {chain_sql(raw_terms=True)}
 SELECT pos, url, round(prob, 6) AS prob FROM probs
 WHERE pos IN (SELECT id FROM vec) AND prob >= {CFG.threshold_v1!r}"""
 
@@ -287,13 +292,12 @@ SELECT pos, url, round_even(prob, 3) AS prob FROM probs WHERE round_even(prob, 3
 
 
 def q_nonzero_vector(spark, sf):
-    probs, vectors = _scored(spark, sf)
-    return scoring.nonzero_vector(probs.select(F.col("pos").alias("id"), "url"), vectors) \
-        .withColumnRenamed("id", "pos")
+    probs, _ = _scored_raw(spark, sf)
+    return probs.select(F.col("id").alias("pos"), "url")
 
 
 def sql_nonzero_vector():
-    return f"WITH {chain_sql()}\nSELECT pos, url FROM cleaned WHERE pos IN (SELECT id FROM vec)"
+    return f"WITH {chain_sql(raw_terms=True)}\nSELECT pos, url FROM probs WHERE pos IN (SELECT id FROM vec)"
 
 
 def q_tfidf(spark, sf):
@@ -362,20 +366,21 @@ def sql_sentences():
 
 
 def q_clean_text(spark, sf):
-    return _doc_select(spark, sf, D.clean_column(F.col("text"), CFG, RES), "cleaned")
+    """T15 over whole texts."""
+    return _doc_select(spark, sf, D.clean_column(F.col("text"), CFG, RES, head_n=0), "cleaned")
 
 
 def sql_clean_text():
-    return f"SELECT doc_id, {clean_sql('text')} AS cleaned FROM documents"
+    return f"SELECT doc_id, {clean_sql('text', 0)} AS cleaned FROM documents"
 
 
-def q_clean_text_full(spark, sf):
-    """T15 without the head limit: whole texts."""
-    return _doc_select(spark, sf, D.clean_column(F.col("text"), CFG, RES, head_n=0), "cleaned")
+def q_clean_text_head(spark, sf):
+    """T14 before T15: the first paragraphs, as the second scorer reads them."""
+    return _doc_select(spark, sf, D.clean_column(F.col("text"), CFG, RES), "cleaned")
 
 
-def sql_clean_text_full():
-    return f"SELECT doc_id, {clean_sql('text', 0)} AS cleaned FROM documents"
+def sql_clean_text_head():
+    return f"SELECT doc_id, {clean_sql('text')} AS cleaned FROM documents"
 
 
 def _sentence_step(spark, sf, fn):
@@ -516,7 +521,7 @@ QUERIES = {
     "head_paragraphs": (q_head_paragraphs, sql_head_paragraphs),
     "sentences": (q_sentences, sql_sentences),
     "clean_text": (q_clean_text, sql_clean_text),
-    "clean_text_full": (q_clean_text_full, sql_clean_text_full),
+    "clean_text_head": (q_clean_text_head, sql_clean_text_head),
     "mask_quoted": (q_mask_quoted, sql_mask_quoted),
     "mask_numbers": (q_mask_numbers, sql_mask_numbers),
     "alphabet_filter": (q_alphabet_filter, sql_alphabet_filter),

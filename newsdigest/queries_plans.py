@@ -88,7 +88,7 @@ li AS (SELECT page_id, url, unnest({hrefs}) AS href, unnest({titles}) AS title,
               unnest(range(0, len({hrefs}))) AS item_no FROM pages),
 it AS (
   SELECT {O.netloc('p.url')} AS site_name, {O.resolve_link(chr(39) * 2, 'p.href', origin_sql)} AS href2,
-         {O.strip_ws('p.title')} AS title, strftime({day}, '%Y-%m-%d') AS date, p.page_id * 1000 + p.item_no AS pos
+         {O.strip_ws('p.title')} AS title, strftime({day}, '%Y-%m-%d') AS date, row(p.page_id, p.item_no) AS pos
   FROM li p LEFT JOIN (SELECT page_id, coalesce(n, '') AS n FROM ds) d USING (page_id)
   WHERE {day} = DATE '{CFG.run_day}'
     AND ({_kw_sql(O.strip_ws('p.title'))})

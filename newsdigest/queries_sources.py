@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import oracle as O
 from .config import (LATIN_NEGATION, MESSENGER_MESSAGE_CLASSES, MESSENGER_TEXT_CLASSES, latin_config)
 from .functions.urls import origin, resolve_link
+from .operators import domains
 from .session import read_table
 from .sources import extract as X
 from .sources import scans as S
@@ -129,8 +130,10 @@ def sql_article_text():
 
 
 def q_subtag_text(spark, sf):
-    a = _articles(spark, sf)
-    return a.filter(F.col("canonical") == "example.net").select("page_id", "text")
+    """The host is known before the parse, so other hosts' pages are not parsed."""
+    pages = domains.canonical_domain(_t(spark, sf, "pages"), _suffixes(spark), "url", "page_id")
+    own = pages.filter(F.col("canonical") == "example.net").select("page_id", "url", "html")
+    return X.extract_articles(own, _rules(spark), _suffixes(spark)).select("page_id", "text")
 
 
 def sql_subtag_text():
@@ -138,14 +141,8 @@ def sql_subtag_text():
 
 
 def q_article_text_generic(spark, sf):
-    from .sources import html as H
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"page_id": pdf["page_id"].values,
-                                "text": [H.generic_article(h) for h in pdf["html"].values]})
-    return _t(spark, sf, "pages").select("page_id", "html").mapInPandas(run, "page_id long, text string")
+    pages = X.parsed(_t(spark, sf, "pages").select("page_id", "html"))
+    return pages.select("page_id", X.generic_text(F.col("events")).alias("text"))
 
 
 def sql_article_text_generic():
@@ -153,21 +150,9 @@ def sql_article_text_generic():
 
 
 def q_drop_subtrees(spark, sf):
-    from .sources import html as H
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for h in pdf["html"].values:
-                root = H.parse(h)
-                for tag, attrs in (("nav", None), ("footer", None), ("div", {"class": "ad"})):
-                    for n in root.find_all(tag, attrs):
-                        n.extract()
-                body = root.find("body")
-                out.append(body.text() if body is not None else "")
-            yield pd.DataFrame({"page_id": pdf["page_id"].values, "text": out})
-    return _t(spark, sf, "pages").select("page_id", "html").mapInPandas(run, "page_id long, text string")
+    pages = X.parsed(_t(spark, sf, "pages").select("page_id", "html"))
+    drops = [("nav", {}), ("footer", {}), ("div", {"class": "ad"})]
+    return pages.select("page_id", X.remaining_text(F.col("events"), drops).alias("text"))
 
 
 def sql_drop_subtrees():
@@ -401,22 +386,30 @@ LEFT JOIN c ON c.url = f.url AND c.attempt = f.attempt"""
 # --- P11, P6 ----------------------------------------------------------------------------
 
 def q_decode_body(spark, sf):
+    """Odd pages come as ISO-8859-1 bytes, which are mostly no UTF-8, the others as UTF-8."""
     p = _t(spark, sf, "pages")
-    return p.select("page_id", F.length(S.decode_body(F.encode("html", "UTF-8"))).cast("long").alias("n_chars"))
+    latin = F.regexp_replace("html", "[^\\x00-\\xFF]", "")
+    body = F.when(F.col("page_id") % 2 == 1, F.encode(latin, "ISO-8859-1")).otherwise(F.encode("html", "UTF-8"))
+    return p.select("page_id", F.md5(F.encode(S.decode_body(body), "UTF-8")).alias("body_md5"))
 
 
 def sql_decode_body():
-    return "SELECT page_id, length(html) AS n_chars FROM pages"
+    return """SELECT page_id, md5(CASE WHEN page_id % 2 = 1 THEN regexp_replace(html, '[^\\x{00}-\\x{FF}]', '', 'g') ELSE html END) AS body_md5
+FROM pages"""
 
 
 def q_mojibake_repair(spark, sf):
+    """French texts are mojibake; Spanish ones hold a letter that the charset lacks; the others never were
+    mojibake, so their letters beyond ASCII are bytes that are no UTF-8."""
     d = _t(spark, sf, "documents")
-    moj = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    return d.select("doc_id", S.repair_mojibake(moj, "ISO-8859-1").alias("text"))
+    text = (F.when(F.col("lang") == "fr", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"))
+            .when(F.col("lang") == "es", F.concat("text", F.lit("\u044f"))).otherwise(F.col("text")))
+    return d.select("doc_id", S.repair_mojibake(text, "ISO-8859-1").alias("text"))
 
 
 def sql_mojibake_repair():
-    return "SELECT doc_id, text FROM documents"
+    return """SELECT doc_id, CASE lang WHEN 'es' THEN '' WHEN 'fr' THEN text ELSE regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') END AS text
+FROM documents"""
 
 
 QUERIES = {

@@ -61,14 +61,15 @@ FROM events WHERE CAST(ts AS DATE) = DATE '{CFG.run_day}'"""
 
 
 def q_stream_daily_counts(spark, sf):
+    """Update mode: a batch gives the counts that it changed, which replace those of their day; days behind
+    the watermark leave the state."""
     out = ST.stream_dir(spark, "daily")
-    s = ST.daily_counts(_events(spark, sf), "event_type").select("day", "event_type", "n_events")
-
-    def overwrite(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/data")
-    ST.run_available(s.writeStream.outputMode("complete").foreachBatch(overwrite)
+    s = ST.daily_counts(_events(spark, sf), "event_type").select(
+        F.col("day").alias("run_date"), "event_type", "n_events", F.lit(1).alias("run_no"))
+    merge = ST.upsert_batches(f"{out}/data", ["event_type"], "run_no", "n_events")
+    ST.run_available(s.writeStream.outputMode("update").foreachBatch(merge)
                      .option("checkpointLocation", f"{out}/_chk"), out)
-    return spark.read.parquet(f"{out}/data")
+    return spark.read.parquet(f"{out}/data").select(F.col("run_date").alias("day"), "event_type", "n_events")
 
 
 SQL_DAILY = """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n_events FROM events GROUP BY 1, 2"""

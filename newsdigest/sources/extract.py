@@ -1,12 +1,19 @@
-"""Spark jobs around the tolerant HTML helpers: article resolution by rule (S6-S8,
-P14, P15, P17, F12), listing items (S5, P3, P5), and built-in regex extraction for
-regular markup."""
+"""Extraction from markup events (:mod:`newsdigest.sources.html`): articles by rule (S6-S8, P14, P15, P17,
+F12) and listing items (S5, P3, P5).
+
+Every rule is a column expression over a page's array of events, so a page never leaves its row and
+nothing shuffles. Routing and filters come before the parse.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import config
+from ..functions.text import has_text
 from ..functions.urls import path as url_path
 from ..operators import domains
 from . import html as H
@@ -14,60 +21,170 @@ from . import html as H
 RULE_DIV = "array<struct<tag: string, attrs: map<string, string>>>"
 RULES_SCHEMA = (f"netloc string, divs {RULE_DIV}, drop_divs {RULE_DIV}, collect_all boolean, "
                 "sub_p boolean, ignore_header boolean, attr_from_path string")
-ARTICLE_OUT = "page_id long, url string, canonical string, has_rule boolean, text string, skipped boolean"
-LISTING_OUT = "page_id long, item_no int, title string, text string, href string, href2 string"
+LINE = "\n"
 
 
-def extract_articles(pages: DataFrame, rules: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """M6 extraction step: canonical host (J4), rule routing (J5/F6, broadcast), then one
-    ``mapInPandas`` over the pages. Returns (page_id, url, canonical, has_rule, text,
-    skipped)."""
-    c = domains.canonical_domain(pages.select("page_id", "url", "html"), suffixes, "url", "page_id")
-    routed = domains.route_rules(c, rules).withColumn("path", url_path(F.col("url")))
-    cols = ["page_id", "url", "html", "canonical", "has_rule", "divs", "drop_divs", "collect_all", "sub_p",
-            "ignore_header", "path", "attr_from_path"]
-    # the routing columns ride through the Python job, so the routed pages are not
-    # recomputed for a join back
-    return routed.select(*cols).mapInPandas(H.map_articles, ARTICLE_OUT)
+def parsed(pages: DataFrame) -> DataFrame:
+    """pages with ``events`` instead of ``html``; other columns ride along. Pages may be heavy, so
+    filter before."""
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != "html"]
+    return pages.select(*[c for c in pages.columns if c != "html"], "html").mapInPandas(H.map_events, ", ".join([*kinds, f"events {H.EVENTS}"]))
+
+
+# --- expressions over events -------------------------------------------------------
+
+def elements(events: Column) -> Column:
+    return F.filter(events, lambda e: e["tag"].isNotNull())
+
+
+def inside(events: Column, outer: Column) -> Column:
+    return F.filter(events, lambda e: (e["open"] > outer["open"]) & (e["close"] < outer["close"]))
+
+
+def text_of(events: Column, outer: Column) -> Column:
+    """All text inside an element, in order."""
+    return F.array_join(F.transform(F.filter(inside(events, outer), lambda e: e["tag"].isNull()), lambda e: e["text"]), "")
+
+
+def leading_text(events: Column, outer: Column) -> Column:
+    """P5: the text of an element before its first child element, stripped; empty without the element."""
+    own = inside(events, outer)
+    child = F.coalesce(F.array_min(F.transform(elements(own), lambda e: e["open"])), outer["close"])
+    pieces = F.transform(F.filter(own, lambda e: e["tag"].isNull() & (e["open"] < child)), lambda e: e["text"])
+    return F.coalesce(F.regexp_replace(F.array_join(pieces, ""), r"(?U)^\s+|\s+$", ""), F.lit(""))
+
+
+def selects(e: Column, tag: Column, attrs: Column) -> Column:
+    """An element has the tag, if one is asked for, and all attributes; a class may be one of several."""
+    def has(name: Column, value: Column) -> Column:
+        own = e["attrs"][name]
+        return F.coalesce((own == value) | ((name == "class") & F.array_contains(F.split(own, r"\s+"), value)), F.lit(False))
+    return (tag.isNull() | (e["tag"] == tag)) & F.forall(
+        F.map_entries(F.coalesce(attrs, F.create_map().cast("map<string,string>"))), lambda a: has(a["key"], a["value"]))
 
 
-def _map_listing(main_tag, main_attrs, title_tag, href_tag, text_tag):
-    import pandas as pd
+def found(events: Column, tag: Column | str, attrs: Column | None = None) -> Column:
+    """Elements that a selector names, in order."""
+    tag = F.lit(tag) if isinstance(tag, str) else tag
+    attrs = F.lit(None).cast("map<string,string>") if attrs is None else attrs
+    return F.filter(elements(events), lambda e: selects(e, tag, attrs))
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for pid, html in zip(pdf["page_id"].values, pdf["html"].values):
-                for i, title, text, href, href2 in H.listing_items(html, main_tag, main_attrs, title_tag,
-                                                                   href_tag, text_tag):
-                    rows.append((int(pid), i, title, text, href, href2))
-            yield pd.DataFrame(rows, columns=["page_id", "item_no", "title", "text", "href", "href2"])
-    return run
 
+def first(array: Column) -> Column:
+    return F.try_element_at(array, F.lit(1))
 
-def extract_listing(pages: DataFrame, main_tag: str, main_attrs: dict | None, title_tag: str,
-                    href_tag: str, text_tag: str | None = None) -> DataFrame:
-    """Listing items of every page (one output row per matched node)."""
-    return pages.select("page_id", "html").mapInPandas(
-        _map_listing(main_tag, main_attrs, title_tag, href_tag, text_tag), LISTING_OUT)
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
 
-# --- built-in regex extraction for regular markup ---------------------------------
 
-def unescape(c: Column) -> Column:
-    """The entities found in the fixture markup (``&amp;`` last; a truncated ``&amp``
-    without its semicolon decodes first, as an HTML parser does)."""
-    c = F.regexp_replace(c, "&amp([^;]|$)", "&$1")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+def without(events: Column, drops: Column) -> Column:
+    """Events outside every element that a selector of ``drops`` names."""
+    gone = F.filter(elements(events), lambda e: F.exists(drops, lambda d: selects(e, d["tag"], d["attrs"])))
+    return let(gone, lambda g: F.filter(events, lambda e: ~F.exists(g, lambda x: (e["open"] >= x["open"]) & (e["close"] <= x["close"]))))
 
 
-def strip_tags(c: Column) -> Column:
-    return unescape(F.regexp_replace(c, "<[^>]*>", ""))
+# --- articles -----------------------------------------------------------------------
 
+_NO_DIVS = f"cast(array() as {RULE_DIV})"
 
-def first_element(html: Column, tag: str) -> Column:
-    """Inner markup of the first ``tag`` element; an unclosed element runs to the end."""
-    inner = F.regexp_extract(html, f"(?s)<{tag}(?: [^>]*)?>(.*)", 1)
-    return F.element_at(F.split(inner, f"</{tag}>", 2), 1)
+
+def rule_text(events: Column, divs: Column, drops: Column, collect_all: Column, sub_p: Column, ignore_header: Column,
+              path: Column, attr_from_path: Column) -> Column:
+    """One line per selected element. Selectors are the header's h1, unless ignored, and the rule's; each
+    gives its first element or all. With ``sub_p`` an element that is no text element itself gives a line
+    for each text element inside, by tag, then in order (P15). An attribute of the first selector may be the
+    url's path (P17)."""
+    none = F.expr(_NO_DIVS)
+    own = F.transform(F.coalesce(divs, none), lambda d, i: F.struct(d["tag"].alias("tag"), F.when(
+        (i == 0) & attr_from_path.isNotNull() & path.isNotNull(),
+        F.map_concat(F.map_filter(F.coalesce(d["attrs"], F.create_map().cast("map<string,string>")), lambda k, _: k != attr_from_path),
+                     F.create_map(attr_from_path, path))).otherwise(d["attrs"]).alias("attrs")))
+    header = F.expr(f"cast(array(named_struct('tag', 'h1', 'attrs', null)) as {RULE_DIV})")
+    selectors = F.concat(F.when(ignore_header, none).otherwise(header), own)
+    text_tags = F.array(*[F.lit(t) for t in config.SUBTAG_KEYS])
+
+    def lines(kept: Column) -> Column:
+        def of(d: Column) -> Column:
+            all_of = found(kept, d["tag"], d["attrs"])
+            chosen = F.when(collect_all, all_of).otherwise(F.slice(all_of, 1, 1))
+            parts = lambda w: F.flatten(F.transform(text_tags, lambda t: F.transform(
+                F.filter(inside(kept, w), lambda e: e["tag"] == t), lambda e: text_of(kept, e))))
+            walk = sub_p & ~F.coalesce(F.array_contains(text_tags, d["tag"]), F.lit(False))
+            return F.flatten(F.transform(chosen, lambda w: F.when(walk, parts(w)).otherwise(F.array(text_of(kept, w)))))
+        return F.transform(F.flatten(F.transform(selectors, of)), lambda t: F.concat(t, F.lit(LINE)))
+
+    return F.array_join(let(without(events, F.coalesce(drops, none)), lines), "")
+
+
+def messenger_text(events: Column, url: Column) -> Column:
+    """The text block of the message that has the url's last two path segments as its key; null without."""
+    key = F.substring_index(url, "/", -2)
+    block = lambda within, cls: F.filter(elements(within), lambda e: (e["tag"] == "div") & (e["attrs"]["class"] == cls))
+    message = F.coalesce(*[first(F.filter(block(events, c), lambda e: e["attrs"]["data-post"] == key)) for c in config.MESSENGER_MESSAGE_CLASSES])
+    text = lambda m: F.coalesce(*[first(block(inside(events, m), c)) for c in config.MESSENGER_TEXT_CLASSES])
+    return let(let(message, text), lambda t: F.when(t.isNotNull(), text_of(events, t)))
+
+
+def generic_text(events: Column) -> Column:
+    """The title, then a line for each paragraph with text of the article, or body, or page."""
+    title = let(first(found(events, "title")), lambda t: F.coalesce(text_of(events, t), F.lit("")))
+    main = F.coalesce(first(found(events, "article")), first(found(events, "body")))
+    within = let(main, lambda m: F.when(m.isNull(), events).otherwise(inside(events, m)))
+    paragraphs = F.filter(F.transform(let(within, lambda w: found(w, "p")), lambda p: text_of(events, p)), has_text)
+    return F.concat(title, F.lit(LINE), F.array_join(paragraphs, LINE))
+
+
+def authors(events: Column, link_class: str) -> Column:
+    """texts of author links."""
+    links = found(events, "a", F.create_map(F.lit("class"), F.lit(link_class)))
+    return F.transform(links, lambda a: text_of(events, a))
+
+
+def remaining_text(events: Column, drops: list[tuple[str, dict[str, str]]]) -> Column:
+    """P14 alone: the body's text without the dropped elements."""
+    divs = F.array(*[F.struct(F.lit(t).alias("tag"), F.create_map(*[F.lit(x) for kv in a.items() for x in kv]).cast("map<string,string>").alias("attrs"))
+                     for t, a in drops])
+    return let(without(events, divs), lambda kept: F.coalesce(let(first(found(kept, "body")), lambda b: text_of(kept, b)), F.lit("")))
+
+
+def extract_articles(pages: DataFrame, rules: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """M6 extraction step: canonical host (J4) and rule (J5/F6) first, then the parse, then the text that
+    the host's kind asks for. Returns (page_id, url, canonical, has_rule, text, skipped)."""
+    c = domains.canonical_domain(pages.select("page_id", "url", "html"), suffixes, "url", "page_id")
+    routed = domains.route_rules(c, rules).select(
+        "page_id", "url", "html", "canonical", "has_rule", "divs", "drop_divs", "collect_all", "sub_p", "ignore_header",
+        url_path(F.col("url")).alias("path"), "attr_from_path")
+    e = F.col("events")
+    skipped = (F.col("canonical") == "vk.com") & F.array_contains(authors(e, config.AUTHOR_LINK_CLASS), config.SKIPPED_AUTHOR)
+    by_rule = rule_text(e, F.col("divs"), F.col("drop_divs"), F.col("collect_all"), F.col("sub_p"), F.col("ignore_header"),
+                        F.col("path"), F.col("attr_from_path"))
+    x = parsed(routed).withColumn("skipped", F.coalesce(skipped, F.lit(False)))
+    text = (F.when(F.col("canonical") == "t.me", messenger_text(e, F.col("url"))).when(F.col("skipped"), F.lit(None))
+            .when(F.col("has_rule"), by_rule).otherwise(generic_text(e)))
+    return x.select("page_id", "url", "canonical", "has_rule", text.alias("text"), "skipped")
+
+
+# --- listings ------------------------------------------------------------------------
+
+def extract_listing(pages: DataFrame, main_tag: str | Column, main_attrs: Column | None, title_tag: str | Column,
+                    href_tag: str | Column, text_tag: str | Column | None = None, city_tag: str | Column | None = None,
+                    date_tag: str | Column | None = None) -> DataFrame:
+    """One row per element that the main selector names: page_id, item_no, title, text, city, date_str,
+    href, href2. Selectors are tags or columns of ``pages`` (per-site configuration). A link without href
+    gives the text after it as the link (P3)."""
+    names = {"main": main_tag, "title": title_tag, "href": href_tag, "text": text_tag, "city": city_tag, "date": date_tag}
+    column = lambda t: F.lit(t).cast("string") if t is None or isinstance(t, str) else t
+    attrs = F.lit(None).cast("map<string,string>") if main_attrs is None else main_attrs
+    own = pages.select("page_id", "html", *[column(t).alias(f"{n}_tag") for n, t in names.items()], attrs.alias("main_attrs"))
+    e = F.col("events")
+    items = parsed(own).select("*", F.posexplode(found(e, F.col("main_tag"), F.col("main_attrs"))).alias("item_no", "item"))
+    part = lambda n: first(F.filter(elements(inside(e, F.col("item"))), lambda x: x["tag"] == F.col(f"{n}_tag")))
+    lead = lambda n: let(part(n), lambda x: leading_text(e, x))
+    items = items.withColumn("link", part("href"))
+    href = F.coalesce(F.col("link.attrs")["href"], F.lit(""))
+    tail = first(F.filter(e, lambda x: x["tag"].isNull() & (x["open"] == F.col("link.close") + 1)))
+    after = F.coalesce(F.regexp_replace(tail["text"], r"(?U)^\s+|\s+$", ""), F.lit(""))
+    return items.select("page_id", "item_no", lead("title").alias("title"), lead("text").alias("text"), lead("city").alias("city"),
+                        lead("date").alias("date_str"), href.alias("href"), F.when(href == "", after).otherwise("").alias("href2"))

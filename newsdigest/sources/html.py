@@ -1,13 +1,10 @@
-"""Tolerant HTML extraction jobs.
+"""Pages as rows of markup events.
 
-Spark has no tolerant HTML parser (``xpath`` raises on ordinary HTML), so the per-page
-work is one ``mapInPandas`` over the pages table: Spark partitions the pages, and each
-task runs a small stdlib ``html.parser`` tree builder per page. Everything before and
-after (rule routing, filters, dedup, joins) stays in DataFrame operators, and rules
-arrive as columns of a broadcast join, so a task needs no side input.
-
-Regular markup (the driver's pages) is also covered by built-in regex expressions in
-:mod:`newsdigest.sources.extract`; both paths are checked against SQL.
+Spark has no tolerant HTML parser (``xpath`` raises on ordinary HTML), so one ``mapInPandas`` job turns
+each page into an array of events, and nothing else happens in Python. An element is ``(open, close, tag,
+attrs)``, where open and close are event numbers of the page; a piece of text is ``(open, close = open,
+text)``. What lies inside an element lies between its numbers. Selection, dropping, nesting and text are
+column expressions over the array (:mod:`newsdigest.sources.extract`).
 """
 
 from __future__ import annotations
@@ -16,280 +13,70 @@ from html.parser import HTMLParser
 
 import pandas as pd
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
-        "track", "wbr"}
-# a start tag of one of these closes an open <p> (HTML paragraph rule)
-CLOSES_P = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "article", "section", "nav",
-            "footer", "header", "table", "blockquote", "pre", "form"}
-
-
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "tail")
-
-    def __init__(self, tag, attrs, parent):
-        self.tag = tag
-        self.attrs = dict(attrs)
-        self.children = []  # Node or str
-        self.parent = parent
-        self.tail = ""
+EVENTS = "array<struct<open: int, close: int, tag: string, attrs: map<string, string>, text: string>>"
 
-    def text(self) -> str:
-        out = []
-        stack = [self]
-        # iterative pre-order walk (deep pages must not hit the recursion limit)
-        while stack:
-            n = stack.pop()
-            if isinstance(n, str):
-                out.append(n)
-            else:
-                stack.extend(reversed(n.children))
-        return "".join(out)
+#: Elements without an end tag, and start tags that end an open paragraph.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+CLOSES_P = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "article", "section", "nav", "footer", "header",
+            "table", "blockquote", "pre", "form"}
+LISTS = {"ul", "ol"}
 
-    def leading_text(self) -> str:
-        """Text before the first child element (lxml ``.text``)."""
-        out = []
-        for c in self.children:
-            if isinstance(c, str):
-                out.append(c)
-            else:
-                break
-        return "".join(out)
 
-    def iter(self):
-        stack = [self]
-        while stack:
-            n = stack.pop()
-            if isinstance(n, Node):
-                yield n
-                stack.extend(reversed([c for c in n.children if isinstance(c, Node)]))
+class _Events(HTMLParser):
+    """Numbers the events of one page; ``depth`` holds the elements that are open."""
 
-    def matches(self, tag, attrs) -> bool:
-        if tag and self.tag != tag:
-            return False
-        for k, v in (attrs or {}).items():
-            have = self.attrs.get(k)
-            if have is None:
-                return False
-            if k == "class":
-                if v != have and v not in (have or "").split():
-                    return False
-            elif have != v:
-                return False
-        return True
-
-    def find_all(self, tag, attrs=None):
-        return [n for n in self.iter() if n is not self and n.matches(tag, attrs)]
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.number, self.events, self.depth = 0, [], []
 
-    def find(self, tag, attrs=None):
-        for n in self.iter():
-            if n is not self and n.matches(tag, attrs):
-                return n
-        return None
+    def _next(self) -> int:
+        self.number += 1
+        return self.number
 
-    def extract(self):
-        if self.parent is not None:
-            self.parent.children = [c for c in self.parent.children if c is not self]
-            self.parent = None
+    def _end_from(self, level: int) -> None:
+        while len(self.depth) > level:
+            self.depth.pop()["close"] = self._next()
 
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("#root", {}, None)
-        self.stack = [self.root]
+    def _innermost(self, tags) -> int:
+        return max((i for i, e in enumerate(self.depth) if e["tag"] in tags), default=-1)
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P and any(n.tag == "p" for n in self.stack[1:]):
-            while len(self.stack) > 1:
-                n = self.stack.pop()
-                if n.tag == "p":
-                    break
-        if tag == "li" and any(n.tag == "li" for n in self.stack[1:]):
-            top_list = max((i for i, n in enumerate(self.stack) if n.tag in ("ul", "ol")), default=-1)
-            last_li = max(i for i, n in enumerate(self.stack) if n.tag == "li")
-            if last_li > top_list:
-                del self.stack[last_li:]
-        node = Node(tag, [(k, v if v is not None else "") for k, v in attrs], self.stack[-1])
-        self.stack[-1].children.append(node)
-        if tag not in VOID:
-            self.stack.append(node)
+        if tag in CLOSES_P and (at := self._innermost({"p"})) >= 0:
+            self._end_from(at)
+        if tag == "li" and (at := self._innermost({"li"})) > self._innermost(LISTS):
+            self._end_from(at)
+        event = self._element(tag, attrs)
+        if tag in VOID:
+            event["close"] = self._next()
+        else:
+            self.depth.append(event)
 
     def handle_startendtag(self, tag, attrs):
-        node = Node(tag, [(k, v if v is not None else "") for k, v in attrs], self.stack[-1])
-        self.stack[-1].children.append(node)
+        self._element(tag, attrs)["close"] = self._next()
+
+    def _element(self, tag, attrs) -> dict:
+        event = {"open": self._next(), "close": 0, "tag": tag, "attrs": {k: v or "" for k, v in attrs}, "text": None}
+        self.events.append(event)
+        return event
 
     def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
+        if (at := self._innermost({tag})) >= 0:
+            self._end_from(at)
 
     def handle_data(self, data):
-        self.stack[-1].children.append(data)
-
-
-def parse(html: str | None) -> Node:
-    b = _Builder()
-    try:
-        b.feed(html or "")
-        b.close()
-    except Exception:  # noqa: BLE001 - tolerant: keep what was parsed
-        pass
-    return b.root
-
-
-# ---------------------------------------------------------------------------
-# per-page helpers
-# ---------------------------------------------------------------------------
+        at = self._next()
+        self.events.append({"open": at, "close": at, "tag": None, "attrs": None, "text": data})
 
-SUBTAG_KEYS = ("h1", "h2", "h3", "h4", "h5", "p", "li")
 
+def events(html: str | None) -> list[dict]:
+    p = _Events()
+    p.feed(html or "")
+    p.close()
+    p._end_from(0)
+    return p.events
 
-def _spec(d):
-    """A rule div as (tag, attrs) from a struct/dict."""
-    if d is None:
-        return None, None
-    tag = d.get("tag") if isinstance(d, dict) else d[0]
-    attrs = d.get("attrs") if isinstance(d, dict) else (d[1] if len(d) > 1 else None)
-    if attrs is not None and not isinstance(attrs, dict):
-        attrs = dict(attrs)
-    return tag or None, attrs or None
 
-
-def article_text(html, divs, drop_divs=None, collect_all=False, sub_p=False, ignore_header=False,
-                 path=None, attr_from_path=None):
-    """S6 + P14 + P15 + P17: the header h1 (unless ignored), then every rule div (first
-    match, or all matches with ``collect_all``); with ``sub_p`` a container's text is
-    the h1..h5, p, li descendants in tag order. Each piece ends with a newline."""
-    root = parse(html)
-    for d in drop_divs or []:
-        tag, attrs = _spec(d)
-        for n in root.find_all(tag, attrs):
-            n.extract()
-    specs = [_spec(d) for d in (divs or [])]
-    if attr_from_path and path is not None and specs:
-        tag, attrs = specs[0]
-        attrs = dict(attrs or {})
-        attrs[attr_from_path] = path
-        specs[0] = (tag, attrs)
-    if not ignore_header:
-        specs = [("h1", None)] + specs
-    text = []
-    for tag, attrs in specs:
-        wraps = root.find_all(tag, attrs) if collect_all else [root.find(tag, attrs)]
-        for w in wraps:
-            if w is None:
-                continue
-            if sub_p and tag not in SUBTAG_KEYS:
-                for key in SUBTAG_KEYS:
-                    for p in w.find_all(key):
-                        text.append(p.text() + "\n")
-            else:
-                text.append(w.text() + "\n")
-    return "".join(text)
-
-
-def messenger_text(html, url, message_classes, text_classes):
-    """The message whose ``data-post`` is the last two URL path segments (either
-    class variant), then its text div (either variant); None when missing."""
-    root = parse(html)
-    key = "/".join((url or "").split("/")[-2:])
-    div = None
-    for cls in message_classes:
-        div = root.find("div", {"class": cls, "data-post": key})
-        if div is not None and div.attrs.get("class") == cls:
-            break
-        div = None
-    if div is None:
-        return None
-    for cls in text_classes:
-        t = div.find("div", {"class": cls})
-        if t is not None and t.attrs.get("class") == cls:
-            return t.text()
-    return None
-
-
-def generic_article(html):
-    """Page title, newline, the text of every paragraph of the main block (the
-    article element, else the body), one per line."""
-    root = parse(html)
-    title = root.find("title")
-    main = root.find("article") or root.find("body") or root
-    paras = [p.text() for p in main.find_all("p")]
-    paras = [p for p in paras if p.strip()]
-    return (title.text() if title is not None else "") + "\n" + "\n".join(paras)
-
-
-def authors(html, link_class):
-    """texts of author links."""
-    root = parse(html)
-    return [n.text() for n in root.find_all("a", {"class": link_class})]
-
-
-def listing_items(html, main_tag, main_attrs, title_tag, href_tag, text_tag=None):
-    """S5 + P3 + P5: one item per node matched by the main selector; title/text are the
-    leading text of the first matching descendant (stripped); href is the first link's
-    ``href``; without an href, the link's tail text becomes the item link."""
-    root = parse(html)
-    out = []
-    for i, el in enumerate(root.find_all(main_tag, main_attrs)):
-        t = el.find(title_tag) if title_tag else None
-        title = (t.leading_text() if t is not None else "").strip()
-        x = el.find(text_tag) if text_tag else None
-        text = (x.leading_text() if x is not None else "").strip()
-        a = el.find(href_tag) if href_tag else None
-        href = (a.attrs.get("href") or "") if a is not None else ""
-        href2 = ""
-        if a is not None and not href:
-            # tail text: the data right after the link inside its parent
-            sib = a.parent.children if a.parent is not None else []
-            idx = next((j for j, c in enumerate(sib) if c is a), None)
-            if idx is not None and idx + 1 < len(sib) and isinstance(sib[idx + 1], str):
-                href2 = sib[idx + 1].strip()
-        out.append((i, title, text, href, href2))
-    return out
-
-
-# ---------------------------------------------------------------------------
-# Spark jobs (mapInPandas bodies)
-# ---------------------------------------------------------------------------
-
-def map_articles(batches):
-    """pages with rule columns -> (page_id, text, skipped)."""
-    from ..config import AUTHOR_LINK_CLASS, MESSENGER_MESSAGE_CLASSES, MESSENGER_TEXT_CLASSES, SKIPPED_AUTHOR
+def map_events(batches):
+    """Batches with an ``html`` column to the same columns and ``events`` in its place."""
     for pdf in batches:
-        texts, skipped = [], []
-        for row in pdf.itertuples(index=False):
-            host = getattr(row, "canonical", None)
-            html = row.html
-            if host == "t.me":
-                texts.append(messenger_text(html, row.url, MESSENGER_MESSAGE_CLASSES, MESSENGER_TEXT_CLASSES))
-                skipped.append(False)
-                continue
-            if host == "vk.com" and SKIPPED_AUTHOR in authors(html, AUTHOR_LINK_CLASS):
-                texts.append(None)
-                skipped.append(True)
-                continue
-            if getattr(row, "has_rule", False):
-                divs = _as_list(row.divs)
-                drops = _as_list(getattr(row, "drop_divs", None))
-                texts.append(article_text(html, divs, drops, bool(row.collect_all), bool(row.sub_p),
-                                          bool(row.ignore_header), getattr(row, "path", None),
-                                          getattr(row, "attr_from_path", None)))
-            else:
-                texts.append(generic_article(html))
-            skipped.append(False)
-        yield pd.DataFrame({"page_id": pdf["page_id"].values, "url": pdf["url"].values,
-                            "canonical": pdf["canonical"].values, "has_rule": pdf["has_rule"].values,
-                            "text": texts, "skipped": skipped})
-
-
-def _as_list(v):
-    if v is None:
-        return []
-    try:
-        if pd.isna(v):
-            return []
-    except (TypeError, ValueError):
-        pass
-    return [x.asDict() if hasattr(x, "asDict") else x for x in list(v)]
+        yield pd.concat([pdf.drop(columns="html"), pd.Series([events(h) for h in pdf["html"]], index=pdf.index, name="events", dtype=object)], axis=1)

@@ -8,6 +8,8 @@ same code runs on files and on derived tables.
 from __future__ import annotations
 
 import gzip
+import unicodedata
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,53 +109,38 @@ def select_article_capture(captures: DataFrame) -> DataFrame:
 
 # --- bytes to text (P11), mojibake (P6) -------------------------------------------
 
-@F.pandas_udf(T.StringType())
-def _gunzip_text(b: pd.Series) -> pd.Series:
+@F.pandas_udf(T.BinaryType())
+def _gunzip(b: pd.Series) -> pd.Series:
     def one(v):
-        if v is None:
-            return None
         try:
-            return gzip.decompress(bytes(v)).decode("utf-8")
-        except (OSError, EOFError, UnicodeDecodeError, ValueError):
+            return None if v is None else gzip.decompress(bytes(v))
+        except (OSError, EOFError, zlib.error):
             return None
     return b.map(one)
 
 
 def decode_body(body: Column) -> Column:
-    """UTF-8 text when the bytes are valid UTF-8; else gunzip then UTF-8; else the
-    bytes read as ISO-8859-1 (a parser's fallback). The gzip branch is the only Python
-    step and sees only bodies that are not valid UTF-8."""
+    """UTF-8 text when the bytes are valid UTF-8; else the unzipped bytes, when they unzip, read the
+    same way; what is no UTF-8 then is read as ISO-8859-1 (a parser's fallback). The gzip branch is the
+    only Python step and sees only bodies that are not valid UTF-8."""
     as_text = F.try_validate_utf8(body.cast("string"))
-    gz = _gunzip_text(F.when(as_text.isNull(), body))
-    return F.coalesce(as_text, gz, F.decode(body, "ISO-8859-1"))
-
-
-_BUILTIN_CHARSETS = {"iso-8859-1", "latin1", "us-ascii", "utf-8", "utf-16", "utf-16le", "utf-16be", "utf-32"}
+    inner = _gunzip(F.when(as_text.isNull(), body))
+    return F.coalesce(as_text, F.try_validate_utf8(inner.cast("string")), F.decode(F.coalesce(inner, body), "ISO-8859-1"))
 
 
-def _repair_udf(charset: str):
+def repair_mojibake(text: Column, charset: str) -> Column:
+    """Text that was UTF-8 bytes decoded with ``charset`` is composed (NFC), encoded with the charset
+    again and decoded as UTF-8, without the bytes that are none. Text that the charset cannot encode
+    becomes empty."""
     @F.pandas_udf(T.StringType())
     def repair(s: pd.Series) -> pd.Series:
-        import unicodedata
-
         def one(v):
-            if v is None:
-                return None
             try:
-                return unicodedata.normalize("NFC", v).encode(charset).decode("utf-8", "ignore")
+                return None if v is None else unicodedata.normalize("NFC", v).encode(charset).decode("utf-8", "ignore")
             except UnicodeError:
                 return ""
         return s.map(one)
-    return repair
-
-
-def repair_mojibake(text: Column, charset: str, nfc: bool = False) -> Column:
-    """Text that was UTF-8 bytes decoded with ``charset`` is re-encoded with it and
-    decoded as UTF-8. Charsets Spark encodes natively stay built-in; others (and NFC
-    normalisation) go through one pandas UDF."""
-    if charset.lower() in _BUILTIN_CHARSETS and not nfc:
-        return F.decode(F.encode(text, charset), "UTF-8")
-    return _repair_udf(charset)(text)
+    return repair(text)
 
 
 def host_of(url: Column) -> Column:

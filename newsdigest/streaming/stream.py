@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +55,11 @@ def run_available(query_builder, out: str, fmt: str = "parquet"):
 
 
 def seen_keys(stream: DataFrame, key_col: str, watermark: str = "1 day") -> DataFrame:
-    """ST1: the first sighting of every (day, key). State is bounded by the watermark:
-    keys of a day are dropped from state once the day is behind the watermark."""
+    """ST1: the first sighting of every (day, key). The day is a 1-day window of the event time, so the
+    watermark evicts the keys of a day once it is past."""
     return (stream.withWatermark("event_time", watermark)
-            .dropDuplicates(["day", key_col]))
+            .withColumn("day_window", F.window("event_time", "1 day"))
+            .dropDuplicates(["day_window", key_col]))
 
 
 def late_drop(stream: DataFrame, run_day, watermark: str = "1 day") -> DataFrame:
@@ -79,17 +81,23 @@ def upsert_batches(state_path: str, keys, run_col: str, pos_col: str):
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.withColumn("batch_id", F.lit(batch_id))
-        days = [r[0] for r in batch.select("run_date").distinct().collect()]  # days touched: few
+        batch = batch.persist()  # read twice: for its days and its rows
         try:
-            current = spark.read.parquet(state_path).where(F.col("run_date").isin(days))
-        except Exception:  # noqa: BLE001 - first batch: no state yet
+            # with a schema, nothing is read here: only a missing path means that there is no state yet,
+            # and a state that cannot be read fails the batch
+            current = spark.read.schema(batch.schema).parquet(state_path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             current = None
         keys_all = ["run_date", *keys]
-        merged = batch if current is None else current.unionByName(batch, allowMissingColumns=True)
+        merged = batch if current is None else current.join(
+            batch.select("run_date").distinct(), "run_date", "left_semi").unionByName(batch)
         cols = [c for c in merged.columns if c not in keys_all]
         order = F.struct(F.col(run_col), F.col(pos_col))
         out = (merged.groupBy(*keys_all).agg(F.max_by(F.struct(*cols), order).alias("_l"))
                .select(*keys_all, *[F.col(f"_l.{c}").alias(c) for c in cols]))
         # cut the lineage from the partitions being rewritten (reliable checkpoint)
         S.write_day(cut_lineage(out), state_path)
+        batch.unpersist()
     return merge

@@ -200,17 +200,13 @@ def test_interleave_hot_host_path(spark, monkeypatch):
     assert [r[0] for r in rows] == [0, 1, 3, 2, 5, 4]
 
 
-def test_canonical_domain_inline_and_join_paths_agree(spark, monkeypatch):
+def test_canonical_domain_first_template_by_order(spark):
     from newsdigest.operators import domains
-    pages = spark.createDataFrame([(1, "https://a.example.com/x"), (2, "https://example.com/y"),
-                                   (3, "https://b.example.net/z"), (4, "https://other.org/")],
-                                  "row_id long, url string")
-    sfx = spark.createDataFrame([(1, ".example.com"), (2, "example.com"), (3, "example.net")],
-                                "ord int, template string")
-    inline = {r["row_id"]: r["canonical"] for r in domains.canonical_domain(pages, sfx).collect()}
-    monkeypatch.setattr(domains, "MAX_INLINE_SUFFIXES", 0)
-    joined = {r["row_id"]: r["canonical"] for r in domains.canonical_domain(pages, sfx).collect()}
-    assert inline == joined == {1: ".example.com", 2: "example.com", 3: "example.net", 4: "other.org"}
+    pages = spark.createDataFrame([(1, "https://a.example.com/x"), (2, "https://example.com/y"), (3, "https://b.example.net/z"),
+                                   (4, "https://other.org/"), (5, "https://bexample.net/"), (6, "")], "row_id long, url string")
+    sfx = spark.createDataFrame([(1, ".example.com"), (2, "example.com"), (3, "example.net")], "ord int, template string")
+    got = {r["row_id"]: r["canonical"] for r in domains.canonical_domain(pages, sfx).collect()}
+    assert got == {1: ".example.com", 2: "example.com", 3: "example.net", 4: "other.org", 5: "example.net", 6: ""}
 
 
 def test_keyword_counts_builtin_and_automaton_agree(spark, monkeypatch):
