@@ -7,7 +7,7 @@ State is a table partitioned by ``run_date``: a run reads only its day's partiti
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import strip_ws
@@ -132,3 +132,32 @@ def write_history(history: DataFrame, path: str, run_date) -> None:
     (lines.orderBy("part", F.col("k").asc_nulls_first(), F.col("pos").asc_nulls_first())
      .select("run_date", F.col("line").alias("value"))
      .write.mode("overwrite").partitionBy("run_date").text(path))
+
+
+def read_history(spark, path: str, run_date) -> DataFrame:
+    """S10 for the K2 sink: (url, prob) of the run day's partition; the date header and other lines that are
+    no ``prob url`` are skipped."""
+    parts = F.split(strip_ws(F.col("value")), "\\s+")
+    return (spark.read.text(path).where(F.col("run_date") == F.lit(run_date))
+            .select(F.try_element_at(parts, F.lit(2)).alias("url"), parts[0].try_cast("double").alias("prob"))
+            .filter(F.col("url").isNotNull() & F.col("prob").isNotNull()))
+
+
+def read_report(spark, path: str, run_date) -> DataFrame:
+    """S9 + J8 for the K1 sink: (site_name, href2, date, title) of the run day's report. A cell belongs to the last
+    site header before it; a file that begins in a site's cells goes on with the last header of the files
+    before, of which one row each is enough."""
+    files = (spark.read.option("wholetext", True).text(path).where(F.col("run_date") == F.lit(run_date))
+             .select(F.col("_metadata.file_name").alias("file"), F.split("value", "\n").alias("lines")))
+    lines = files.select("file", F.posexplode("lines").alias("line_no", "value"))
+    site = F.regexp_extract("value", "<h2>(.*?)</h2>", 1)
+    lines = lines.withColumn("site", F.when(F.col("value").startswith("<h2>"), site))
+    in_file = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    last = lines.groupBy("file").agg(F.max_by("site", F.when(F.col("site").isNotNull(), F.col("line_no"))).alias("last"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select("file", F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    cells = F.regexp_extract_all("value", F.lit("<th>(.*?)</th>"), 1)
+    return (lines.withColumn("in_file", F.last("site", ignorenulls=True).over(in_file)).join(last, "file")
+            .filter(F.col("value").contains('<a href="'))
+            .select(F.coalesce("in_file", "before").alias("site_name"), F.regexp_extract("value", '<a href="([^"]*)"', 1).alias("href2"),
+                    F.element_at(cells, 1).alias("date"), F.element_at(cells, 2).alias("title")))

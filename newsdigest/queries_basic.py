@@ -14,7 +14,9 @@ from .config import (ARCHIVE_PREFIX, LATIN_COLLECTIVE_WORDS, LATIN_KEYWORDS, REP
 from .functions import urls as U
 from .functions.text import candidate_text
 from .operators import domains, filters, ordering, state
+from .operators import lexicon as lexicon_ops
 from .session import read_table
+from .streaming.stream import stream_dir
 
 CFG = latin_config()
 RUN_DATE = CFG.run_day
@@ -485,11 +487,11 @@ FROM sites s LEFT JOIN it USING (site_name)"""
 
 
 def q_state_load(spark, sf):
-    """Report cells parsed back to (site, href2, date, title)."""
-    rep = q_daily_report(spark, sf).filter(F.col("row_no") > 0)
-    cells = F.regexp_extract_all("cell_html", F.lit("<th>(.*?)</th>"), 1)
-    return rep.select("site_name", F.regexp_extract("cell_html", '<a href="([^"]*)"', 1).alias("href2"),
-                      F.element_at(cells, 1).alias("date"), F.element_at(cells, 2).alias("title"))
+    """The day's report is written by its sink and read back as state."""
+    d = _t(spark, sf, "documents")
+    path = f"{stream_dir(spark, 'report')}/report"
+    state.write_report(state.report_rows(_sites(spark, d), _today_items(d)), _sites(spark, d), path, RUN_DATE)
+    return state.read_report(spark, path, RUN_DATE)
 
 
 def sql_state_load():
@@ -498,6 +500,25 @@ def sql_state_load():
     return f"SELECT site_name, href2, date, title FROM ({items})"
 
 
+# --- T3 / T4 with a lexicon table ---------------------------------------------------------
+
+def q_lemmatize_join(spark, sf):
+    """The lexicon is as large as the data: each word of the conversations that ends in s, without it."""
+    words = _t(spark, sf, "conversations").select(F.explode(F.split(F.lower("text"), "[ \n]")).alias("form")).distinct()
+    lexicon = words.filter(F.col("form").rlike("^[a-z]{3,}s$")).select("form", F.regexp_replace("form", "s$", "").alias("replacement"))
+    docs = _t(spark, sf, "documents").select("doc_id", F.split(F.lower("text"), "[ \n]").alias("tokens"))
+    found = lexicon_ops.replace_tokens(docs, lexicon, "doc_id")
+    return found.select("doc_id", F.md5(F.array_join("tokens", " ")).alias("text_md5"))
+
+
+def sql_lemmatize_join():
+    words = "string_split_regex(lower(text), '[ ' || chr(10) || ']')"
+    return f"""WITH lex AS (SELECT DISTINCT form, regexp_replace(form, 's$', '') AS replacement
+  FROM (SELECT unnest({words}) AS form FROM conversations) WHERE regexp_full_match(form, '[a-z]{{3,}}s')),
+t AS (SELECT doc_id, unnest({words}) AS form, unnest(range(0, len({words}))) AS place FROM documents)
+SELECT doc_id, md5(string_agg(coalesce(replacement, form), ' ' ORDER BY place)) AS text_md5 FROM t LEFT JOIN lex USING (form) GROUP BY doc_id"""
+
+
 # --- K2 / S10 ------------------------------------------------------------------------
 
 def _history(spark, sf) -> DataFrame:
@@ -523,6 +544,19 @@ def sql_history_write():
 UNION ALL SELECT 0, NULL, NULL, '{RUN_DATE.strftime('%d/%m/%Y')}'"""
 
 
+def q_history_reload(spark, sf):
+    """today's history as the K2 sink wrote it, another day's beside it."""
+    path = f"{stream_dir(spark, 'history')}/history"
+    h = _history(spark, sf)
+    state.write_history(h, path, RUN_DATE)
+    state.write_history(h.filter("prob > 0.5"), path, RUN_DATE - dt.timedelta(days=1))
+    return state.read_history(spark, path, RUN_DATE)
+
+
+def sql_history_reload():
+    return f"SELECT url, prob FROM ({_history_sql()})"
+
+
 def q_history_load(spark, sf):
     """Two history files built from labels: today's (quality = 1 rows) and
     yesterday's (the rest); only today's rows load."""
@@ -567,5 +601,7 @@ QUERIES = {
     "daily_report": (q_daily_report, sql_daily_report),
     "state_load": (q_state_load, sql_state_load),
     "history_write": (q_history_write, sql_history_write),
+    "lemmatize_join": (q_lemmatize_join, sql_lemmatize_join),
+    "history_reload": (q_history_reload, sql_history_reload),
     "history_load": (q_history_load, sql_history_load),
 }

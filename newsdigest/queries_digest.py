@@ -12,6 +12,7 @@ from .functions import text as T
 from .operators import dedup, ordering, scoring
 from .plans import digest as D
 from .session import read_table
+from .streaming.stream import stream_dir
 
 CFG = latin_config()
 RES = D.latin_resources()
@@ -280,6 +281,37 @@ SELECT pos, url, round(prob, 6) AS prob FROM probs
 WHERE pos IN (SELECT id FROM vec) AND prob >= {CFG.threshold_v1!r}"""
 
 
+def q_lr_score_stored(spark, sf):
+    """A model fitted on English texts is stored, loaded and scores all texts; terms that it has not seen
+    are dropped."""
+    docs = _docs(spark, sf)
+    english = docs.filter(F.col("lang") == "en")
+    terms = scoring.doc_terms_raw(english, "doc_id", "text")
+    path = f"{stream_dir(spark, 'model')}/model"
+    scoring.save_linear_model(scoring.fit_idf(terms, english.count()), *scoring.fit_linear_model(terms, _labels(spark, sf)), path)
+    idf, weights, b = scoring.load_linear_model(spark, path)
+    vectors = scoring.tfidf_vectors(scoring.doc_terms_raw(docs, "doc_id", "text"), idf)
+    probs = scoring.lr_score(docs.select(F.col("doc_id").alias("id")), vectors, weights, b)
+    return probs.select(F.col("id").alias("doc_id"), F.round("prob", 6).alias("prob"))
+
+
+def sql_lr_score_stored():
+    return r"""WITH t AS (
+  SELECT id, lang, term, count(*) AS tf FROM (
+    SELECT doc_id AS id, lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents) GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en'),
+idf AS (SELECT term, ln((max(n) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf FROM t, n WHERE lang = 'en' GROUP BY term),
+c AS (SELECT sum(quality) AS n1, sum(1 - quality) AS n0 FROM labels),
+wt AS (
+  SELECT term, ln((sum(quality) + 1.0::DOUBLE) / (max(n1) + 2.0::DOUBLE)) - ln((sum(1 - quality) + 1.0::DOUBLE) / (max(n0) + 2.0::DOUBLE)) AS weight
+  FROM t JOIN labels ON id = doc_id, c WHERE lang = 'en' GROUP BY term),
+raw AS (SELECT id, term, tf * idf AS r FROM t JOIN idf USING (term)),
+vec AS (SELECT id, term, r / sqrt(sum(r * r) OVER (PARTITION BY id)) AS w FROM raw),
+dots AS (SELECT id, sum(w * weight) AS dot FROM vec JOIN wt USING (term) GROUP BY id)
+SELECT doc_id, round(1 / (1 + exp(-(ln((n1 + 1.0::DOUBLE) / (n0 + 1.0::DOUBLE)) + coalesce(dot, 0)))), 6) AS prob
+FROM documents CROSS JOIN c LEFT JOIN dots ON id = doc_id"""
+
+
 def q_lr_threshold_v2(spark, sf):
     probs, _ = _scored(spark, sf)
     return scoring.threshold_v2(probs, CFG.threshold_v2).select(
@@ -512,6 +544,7 @@ QUERIES = {
     "dup_stats": (q_dup_stats, sql_dup_stats),
     "cosine_pairs": (q_cosine_pairs, sql_cosine_pairs),
     "lr_score": (q_lr_score, sql_lr_score),
+    "lr_score_stored": (q_lr_score_stored, sql_lr_score_stored),
     "lr_threshold_v1": (q_lr_threshold_v1, sql_lr_threshold_v1),
     "lr_threshold_v2": (q_lr_threshold_v2, sql_lr_threshold_v2),
     "nonzero_vector": (q_nonzero_vector, sql_nonzero_vector),

@@ -195,30 +195,30 @@ FEED_PAGE = 25
 
 
 def _feeds(spark, sf):
-    """One RSS document per (source, page of 25 entries): feeds are bounded pages, never
-    one document per source."""
+    """One feed per (source, page of 25 entries), pages being bounded: RSS channels, and Atom for ``src4``."""
     d = _t(spark, sf, "documents")
     parts = F.split(F.col("text"), "\n", 2)
     url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"), F.col("doc_id").cast("string"))
     body = F.when(F.size(parts) > 1, F.element_at(parts, 2)).otherwise(F.lit(""))
     desc = F.when(F.col("source") == "src3",
                   F.concat(F.lit('<a href="'), url, F.lit('/orig">src</a> '), body)).otherwise(body)
-    item = F.concat(F.lit("<item><title>"), S.xml_escape(F.element_at(parts, 1)), F.lit("</title><link>"),
-                    S.xml_escape(F.when(F.col("source") == "src3", F.lit("https://agg.example.org/x")).otherwise(url)),
-                    F.lit("</link><description>"), S.xml_escape(desc), F.lit("</description><pubDate>"),
-                    F.lit("2024-01-15"), F.lit("</pubDate></item>"))
+    link = S.xml_escape(F.when(F.col("source") == "src3", F.lit("https://agg.example.org/x")).otherwise(url))
+    tag = lambda t, c: F.concat(F.lit(f"<{t}>"), c, F.lit(f"</{t}>"))
+    title = tag("title", S.xml_escape(F.element_at(parts, 1)))
+    rss = tag("item", F.concat(title, tag("link", link), tag("description", S.xml_escape(desc)), tag("pubDate", F.lit("2024-01-15"))))
+    atom = tag("entry", F.concat(title, F.lit('<link href="'), link, F.lit('"/>'), tag("summary", S.xml_escape(desc)), tag("updated", F.lit("2024-01-15"))))
+    is_atom = F.col("source") == "src4"
     chan = F.when(F.col("source") == "src3", F.lit("https://www.bezformata.example.org/"))\
         .otherwise(F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/")))
     items = d.select("source", (F.col("doc_id") / FEED_PAGE).cast("long").alias("page"), "doc_id",
-                     item.alias("item"), chan.alias("chan"))
+                     F.when(is_atom, atom).otherwise(rss).alias("item"), chan.alias("chan"))
     feeds = (items.groupBy("source", "page")
              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "item"))),
                                            lambda s: s["item"]), "").alias("items"),
-                  F.first("chan").alias("chan"))
-             .select("source", "page", F.concat(F.lit("<rss><channel><link>"), F.col("chan"),
-                                                F.lit("</link>"), F.col("items"),
-                                                F.lit("</channel></rss>")).alias("xml")))
-    return feeds
+                  F.first("chan").alias("chan")))
+    channel = tag("rss", tag("channel", F.concat(tag("link", F.col("chan")), F.col("items"))))
+    feed = tag("feed", F.concat(F.lit('<link href="'), F.col("chan"), F.lit('"/>'), F.col("items")))
+    return feeds.select("source", "page", F.when(is_atom, feed).otherwise(channel).alias("xml"))
 
 
 def q_src_feed_items(spark, sf):

@@ -19,8 +19,10 @@ from pyspark.sql import types as T
 from ..config import FEED_AGGREGATOR
 from ..functions.urls import is_valid_url, netloc, origin, strip_ws
 
+#: RSS channels and Atom feeds in one: what a document does not have is null
 FEED_SCHEMA = ("channel struct<link string, item array<struct<title string, link string, "
-               "description string, pubDate string>>>")
+               "description string, pubDate string>>>, "
+               "entry array<struct<title string, link array<struct<_href string>>, summary string, published string, updated string>>")
 
 
 def read_lines(spark, path: str) -> DataFrame:
@@ -58,13 +60,16 @@ def url_list(lines: DataFrame, value_col: str = "value") -> DataFrame:
 
 
 def feed_items(feeds: DataFrame, xml_col: str = "xml") -> DataFrame:
-    """S4 + P4: one row per feed entry (title, link, summary stripped, published; '' when
+    """S4 + P4: one row per RSS item or Atom entry (title, link, summary stripped, published; '' when
     absent). For the aggregator's channel the link is the first quoted string after
     'href' in the description, when there is one."""
     parsed = feeds.withColumn("_f", F.from_xml(F.col(xml_col), FEED_SCHEMA))
+    atom = F.transform(F.col("_f.entry"), lambda e: F.struct(
+        e["title"].alias("title"), F.try_element_at(e["link"], F.lit(1))["_href"].alias("link"), e["summary"].alias("description"),
+        F.coalesce(e["published"], e["updated"]).alias("pubDate")))
     items = parsed.select(*[c for c in feeds.columns if c != xml_col],
                           F.col("_f.channel.link").alias("channel_link"),
-                          F.posexplode(F.col("_f.channel.item")).alias("entry_no", "_i"))
+                          F.posexplode(F.coalesce(F.col("_f.channel.item"), atom)).alias("entry_no", "_i"))
     link = F.coalesce(F.col("_i.link"), F.lit(""))
     desc = F.coalesce(F.col("_i.description"), F.lit(""))
     override = F.regexp_extract(desc, 'href[^"]*"([^"]*)"', 1)
