@@ -26,6 +26,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .getOrCreate()
@@ -37,8 +38,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder. A cluster names a shared folder in
-    ``spark.checkpoint.dir``; only when it is unset (local tests) a fresh temp folder
-    is set."""
+    ``spark.checkpoint.dir``; only when it is unset and the master is local (tests) a fresh
+    temp folder is set. On a cluster that would be a folder of one machine, so it is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -47,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not (sc.master or "").startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="newsdigest-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
