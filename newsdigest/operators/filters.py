@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import AUTHOR_LINK_CLASS, REPOST_HOST, REPOST_WALL_PREFIX, SKIPPED_AUTHOR
 from ..functions.text import has_text
-from ..functions.urls import netloc
+from ..functions.urls import netloc, strip_ws
 
 REPOST_MARKER = "Reposted ("
 REPOST_MARKER_RE = "Reposted \\("
@@ -66,49 +66,46 @@ def keyword_hits(df: DataFrame, words_df: DataFrame, text_col: str = "text", id_
             .select("id", "word"))
 
 
-#: keyword lists longer than this are matched with one automaton per task instead of
-#: one ``contains`` per word (the list itself must stay under the broadcast bound)
+#: keyword lists longer than this are matched with an automaton per task instead of one ``contains`` per
+#: word; an automaton takes a block of at most this many keywords, and every block sees all texts
 LARGE_LIST = 50
-MAX_KEYWORDS = 1_000_000
+KEYWORD_BLOCK = 1_000_000
 
 
 def keyword_counts(df: DataFrame, words_df: DataFrame, text_col: str = "text", id_col: str = "id",
                    word_col: str = "word") -> DataFrame:
     """F1 with a long keyword list: (id, kw_hit, n_words) where ``n_words`` counts the
     distinct keywords contained in the lowered text. Short lists stay a built-in
-    ``exists(contains)`` expression; a long list (size checked, then shipped with the
-    task closure) drives an Aho-Corasick automaton built once per partition inside
-    ``mapInPandas``, so the cost per text is linear in its length, not in the list size."""
-    words = [r[0] for r in words_df.select(F.col(word_col)).distinct().collect()
-             ] if words_df.count() <= MAX_KEYWORDS else None
-    if words is None:
-        raise ValueError("keyword list exceeds the size bound")
-    words = normalise_words(words)
-    base = df.select(_c(id_col).alias("id"), _c(text_col).alias("_t"))
+    ``exists(contains)`` expression; a long list goes block by block through ``mapInPandas``,
+    where an Aho-Corasick automaton makes the cost per text linear in its length."""
+    own = words_df.select(F.lower(strip_ws(F.col(word_col))).alias("w")).filter("w <> ''").distinct()
+    blocks = max(1, -(-own.count() // KEYWORD_BLOCK))
+    base = df.select(_c(id_col).alias("id"), _c(text_col).alias("_t"), F.lit(0).cast("long").alias("n_words"))
+    for k in range(blocks):
+        words = sorted(r.w for r in own.filter(F.pmod(F.xxhash64("w"), F.lit(blocks)) == k).collect())
+        base = _count_block(base, words)
+    return base.select("id", (F.col("n_words") > 0).alias("kw_hit"), "n_words")
+
+
+def _count_block(base: DataFrame, words: list[str]) -> DataFrame:
+    """base (id, _t, n_words) with the words that a text contains added to n_words."""
+    if not words:
+        return base
     if len(words) <= LARGE_LIST:
         # the lowered text is a column of its own, not recomputed inside the lambda per word
-        base = base.withColumn("_low", F.lower(F.col("_t")))
-        n = F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("_low"), w))) \
-            if words else F.lit(0)
-        n = F.when(F.coalesce(F.col("_t"), F.lit("")) == "", F.lit(0)).otherwise(n)
-        return base.select("id", (n > 0).alias("kw_hit"), n.cast("long").alias("n_words"))
+        low = base.withColumn("_low", F.lower(F.coalesce(F.col("_t"), F.lit(""))))
+        n = F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("_low"), w)))
+        return low.select("id", "_t", (F.col("n_words") + n).alias("n_words"))
 
     def run(batches):
         import ahocorasick
-        import pandas as pd
         auto = ahocorasick.Automaton()
         for i, w in enumerate(words):
             auto.add_word(w, i)
         auto.make_automaton()
         for pdf in batches:
-            counts = []
-            for t in pdf["_t"].values:
-                if t is None or t == "":
-                    counts.append(0)
-                    continue
-                counts.append(len({i for _, i in auto.iter(t.lower())}))
-            yield pd.DataFrame({"id": pdf["id"].values, "kw_hit": [c > 0 for c in counts], "n_words": counts})
-    return base.mapInPandas(run, "id long, kw_hit boolean, n_words long")
+            yield pdf.assign(n_words=pdf["n_words"] + [len({i for _, i in auto.iter(t.lower())}) if t else 0 for t in pdf["_t"]])
+    return base.mapInPandas(run, base.schema)
 
 
 def today_filter(df: DataFrame, run_day, day_col: str = "day") -> DataFrame:
