@@ -48,6 +48,15 @@ def edge_rows():
     return rows
 
 
+@pytest.fixture(scope="session", autouse=True)
+def few_partitions(spark):
+    """The tables are tiny; hundreds of small jobs need few tasks each."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 @pytest.fixture(scope="session")
 def edge(spark):
     return spark.createDataFrame(edge_rows(), SCHEMA).repartition(3).cache()
