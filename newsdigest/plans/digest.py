@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..config import (DIGEST_GROUPS_HEADER, DIGEST_SEPARATOR, DIGEST_SINGLES_HEADER, Config,
                       LATIN_ENTITIES, LATIN_LEMMAS, LATIN_STOPWORDS, latin_config)
 from ..functions import text as T
+from ..functions.dates import with_day
 from ..functions.urls import fix_messenger_link, undo_messenger_link
 from ..operators import dedup, filters, ordering, scoring, state
 from ..session import cut_lineage
@@ -61,6 +62,24 @@ def candidates_from_documents(docs: DataFrame, cfg: Config) -> DataFrame:
     )
 
 
+def with_articles(cands: DataFrame, articles: DataFrame | None) -> DataFrame:
+    """M6 in the scorer: a candidate whose article was resolved (pos, text) is judged by it, the others by
+    their own text (P13)."""
+    if articles is None:
+        return cands
+    found = articles.select("pos", F.col("text").alias("article"))
+    return cands.join(found, "pos", "left").withColumn("text", T.text_fallback(F.col("article"), F.col("text"))).drop("article")
+
+
+def with_days(cands: DataFrame, dates: DataFrame | None, cfg: Config) -> DataFrame:
+    """P7 in the scorer: the day of a candidate is that of its date string (pos, date_str); without one it is the run
+    day."""
+    if dates is None:
+        return cands
+    x = cands.drop("day").join(dates.select("pos", "date_str"), "pos", "left")
+    return with_day(x.withColumn("date_str", F.coalesce("date_str", F.lit(""))), "date_str", "day", cfg).drop("date_str")
+
+
 def ordered_candidates(cands: DataFrame, known_urls: DataFrame | None) -> DataFrame:
     """F11 then W1: reposts dropped, then each row gets its interleave order key."""
     kept = filters.drop_reposts(cands, known_urls)
@@ -121,10 +140,10 @@ def score_news_v1(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg:
 
 def score_news_v2(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Config,
                   res: TextResources, history: DataFrame | None = None,
-                  known_urls: DataFrame | None = None):
+                  known_urls: DataFrame | None = None, articles: DataFrame | None = None, dates: DataFrame | None = None):
     """M5: found rows (pos, url, text, prob) with prob rounded to 3 decimals, at or above
     the v2 threshold, not yet in the history; also returns the vectors."""
-    cands = candidates_from_documents(docs, cfg)
+    cands = with_days(with_articles(candidates_from_documents(docs, cfg), articles), dates, cfg)
     ordered = ordered_candidates(cands, known_urls)
     distinct = resolved_texts(ordered, cfg)
     probs, vectors = scored(distinct, labels, cfg, res)
@@ -202,11 +221,13 @@ def digest_lines(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def digest(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Config | None = None,
-           res: TextResources | None = None, history: DataFrame | None = None) -> DataFrame:
-    """M8: the whole digest over a documents table."""
+           res: TextResources | None = None, history: DataFrame | None = None, articles: DataFrame | None = None,
+           dates: DataFrame | None = None) -> DataFrame:
+    """M8: the whole digest over a documents table, with the articles that were resolved (pos, text), the date
+    strings of the items (pos, date_str) and the day's history (url), where there are any."""
     cfg = cfg or latin_config()
     res = res or latin_resources()
-    found, vectors = score_news_v2(spark, docs, labels, cfg, res, history, known_urls=history)
+    found, vectors = score_news_v2(spark, docs, labels, cfg, res, history, known_urls=history, articles=articles, dates=dates)
     return digest_rows(found, vectors, cfg)
 
 

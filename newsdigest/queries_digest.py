@@ -38,19 +38,22 @@ def clean_sql(t: str, head_n=None) -> str:
 # shared SQL chain: candidates -> distinct texts -> cleaned -> vectors -> scores
 # ---------------------------------------------------------------------------
 
-def chain_sql(history: str | None = None, raw_terms: bool = False) -> str:
+def chain_sql(history: str | None = None, raw_terms: bool = False, article: str = "", day: str = "") -> str:
     """CTEs up to ``probs`` (pos, url, text, prob) and ``vec`` (id, term, df, w).
-    ``raw_terms``: the v1 vectoriser input (word runs of the raw text, no cleaning)."""
+    ``raw_terms``: the v1 vectoriser input (word runs of the raw text, no cleaning). ``article``
+    and ``day``: tables (pos, text) and (pos, day) of resolved articles and item days."""
+    text = O.candidate_text(O.doc_title('text'), O.doc_rest('text'))
+    cands_sql = f"SELECT doc_id AS pos, {O.doc_url('source', 'doc_id')} AS url, {text} AS text, true AS today FROM documents"
+    if article:
+        cands_sql = f"""SELECT c.pos, c.url, coalesce(nullif(a.text, ''), c.text) AS text,
+         coalesce(d.day, DATE '{CFG.run_day}') = DATE '{CFG.run_day}' AS today
+  FROM ({cands_sql}) c LEFT JOIN ({article}) a ON a.pos = c.pos LEFT JOIN ({day}) d ON d.pos = c.pos"""
     raw_terms_sql = "regexp_extract_all(cleaned, '[\\p{L}\\p{N}_]{2,}')"
     hist_exists = ""
     if history:
         hist_exists = f" OR EXISTS (SELECT 1 FROM ({history}) h WHERE h.url = {O.repost_target('c.text')})"
     return f"""
-cands AS (
-  SELECT doc_id AS pos, {O.doc_url('source', 'doc_id')} AS url,
-         {O.candidate_text(O.doc_title('text'), O.doc_rest('text'))} AS text
-  FROM documents
-),
+cands AS ({cands_sql}),
 kept AS (
   SELECT c.* FROM cands c
   WHERE NOT ({O.netloc('c.url')} = 'vk.com' AND {O.repost_has_marker('c.text')} AND (
@@ -61,12 +64,12 @@ hosts AS (SELECT {O.netloc('url')} AS h, count(*) AS cnt, min(pos) AS fp FROM ke
 ordered AS (
   SELECT k.pos, {O.fix_messenger('k.url')} AS url,
          {O.strip_boilerplate('k.text', CFG.boilerplate)} AS text,
-         row_number() OVER (PARTITION BY {O.netloc('k.url')} ORDER BY k.pos) AS rnd, h.cnt, h.fp
+         row_number() OVER (PARTITION BY {O.netloc('k.url')} ORDER BY k.pos) AS rnd, h.cnt, h.fp, k.today
   FROM kept k JOIN hosts h ON h.h = {O.netloc('k.url')}
 ),
 dist AS (
   SELECT text, first(url ORDER BY rnd, cnt DESC, fp) AS url, first(pos ORDER BY rnd, cnt DESC, fp) AS pos
-  FROM ordered WHERE {O.has_text('text')} GROUP BY text
+  FROM ordered WHERE today AND {O.has_text('text')} GROUP BY text
 ),
 cleaned AS (SELECT pos, url, text, {"lower(text)" if raw_terms else clean_sql('text')} AS cleaned FROM dist),
 terms AS (
@@ -98,14 +101,15 @@ probs AS (
 )"""
 
 
-def found_sql() -> str:
+def found_sql(history: str = "") -> str:
+    unsent = f" AND url NOT IN (SELECT url FROM ({history}))" if history else ""
     return f"""
 found0 AS (
   SELECT pos, url, text, round_even(prob, 3) AS prob FROM probs
-  WHERE round_even(prob, 3) >= {CFG.threshold_v2!r}
+  WHERE round_even(prob, 3) >= {CFG.threshold_v2!r}{unsent}
 ),
 found AS (
-  SELECT * FROM found0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY text) = 1
+  SELECT * FROM found0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY text, pos) = 1
 )"""
 
 
@@ -139,9 +143,9 @@ groups AS (
 )"""
 
 
-def digest_sql() -> str:
-    return f"""WITH RECURSIVE {chain_sql()},
-{found_sql()},
+def digest_sql(chain: str = "", found: str = "") -> str:
+    return f"""WITH RECURSIVE {chain or chain_sql()},
+{found or found_sql()},
 {leaders_sql()},
 lines AS (
   SELECT CASE WHEN g.is_single THEN 1 ELSE 3 END AS sec, -g.max_prob AS gk, g.leader AS gl, 1 AS sub,

@@ -15,6 +15,7 @@ from .operators import filters
 from .plans import digest as D
 from .plans import ingest as I
 from .session import read_table
+from .sources import extract as X
 
 CFG = latin_config()
 INGEST_KEYWORDS = filters.normalise_words(["The", " ble "])
@@ -103,6 +104,49 @@ SELECT s.site_pos, s.site_name,
 FROM sites s LEFT JOIN st USING (site_name)"""
 
 
+# --- M8 with articles, dates and history --------------------------------------------------
+
+def _sent(spark, sf):
+    """The day's history: URLs of the documents that are labelled toxic."""
+    d = _t(spark, sf, "documents").join(_t(spark, sf, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    return d.select(F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"), F.col("doc_id").cast("string")).alias("url"))
+
+
+def _resolved_inputs(spark, sf):
+    articles = X.extract_articles(_t(spark, sf, "pages"), QS._rules(spark), QS._suffixes(spark)).filter(~F.col("skipped"))
+    dates = QD.date_strings(spark, sf).select(F.col("event_id").alias("pos"), "date_str")
+    return {"history": _sent(spark, sf), "articles": articles.select(F.col("page_id").alias("pos"), "text"), "dates": dates}
+
+
+def q_digest_resolved(spark, sf):
+    """The digest of items with their articles (page_id = doc_id), the dates that they carry (event_id =
+    doc_id) and what was sent before."""
+    return D.digest(spark, _t(spark, sf, "documents"), _t(spark, sf, "labels"), CFG, QG.RES, **_resolved_inputs(spark, sf))
+
+
+def q_score_news_resolved(spark, sf):
+    x = _resolved_inputs(spark, sf)
+    found, _ = D.score_news_v2(spark, _t(spark, sf, "documents"), _t(spark, sf, "labels"), CFG, QG.RES, known_urls=x["history"], **x)
+    return found.select("pos", "url", "prob")
+
+
+def _resolved_sql():
+    sent = f"SELECT {O.doc_url('source', 'doc_id')} AS url FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+    article = f"SELECT page_id AS pos, text FROM ({QS._article_sql_body()})"
+    day = (f"SELECT event_id AS pos, {QD.parse_day_sql('n')} AS day FROM "
+           f"(SELECT event_id, {QD._norm_sql('date_str')} AS n FROM ({QD.date_strings_sql()}))")
+    return QG.chain_sql(sent, article=article, day=day), QG.found_sql(sent)
+
+
+def sql_digest_resolved():
+    return QG.digest_sql(*_resolved_sql())
+
+
+def sql_score_news_resolved():
+    chain, found = _resolved_sql()
+    return f"WITH {chain},\n{found}\nSELECT pos, url, prob FROM found"
+
+
 # --- M3 (rows-only) --------------------------------------------------------------------
 
 def q_lr_train_score(spark, sf):
@@ -129,5 +173,7 @@ QUERIES = {
     "score_news_v1": (q_score_news_v1, sql_score_news_v1),
     "resolve_texts": (q_resolve_texts, sql_resolve_texts),
     "ingest": (q_ingest, sql_ingest),
+    "digest_resolved": (q_digest_resolved, sql_digest_resolved),
+    "score_news_resolved": (q_score_news_resolved, sql_score_news_resolved),
     "lr_train_score": (q_lr_train_score, None),
 }
