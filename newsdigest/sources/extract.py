@@ -109,8 +109,8 @@ def rule_text(events: Column, divs: Column, drops: Column, collect_all: Column,
         def of(d: Column) -> Column:
             all_of = found(kept, d["tag"], d["attrs"])
             chosen = F.when(collect_all, all_of).otherwise(F.slice(all_of, 1, 1))
-            parts = lambda w: F.flatten(F.transform(text_tags, lambda t: F.transform(
-                F.filter(inside(kept, w), lambda e: e["tag"] == t), lambda e: text_of(kept, e))))
+            parts = lambda w: let(inside(kept, w), lambda own: F.flatten(F.transform(text_tags, lambda t: F.transform(
+                F.filter(own, lambda e: e["tag"] == t), lambda e: text_of(own, e)))))
             walk = sub_p & ~F.coalesce(F.array_contains(text_tags, d["tag"]), F.lit(False))
             return F.flatten(F.transform(chosen, lambda w: F.when(walk, parts(w)).otherwise(F.array(text_of(kept, w)))))
         return F.transform(F.flatten(F.transform(selectors, of)), lambda t: F.concat(t, F.lit(LINE)))
@@ -132,7 +132,7 @@ def generic_text(events: Column) -> Column:
     title = let(first(found(events, "title")), lambda t: F.coalesce(text_of(events, t), F.lit("")))
     main = F.coalesce(first(found(events, "article")), first(found(events, "body")))
     within = let(main, lambda m: F.when(m.isNull(), events).otherwise(inside(events, m)))
-    paragraphs = F.filter(F.transform(let(within, lambda w: found(w, "p")), lambda p: text_of(events, p)), has_text)
+    paragraphs = F.filter(let(within, lambda w: F.transform(found(w, "p"), lambda p: text_of(w, p))), has_text)
     return F.concat(title, F.lit(LINE), F.array_join(paragraphs, LINE))
 
 
@@ -179,8 +179,11 @@ def extract_listing(pages: DataFrame, main_tag: str | Column, main_attrs: Column
     attrs = F.lit(None).cast("map<string,string>") if main_attrs is None else main_attrs
     own = pages.select("page_id", "html", *[column(t).alias(f"{n}_tag") for n, t in names.items()], attrs.alias("main_attrs"))
     e = F.col("events")
-    items = parsed(own).select("*", F.posexplode(found(e, F.col("main_tag"), F.col("main_attrs"))).alias("item_no", "item"))
-    part = lambda n: first(F.filter(elements(inside(e, F.col("item"))), lambda x: x["tag"] == F.col(f"{n}_tag")))
+    # an item's own events are few; what follows looks at these only
+    per_item = F.transform(found(e, F.col("main_tag"), F.col("main_attrs")), lambda x: inside(e, x))
+    items = parsed(own).select("page_id", *[f"{n}_tag" for n in names], F.posexplode(per_item).alias("item_no", "own"))
+    e = F.col("own")
+    part = lambda n: first(F.filter(e, lambda x: x["tag"] == F.col(f"{n}_tag")))
     lead = lambda n: let(part(n), lambda x: leading_text(e, x))
     items = items.withColumn("link", part("href"))
     href = F.coalesce(F.col("link.attrs")["href"], F.lit(""))
