@@ -9,7 +9,7 @@ whose scope lies within a repeated passage therefore stands in every copy of the
 
 For every window of ``WINDOW`` words one symbol of highest round with its scope inside the window, that of the
 greatest fingerprint, is the window's anchor. Equal windows have equal anchors, neighbouring
-windows mostly share one, and a document has about a fifth as many anchors as words. Steps:
+windows mostly share one, and a document has about a quarter as many anchors as words. Steps:
 
 1. Each document's anchors, sorted over the cluster by range of (anchor, doc_id): those that another
    document has too are kept. A hot anchor is many rows and is split like any range. The rows of copies
@@ -41,8 +41,9 @@ from . import words as wd
 from .common import cut, table
 
 WINDOW = 13
-#: Rounds of pairs; runs are named before the first. More rounds widen scopes beyond a window.
-ROUNDS = 2
+#: Rounds of pairs; runs are named before the first. More rounds widen scopes beyond a window, fewer make them
+#: so narrow that texts share them by chance.
+ROUNDS = 3
 #: Anchors are told apart by this many bits; two that collide only cost a vain comparison of windows.
 ANCHOR_BITS = 48
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -170,6 +171,19 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(doc[keep])], ["anchor", "doc_id"])
 
 
+def _runs(places: np.ndarray) -> bytes:
+    """Sorted distinct places as (begin, end) of runs, 32 bits each."""
+    begin = np.flatnonzero(np.append(True, np.diff(places) > 1)) if len(places) else np.zeros(0, np.int64)
+    end = np.append(begin[1:], len(places)) - 1
+    return np.column_stack([places[begin], places[end] + 1]).astype(np.int32).tobytes()
+
+
+def _places(runs: bytes) -> np.ndarray:
+    begin, end = np.frombuffer(runs, np.int32).reshape(-1, 2).T
+    n = end - begin
+    return (np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)).astype(np.int32)
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the starts of their windows whose anchors are shared."""
     for b in batches:
@@ -182,7 +196,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d in range(high - low):
                 own = slice(edges[d], edges[d + 1])
                 hit = np.isin(anchor[own].view(np.int64), shared[low + d].values.to_numpy(zero_copy_only=False))
-                found.append((starts[own][hit] - w.first[d]).astype(np.int32).tobytes())
+                found.append(_runs(starts[own][hit] - w.first[d]))
             yield pa.RecordBatch.from_arrays([*(b.column(k).slice(low, high - low) for k in range(3)), pa.array(found, pa.binary())],
                                              ["doc_id", "tag", "text", "starts"])
 
@@ -192,7 +206,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, found = b.column(0).to_numpy(), b.column(2)
         for low, high, text in wd.slices(b.column(1)):
             w = wd.words(text)
-            own = [np.frombuffer(found[low + d].as_py(), np.int32) for d in range(high - low)]
+            own = [_places(found[low + d].as_py()) for d in range(high - low)]
             doc = np.repeat(np.arange(high - low), [len(x) for x in own])
             place = np.concatenate(own)
             one, two = fingerprints(w, w.first[doc] + place)
@@ -247,8 +261,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     found = cut(tagged.join(by_doc, "doc_id").mapInArrow(_candidates, "doc_id long, tag long, text string, starts binary")
                 .filter("octet_length(starts) > 0"), "candidates")
     windows = found.select("doc_id", "text", "starts").mapInArrow(_windows, "w1 long, w2 int, doc_id long, place int")
-    repeats = (windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-               .filter("first_id < last_id").select("w1", "w2", "first_id"))
+    # cut, so that both sides of the join below are exchanged and a hot window can be split at run time
+    repeats = cut(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+                  .filter("first_id < last_id").select("w1", "w2", "first_id"), "repeats")
     places = (windows.join(repeats, ["w1", "w2"]).filter("doc_id > first_id")
               .groupBy("doc_id").agg(F.collect_list(F.struct("place", "w2")).alias("places")))
 
