@@ -42,7 +42,7 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Orders, and labelled shingles kept of each.
 SKETCHES, KEEP = 16, 3
 #: Steps that compare components by a drawn node before all is compared.
-MERGES = 1
+MERGES = 2
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _rng = np.random.default_rng(1905)
 _XOR = _rng.integers(0, 1 << 63, SKETCHES, np.uint64)
