@@ -247,7 +247,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     tagged = texts.select("doc_id", F.crc32("text").alias("tag"), "text")  # the tag tells apart rows that share an id
     whole = cut(tagged.mapInArrow(_whole, "doc_id long, tag long, n_words long, h1 long, h2 long, sha string"), "whole")
-    first = whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    # cut, so that a large group of copies can be split in the join below
+    first = cut(whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "first")
     copies = cut(whole.filter(F.col("n_words") >= WINDOW).join(first, ["h1", "h2"]).filter("doc_id > first_id").select("doc_id", "tag").distinct(), "copies")
 
     # 1: shared anchors, by document, without the documents whose every row is a copy
