@@ -3,6 +3,8 @@ Spark ML training path (M3)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import oracle as O
@@ -14,7 +16,7 @@ from .functions.urls import netloc
 from .operators import filters
 from .plans import digest as D
 from .plans import ingest as I
-from .session import read_table
+from .session import ensure_checkpoint_dir, read_table
 from .sources import extract as X
 
 CFG = latin_config()
@@ -149,23 +151,32 @@ def sql_score_news_resolved():
 
 # --- M3 (rows-only) --------------------------------------------------------------------
 
+#: Buckets of the term hash of ``lr_train_score``. Every term counts, however rare and however many there are, and no
+#: vocabulary is built; terms whose buckets meet share a weight. The model is as wide as this.
+HASH_WIDTH = 1 << 18
+
+
 def q_lr_train_score(spark, sf):
-    """M3: Spark ML pipeline (tokens of the cleaned text -> counts -> idf -> logistic
-    regression) fitted on the labelled documents, scoring every document."""
+    """M3: Spark ML (tokens of the whole cleaned text -> counts of ``HASH_WIDTH`` hashed terms -> idf -> logistic
+    regression) fitted on the labelled documents, scoring every document. The texts are cleaned once: their counts
+    are written to the checkpoint folder, for the fit and for the scores. A null text has no terms."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer
+    from pyspark.ml.feature import IDF, HashingTF
     from pyspark.ml.functions import vector_to_array
     from .functions.text import vector_terms
-    docs = _t(spark, sf, "documents")
-    cleaned = docs.select("doc_id", vector_terms(D.clean_column(F.col("text"), CFG, QG.RES)).alias("terms"))
-    train = cleaned.join(_t(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")),
-                         "doc_id")
-    pipe = Pipeline(stages=[CountVectorizer(inputCol="terms", outputCol="tf", minDF=1.0),
-                            IDF(inputCol="tf", outputCol="features"),
+    terms = vector_terms(D.clean_column(F.col("text"), CFG, QG.RES, head_n=0))
+    cleaned = _t(spark, sf, "documents").select("doc_id", F.coalesce(terms, F.expr("cast(array() as array<string>)")).alias("terms"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hashed-terms-{uuid.uuid4().hex}"
+    HashingTF(inputCol="terms", outputCol="tf", numFeatures=HASH_WIDTH).transform(cleaned).drop("terms") \
+        .write.option("compression", "zstd").parquet(path)
+    counts = spark.read.parquet(path)
+    train = counts.join(_t(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    # each partition sends a gradient as wide as the model in every iteration, so there is one per core at most
+    train = train.coalesce(spark.sparkContext.defaultParallelism)
+    pipe = Pipeline(stages=[IDF(inputCol="tf", outputCol="features"),
                             LogisticRegression(maxIter=50, regParam=0.01)])
-    model = pipe.fit(train)
-    scored = model.transform(cleaned)
+    scored = pipe.fit(train).transform(counts)
     return scored.select("doc_id", F.round(vector_to_array("probability")[1], 6).alias("prob"))
 
 

@@ -95,3 +95,27 @@ def test_seen_keys_leave_the_state(spark):
     state = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
     assert spark.read.parquet(f"{out}/data").count() == 5 * len(days)
     assert state[-1] <= 10 < 5 * len(days)
+
+
+def _train_score(spark, folder, docs, labels):
+    from newsdigest.queries_plans import q_lr_train_score
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return {r.doc_id: r.prob for r in q_lr_train_score(spark, str(folder)).collect()}
+
+
+def test_training_reads_all_paragraphs(spark, tmp_path):
+    plain = "\n".join(["same words here"] * 6)
+    docs = [(i, f"{plain}\n{'crystal' if i % 2 else 'granite'}") for i in range(12)] + [(12, f"{plain}\ncrystal"), (13, f"{plain}\ngranite"), (14, None)]
+    got = _train_score(spark, tmp_path, docs, [(i, i % 2, 0) for i in range(12)])
+    assert len(got) == 15 and got[12] > 0.6 and got[13] < 0.4
+
+
+def test_training_keeps_rare_terms(spark, tmp_path):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "q" + "".join(letters[n // 26 ** k % 26] for k in range(4))
+    # more words that occur twice, under both labels, than a default vocabulary (262,144 words) holds, and one that occurs once
+    docs = [(i, " ".join(word(n) for n in range(i // 2 * 30_000, (i // 2 + 1) * 30_000))) for i in range(18)]
+    docs += [(18, "crystal"), (19, "crystal"), (20, ""), (21, "")]
+    got = _train_score(spark, tmp_path, docs, [(i, i % 2, 0) for i in range(18)] + [(18, 1, 0), (21, 0, 0)])
+    assert got[19] > got[20] + 0.01
