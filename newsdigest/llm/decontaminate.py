@@ -9,9 +9,12 @@ for all passages of a slice at once; in the others WAND walks the postings under
 gives every part above the threshold. Each item found is verified around the place: both its
 question and its answer must stand there, in order, to ``OVERLAP``.
 
-The index is broadcast in blocks of items of ``BLOCK_BYTES`` at most; every block sees all texts.
+The index is broadcast in blocks of items of about ``BLOCK_BYTES``; every block sees all texts. The
+statistics of the scores (parts with a word, number and mean length of parts) are those of all items,
+so findings and scores do not depend on the blocks.
 
-Defined results: null counts as empty text; items without words are never found; an item that is
+Defined results: null counts as empty text; items without words are never found; an item without an id is
+searched and reported under a null id; an item that is
 one sentence is all question; repeated rows are judged each; empty tables give no findings.
 """
 
@@ -20,7 +23,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -55,22 +59,40 @@ def question_answer(text: str) -> tuple[str, str]:
     return (m[1], m[2]) if m else (text, "")
 
 
+def in_parts(items: Sequence[tuple[int | None, str]]) -> tuple[list[tuple[int | None, list[int], list[int]]], list[tuple[int, list[int]]]]:
+    """Items that have words, as (item_id, question, answer) in hashes, and their parts as (number of the item, hashes)."""
+    texts = [x for _, t in items for x in question_answer(t)]
+    hashes: list[list[int]] = []
+    for low, high, text in wd.slices(pa.array(texts, pa.large_string())):
+        w = wd.words(text, wd.ALNUM, wd.LOWER)
+        hashes += [w.hashes[w.first[d]:w.first[d + 1]].tolist() for d in range(high - low)]
+    some = [(i, q, a) for (i, _), q, a in zip(items, hashes[0::2], hashes[1::2]) if q or a]
+    return some, [(n, (q + a)[at:at + PART]) for n, (_, q, a) in enumerate(some) for at in range(0, len(q) + len(a), PART)]
+
+
+class Statistics(NamedTuple):
+    """Of the parts of all items: how many there are, their mean length, and how many have each word."""
+
+    parts: int
+    mean: float
+    df: Mapping[int, int]
+
+    @classmethod
+    def of(cls, parts: Sequence[tuple[int, list[int]]]) -> Statistics:
+        return cls(len(parts), sum(len(p) for _, p in parts) / max(len(parts), 1), Counter(x for _, p in parts for x in set(p)))
+
+
 class Index:
-    def __init__(self, items: Sequence[tuple[int, str]]):
-        texts = [x for _, t in items for x in question_answer(t)]
-        hashes: list[list[int]] = []
-        for low, high, text in wd.slices(pa.array(texts, pa.large_string())):
-            w = wd.words(text, wd.ALNUM, wd.LOWER)
-            hashes += [w.hashes[w.first[d]:w.first[d + 1]].tolist() for d in range(high - low)]
-        self.items = [(i, q, a) for (i, _), q, a in zip(items, hashes[0::2], hashes[1::2]) if q or a]
-        parts = [(n, (q + a)[at:at + PART]) for n, (_, q, a) in enumerate(self.items) for at in range(0, len(q) + len(a), PART)]
+    """``statistics`` are those of all items and needed if ``items`` are only some of them."""
+
+    def __init__(self, items: Sequence[tuple[int | None, str]], statistics: Statistics | None = None):
+        self.items, parts = in_parts(items)
         parts.sort(key=lambda p: len(p[1]))  # parts of one block then give a word like shares
         self.item_of = [n for n, _ in parts]
-        df = Counter(x for _, p in parts for x in set(p))
-        mean = sum(len(p) for _, p in parts) / max(len(parts), 1)
+        total, mean, df = statistics or Statistics.of(parts)
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for part, (_, p) in enumerate(parts):
-            share = {x: math.log(1 + (len(parts) - df[x] + 0.5) / (df[x] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(p) / mean))
+            share = {x: math.log(1 + (total - df[x] + 0.5) / (df[x] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(p) / mean))
                      for x, tf in Counter(p).items()}
             whole = sum(share.values())
             for x, s in share.items():
@@ -197,7 +219,7 @@ class Index:
                     if score > found[d].get(item, 0) and (item in found[d] or self.verify(w, d, start, item)):
                         found[d][item] = score
             for d in range(high - low):
-                yield sorted((self.items[item][0], score) for item, score in found[d].items()) if d in found else []
+                yield sorted(((self.items[item][0], score) for item, score in found[d].items()), key=_by_id) if d in found else []
 
     def verify(self, w: wd.Words, doc: int, start: int, item: int) -> bool:
         """Question and answer stand, in order, in the passage or as far around it as the item is long."""
@@ -210,14 +232,42 @@ class Index:
                 and all(banded_common(part, around, len(around)) >= OVERLAP * len(part) for part in (question, answer)))
 
 
-def blocks(items: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The test items in blocks of about ``most`` bytes."""
-    own = items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct()
+def _by_id(found: tuple[int | None, float]) -> tuple[bool, int, float]:
+    return found[0] is None, found[0] or 0, found[1]
+
+
+def _part_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (block, item_id, text): a row of each part, with its size and a null word, and one of each word that it has."""
+    for b in batches:
+        for k, item, text in zip(*(c.to_pylist() for c in b.columns)):
+            _, parts = in_parts([(item, text)])
+            words = [x for _, p in parts for x in set(p)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k] * (len(parts) + len(words)), pa.int64()),
+                pa.concat_arrays([pa.nulls(len(parts), pa.int64()), pa.array(np.array(words, np.uint64).view(np.int64))]),
+                pa.array([len(p) for _, p in parts] + [0] * len(words), pa.int64())], ["block", "word", "size"])
+
+
+def blocks(items: DataFrame, most: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple[int | None, str]], Statistics]]:
+    """The test items in blocks of about ``most`` bytes, each with the statistics of all items for its own words."""
+    own = items.filter(F.col("text").isNotNull()).select("item_id", "text").distinct()
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // most))
+    if n == 1:
+        block = [(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()]
+        yield block, Statistics.of(in_parts(block)[1])
+        return
+    own = own.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    counts = cut(own.select("block", "item_id", "text").mapInArrow(_part_words, "block long, word long, size long")
+                 .groupBy("block", "word").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size")), "item-words")
+    whole = counts.filter("word is null").agg(F.sum("parts").alias("parts"), F.sum("size").alias("size")).first()
+    words = counts.filter("word is not null")
+    words = cut(words.select("block", "word").join(words.groupBy("word").agg(F.sum("parts").alias("df")), "word"), "item-word-parts")
+    parts = whole.parts or 0
     for k in range(n):
-        part = own.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else own
-        yield [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
+        df = {r.word & 0xFFFFFFFFFFFFFFFF: r.df for r in words.filter(F.col("block") == k).select("word", "df").collect()}
+        yield ([(r.item_id, r.text) for r in own.filter(F.col("block") == k).orderBy("item_id", "text").collect()],
+               Statistics(parts, (whole.size or 0) / max(parts, 1), df))
 
 
 _FOUND = "array<struct<item_id: long, score: double>>"
@@ -226,10 +276,10 @@ _FOUND = "array<struct<item_id: long, score: double>>"
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Two columns: ``row``, a struct of docs' own columns, and ``found``, an array of (item_id, score)."""
     out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.expr(f"cast(array() as {_FOUND})").alias("found"))
-    for k, block in enumerate(blocks(items)):
+    for k, (block, statistics) in enumerate(blocks(items)):
         if k:  # one index at a time in a worker
             out = cut(out, "decontaminated")
-        search = _search(docs.sparkSession.sparkContext.broadcast(Index(block)))
+        search = _search(docs.sparkSession.sparkContext.broadcast(Index(block, statistics)))
         out = out.select("row", F.concat("found", search(F.col("row.text"))).alias("found"))
     return out
 

@@ -183,6 +183,31 @@ def test_items_come_in_blocks(spark, sf, monkeypatch):
     assert got == want
 
 
+def test_scores_do_not_depend_on_the_blocks(spark, sf, monkeypatch):
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice(["the", "of", *(f"w{i}" for i in range(300))]) for _ in range(n))
+    items = [(i, f"{text(40)}.\n{text(6)}") for i in range(30)]
+    edited = lambda t: "\n".join(" ".join("new" if rng.random() < 0.12 else w for w in p.split()) for p in t.split("\n"))
+    docs = spark.createDataFrame([(i, f"{text(60)} {edited(t)} {text(60)}") for i, t in items for _ in range(4)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    result = lambda: sorted((r.row.text, sorted((f.item_id, round(f.score, 9)) for f in r.found)) for r in decontaminate.find(docs, bench).collect())
+    one = result()
+    assert any(0 < f[0][1] < 1 for _, f in one if f)
+    monkeypatch.setattr(decontaminate, "blocks", lambda d, most=1500, f=decontaminate.blocks: f(d, most))
+    assert result() == one
+
+
+def test_items_without_an_id_are_reported(spark, sf, monkeypatch):
+    docs, items, _ = contamination(spark)
+    df, bench = spark.createDataFrame([(0, f"{items[10][1]} {items[1][1]}"), (1, docs[2][1])], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (1 << 20, 1500):
+        monkeypatch.setattr(decontaminate, "blocks", lambda d, most=most, f=decontaminate.blocks: f(d, most))
+        got = {r.doc_id: r.ids for r in decontaminate.find(df, bench).select("row.doc_id", F.array_sort("found.item_id").alias("ids")).collect()}
+        assert got == {0: [1, None], 1: []}
+        monkeypatch.undo()
+    assert decontaminate.clean(df, bench).count() == 1
+
+
 def test_decontamination_of_empty_tables(spark, empty, edge, sf):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.clean(empty, none).count() == 0
