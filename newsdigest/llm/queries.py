@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, license_scan, mixing, near_dup, quality, sharding, substring_dedup, token_count, url_filter
+from . import (decontaminate, exact_dedup, hard_negatives, license_scan, mixing, near_dup, nearest, quality, sharding, spelling,
+               substring_dedup, token_count, url_filter)
 
 QUERIES = {
     "op1_near_dup": (near_dup.op1_near_dup, None),
@@ -15,4 +16,7 @@ QUERIES = {
     "op8_decontaminate": (decontaminate.op8_decontaminate, None),
     "op9_mixing": (mixing.op9_mixing, None),
     "op10_quality": (quality.op10_quality, None),
+    "op11_hard_negatives": (hard_negatives.op11_hard_negatives, hard_negatives.OP11_SQL),
+    "op12_nearest": (nearest.op12_nearest, nearest.OP12_SQL),
+    "op13_spelling": (spelling.op13_spelling, spelling.OP13_SQL),
 }
