@@ -1,6 +1,7 @@
 """Hard negatives (op11), nearest neighbours (op12) and spelling variants (op13)."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -150,13 +151,15 @@ def test_empty_vectors(spark, sf):
 
 
 def brute_variants(counts):
-    words = {w: n for w, n in counts.items()}
+    words = counts
+
+    def one_error(a, b):
+        """By definition: after the first difference, the rest agrees with a letter skipped in either or both."""
+        i = len(os.path.commonprefix([a, b]))
+        return a != b and (a[i + 1:] == b[i + 1:] or a[i:] == b[i + 1:] or a[i + 1:] == b[i:])
 
     def near(w):
-        letters = {c for x in words for c in x}
-        made = {w[:i] + w[i + 1:] for i in range(len(w))}
-        made |= {w[:i] + c + w[i + 1:] for i in range(len(w)) for c in letters} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
-        return [v for v in made if v in words and v != w]
+        return [v for v in words if abs(len(v) - len(w)) < 2 and one_error(w, v)]
 
     form, n_near = {}, {}
     for w, n in words.items():
