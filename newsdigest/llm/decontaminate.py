@@ -222,14 +222,34 @@ class Index:
                 yield sorted(((self.items[item][0], score) for item, score in found[d].items()), key=_by_id) if d in found else []
 
     def verify(self, w: wd.Words, doc: int, start: int, item: int) -> bool:
-        """Question and answer stand, in order, in the passage or as far around it as the item is long."""
+        """Question and answer stand next to each other, each in order to ``OVERLAP``, in the passage or as far around
+        it as the item is long. Words in common say by how much the text is shifted against the item; where
+        enough agree on a shift, give or take the words that may differ, both parts are aligned within that band."""
         _, question, answer = self.items[item]
-        size = len(question) + len(answer)
+        whole = [*question, *answer]
         begin, end = int(w.first[doc]), int(w.first[doc + 1])
-        around = w.hashes[max(begin, begin + start - size):min(end, begin + start + PASSAGE + size)].tolist()
+        around = w.hashes[max(begin, begin + start - len(whole)):min(end, begin + start + PASSAGE + len(whole))].tolist()
+        places: dict[int, list[int]] = defaultdict(list)
+        for i, x in enumerate(whole):
+            places[x].append(i)
         there = set(around)  # a bound first: words that are there at all
-        return (all(sum(x in there for x in part) >= OVERLAP * len(part) for part in (question, answer))
-                and all(banded_common(part, around, len(around)) >= OVERLAP * len(part) for part in (question, answer)))
+        if not all(sum(x in there for x in part) >= OVERLAP * len(part) for part in (question, answer)):
+            return False
+        band = math.ceil((1 - OVERLAP) * len(whole) - 1e-9)
+        shifts = np.bincount([j - i + len(whole) for j, x in enumerate(around) for i in places.get(x, ())], minlength=len(around) + len(whole) + 1)
+        votes = np.convolve(shifts, np.ones(2 * band + 1, np.int64), "same")
+        tried = np.zeros(len(votes), bool)
+        for at in np.argsort(-votes, kind="stable").tolist():
+            if votes[at] < OVERLAP * len(whole) - 1e-9:
+                return False
+            if tried[at]:
+                continue
+            tried[max(0, at - band // 2):at + band // 2 + 1] = True
+            at -= len(whole)
+            if all(banded_common(part, near, len(near)) >= OVERLAP * len(part) for part, first in ((question, at), (answer, at + len(question)))
+                   for near in [around[max(0, first - band):max(0, first + len(part) + band)]]):
+                return True
+        return False
 
 
 def _by_id(found: tuple[int | None, float]) -> tuple[bool, int, float]:

@@ -18,8 +18,8 @@ windows mostly share one, and a document has about a quarter as many anchors as
    all 13 words; of each fingerprint the smallest doc_id counts. This verifies the repeats.
 3. Words covered by a window that also starts in a document with a smaller doc_id are removed.
 
-Documents whose words all equal those of a smaller doc_id are one whole repeat; they are decided by a
-fingerprint of all their words, which keeps large groups of copies out of steps 2 and 3.
+Documents whose words all equal those of a smaller doc_id are one whole repeat; they are decided by 128
+bits of the SHA-256 of their words, which keeps large groups of copies out of steps 2 and 3.
 
 Defined results: words are runs of other than white space, unchanged; null and empty texts have no
 words; texts of fewer than 13 words keep them all; windows of documents with the same doc_id do not
@@ -133,14 +133,14 @@ def fingerprints(w: wd.Words, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: number of words, two fingerprints of all words, hash of the words joined by spaces."""
+    """Per document: number of words, the SHA-256 of the words joined by spaces, and its first 128 bits as two numbers."""
     for b in batches:
         for low, high, text in wd.slices(b.column(2)):
             w = wd.words(text)
-            prints = [wd.mixed(wd.spans(w.hashes, w.first[:-1], w.first[1:], base | 1) + np.diff(w.first).astype(np.uint64)).view(np.int64) for base in _BASES]
-            joined = [hashlib.sha256(b" ".join(text.doc(d).split())).hexdigest() for d in range(high - low)]
+            joined = [hashlib.sha256(b" ".join(text.doc(d).split())).digest() for d in range(high - low)]
+            prints = np.frombuffer(b"".join(joined), np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), b.column(1).slice(low, high - low), pa.array(np.diff(w.first)),
-                                              pa.array(prints[0]), pa.array(prints[1]), pa.array(joined, pa.string())],
+                                              pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([x.hex() for x in joined], pa.string())],
                                              ["doc_id", "tag", "n_words", "h1", "h2", "sha"])
 
 
@@ -245,7 +245,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_words, n_removed, kept_sha256, one row per row."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    tagged = texts.select("doc_id", F.crc32("text").alias("tag"), "text")  # the tag tells apart rows that share an id
+    tagged = texts.select("doc_id", F.xxhash64("text").alias("tag"), "text")  # the tag tells apart rows that share an id
     whole = cut(tagged.mapInArrow(_whole, "doc_id long, tag long, n_words long, h1 long, h2 long, sha string"), "whole")
     # cut, so that a large group of copies can be split in the join below
     first = cut(whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "first")

@@ -2,11 +2,14 @@
 
 ``slices`` cuts a batch into runs of documents of bounded bytes; ``words`` gives the words of such
 a run as numpy arrays. A word's hash is a polynomial of its bytes modulo 2^64, taken from prefix
-sums, and mixed; equal words have equal hashes in every task.
+sums, and mixed; equal words have equal hashes in every task. Over long stretches such polynomials can be
+made to collide whatever their base (by swaps in the order of the Thue-Morse sequence), so words of more than
+``LONG`` bytes and whole texts are hashed by BLAKE2b, and polynomials only span few symbols.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,6 +20,9 @@ import pyarrow.compute as pc
 #: Bytes of text that are worked on at a time; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
 
+#: Bytes of a word that is hashed by a digest.
+LONG = 64
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _POWERS = {}
@@ -114,11 +120,15 @@ def words(text: Text, of: np.ndarray = NOT_SPACE, mapped: np.ndarray | None = No
     starts, ends = np.flatnonzero(is_start), np.flatnonzero(is_end) + 1
     values = (data if mapped is None else mapped[data]).astype(np.uint64) + np.uint64(1)
     hashes = spans(values, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return Words(starts, ends, mixed(hashes), np.searchsorted(starts, offsets))
+    hashes = mixed(hashes)
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        word = data[starts[i]:ends[i]]
+        hashes[i] = np.frombuffer(hashlib.blake2b((word if mapped is None else mapped[word]).tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return Words(starts, ends, hashes, np.searchsorted(starts, offsets))
 
 
 def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """Polynomial hash of values[start:end] for each span, not yet mixed."""
+    """Polynomial hash of values[start:end] for each span, not yet mixed. For short spans only."""
     n = len(values)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values * _powers(base, n + 1)[:n], out=sums[1:])
