@@ -12,18 +12,21 @@ keeps one residual, and ``FAN_IN`` blocks make a block of the next level. A sour
 of all rows is only more blocks. All randomness is a hash of seed and ids, so reruns agree.
 
 Defined results: a null text has no words; a document without words is taken for 0 words; a null
-source is a source, last in order; repeated rows are documents of their own; an empty table gives
-an empty result.
+source is a source, last in order; repeated rows are documents of their own, numbered, and each
+is drawn by its number; texts of any length are one document; columns of any name are kept; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from newsdigest.operators.ordering import rank_within_group
+
 from .common import SPACE, cut, table
 
 #: Documents, then residuals, that one fold takes on average.
@@ -73,11 +76,11 @@ def _uniform(*parts: str) -> str:
 
 #: One document in a fold: h is its order, m the words of it that are still undecided, copies
 #: what it has so far.
-_ITEM = "struct<h:bigint,doc_id:bigint,tag:bigint,size:bigint,copies:int,m:double>"
+_ITEM = "struct<h:bigint,doc_id:bigint,tag:bigint,nth:bigint,size:bigint,copies:int,m:double>"
 
 
 def _with(i: str, m: str, copies: str = "") -> str:
-    return f"named_struct('h', {i}.h, 'doc_id', {i}.doc_id, 'tag', {i}.tag, 'size', {i}.size, 'copies', {i}.copies{copies}, 'm', {m})"
+    return f"named_struct('h', {i}.h, 'doc_id', {i}.doc_id, 'tag', {i}.tag, 'nth', {i}.nth, 'size', {i}.size, 'copies', {i}.copies{copies}, 'm', {m})"
 
 
 def _fold() -> str:
@@ -106,19 +109,19 @@ def _fold() -> str:
 
 
 def round_copies(docs: DataFrame, plan: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """docs (doc_id, tag, source, size) with ``copies``. plan is what ``targets`` gives.
+    """docs (doc_id, tag, source, size, nth) with ``copies``. plan is what ``targets`` gives.
 
-    ``tag`` tells apart rows that share a doc_id. Every row comes back once."""
+    ``tag`` tells apart rows that share a doc_id, ``nth`` those that are equal. Every row comes back once."""
     # a small table, one row per source; the driver needs only the largest count for the depth
     most = plan.agg(F.max("n")).first()[0] or 0
     key = lambda d: d.select("*", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key")).drop("source")
     rows = key(docs).join(key(plan), ["no_source", "source_key"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / fan_in))
-    h = F.xxhash64("doc_id", "tag", F.lit(SEED))
+    h = F.xxhash64("doc_id", "tag", "nth", F.lit(SEED))
     source = ["source_key", "no_source"]
     rows = rows.select(*source, F.pmod(h, blocks).alias("block"),
-                       F.struct(h.alias("h"), "doc_id", "tag", "size", F.floor(rate).cast("int").alias("copies"),
+                       F.struct(h.alias("h"), "doc_id", "tag", "nth", "size", F.floor(rate).cast("int").alias("copies"),
                                 ((rate - F.floor(rate)) * F.col("size")).alias("m")).alias("item"))
     done = [rows.filter("item.size <= 0").select(*source, "item")]
     level, left = rows.filter("item.size > 0"), max(1, -(-most // fan_in))
@@ -136,30 +139,61 @@ def round_copies(docs: DataFrame, plan: DataFrame, fan_in: int = FAN_IN) -> Data
     done.append(level.select(*source, last.alias("item")))
     out = reduce(DataFrame.unionByName, done)
     whole = F.when((F.col("item.size") > 0) & (F.col("item.m") >= F.col("item.size")), 1).otherwise(0)
-    return out.select(F.when(~F.col("no_source"), F.col("source_key")).alias("source"), "item.doc_id", "item.tag", "item.size",
+    return out.select(F.when(~F.col("no_source"), F.col("source_key")).alias("source"), "item.doc_id", "item.tag", "item.nth", "item.size",
                       (F.col("item.copies") + whole).alias("copies"))
 
 
+#: Repeated rows that one step numbers.
+CHUNK = 4096
+
+
+def numbered(narrow: DataFrame) -> DataFrame:
+    """Rows (doc_id, tag, source, size) with ``nth``, the number of a row among its equals. Equal rows are counted, and the
+    count is dealt out again in chunks, so that no task numbers all of them."""
+    of = ["doc_id", "tag", "source", "size"]
+    counted = narrow.groupBy(*of).agg(F.count(F.lit(1)).alias("rows"))
+    chunks = counted.select(*of, "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / CHUNK))).alias("chunk"))
+    once = chunks.filter("rows = 1").select(*of, F.lit(1).cast("long").alias("nth"))
+    begin = F.col("chunk") * CHUNK
+    more = chunks.filter("rows > 1").repartition(*of, "chunk").select(*of, F.explode(F.sequence(begin + 1, F.least(begin + CHUNK, "rows"))).alias("nth"))
+    return once.unionByName(more)
+
+
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, copies of every row of docs."""
-    narrow = cut(sized(docs.select("doc_id", "source", "text")).select(
-        "doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("tag"), "source", "size"), "mix-sizes")
+    """doc_id, size, source_size, target, taken, source, copies, tag, nth of every row of docs."""
+    narrow = cut(numbered(sized(docs.select("doc_id", "source", "text")).select(
+        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "source", "size")), "mix-sizes")
     plan = cut(targets(narrow), "mix-targets")
     copies = round_copies(narrow, plan)
     return (copies.join(plan.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
-            .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies", "tag"))
+            .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies", "tag", "nth"))
 
 
 def take(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of docs as many times as it was drawn, with its own columns.
-    Rows that share id, text and source get the same number of copies."""
-    drawn = (mix(docs).groupBy("doc_id", "tag", "source").agg(F.max("copies").alias("mix_copies")).filter("mix_copies > 0")
-             .select(F.col("doc_id").alias("mix_id"), F.col("tag").alias("mix_tag"), F.col("source").alias("mix_source"), "mix_copies"))
+    Rows that share id, text and source are numbered, and each gets the copies of its number."""
+    drawn = cut(mix(docs).select(F.col("doc_id").alias("mix_id"), F.col("tag").alias("mix_tag"), F.col("source").alias("mix_source"),
+                                 F.col("nth").alias("mix_nth"), F.col("copies").alias("mix_copies")), "mix-drawn")
+    of = ["mix_id", "mix_tag", "mix_source"]
+    repeated = cut(drawn.filter("mix_nth = 2").select(*of), "mix-repeated")
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("mix_row"))
-    hit = (F.col("mix_row.doc_id").eqNullSafe(F.col("mix_id")) & F.col("mix_row.source").eqNullSafe(F.col("mix_source"))
-           & (F.crc32(F.coalesce("mix_row.text", F.lit(""))) == F.col("mix_tag")))
-    return own.join(drawn, hit).select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("mix_row.*")
+    row = {"mix_id": F.col("mix_row.doc_id"), "mix_tag": F.xxhash64(F.coalesce("mix_row.text", F.lit(""))), "mix_source": F.col("mix_row.source")}
+
+    def taken(rows: DataFrame, with_copies: DataFrame, *also: Column) -> DataFrame:
+        hit = reduce(lambda x, y: x & y, [row[c].eqNullSafe(F.col(c)) for c in of], F.lit(True))
+        return (rows.join(with_copies.filter("mix_copies > 0"), reduce(lambda x, y: x & y, also, hit))
+                .select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("mix_row.*"))
+
+    if repeated.isEmpty():
+        return taken(own, drawn)
+    same = [row[c].eqNullSafe(F.col(c)) for c in of]
+    hit = same[0] & same[1] & same[2]
+    single = drawn.join(repeated.select(*[F.col(c).alias(f"r_{c}") for c in of]),
+                        reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in of]), "left_anti")
+    ranked = rank_within_group(own.join(repeated, hit, "left_semi").select(F.struct(*[row[c].alias(c) for c in of]).alias("mix_of"), "mix_row"),
+                               "mix_of", [F.xxhash64("mix_row")], "mix_rank")
+    return taken(own, single).unionByName(taken(ranked, drawn, F.col("mix_rank") == F.col("mix_nth")))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("tag")
+    return mix(table(spark, sf_dir, "documents")).drop("tag", "nth")

@@ -5,9 +5,13 @@ aggregated per slot, so only the slot table (``SLOTS`` rows at most, a proven bo
 driver, where a versioned slot-to-shard map is built. The map is a small Parquet table with one
 folder per version; rebalancing edits it by moving as few slots as it needs. Text never shuffles.
 
+The rows of an id that repeats and is larger than two average slots are dealt over all slots instead, so
+that sizes stay near equal when one id, or null, holds a third of all rows.
+
 Defined results: a null text has no bytes; a record costs its UTF-8 bytes plus 8. Repeated rows
-go to one slot and get places of their own. A null ``doc_id`` hashes like any other value. An
-empty table gives an empty result.
+get places of their own. A null ``doc_id`` hashes like any other value. A very long text is one record, and its
+shard is as much larger if the text is larger than a shard. Other columns are not looked at. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -40,6 +44,20 @@ def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
                        F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("vslot"))
 
 
+def spread_hot(records: DataFrame, slots: int) -> DataFrame:
+    """records, with the rows of hot ids dealt over all slots. Fewer than half as many ids as slots can be hot, so they are
+    broadcast."""
+    total = records.agg(F.sum("size")).first()[0] or 0
+    hot = records.groupBy("doc_id").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("b") > 2 * total / slots))
+    hot = cut(hot.select(F.col("doc_id").alias("hot_id"), F.lit(True).alias("hot")), "hot-ids")
+    if hot.isEmpty():
+        return records
+    row = F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(slots)).cast("int")
+    # written, since a row's number is only the same as long as its file is read the same way
+    return cut(records.withColumn("own", row).join(F.broadcast(hot), F.col("doc_id").eqNullSafe(F.col("hot_id")), "left")
+               .withColumn("vslot", F.when(F.col("hot"), F.col("own")).otherwise(F.col("vslot"))).drop("own", "hot", "hot_id"), "slots")
+
+
 def slot_stats(records: DataFrame) -> dict[int, tuple[int, int]]:
     """slot -> (bytes, rows). One row per slot reaches the driver, ``SLOTS`` at most."""
     rows = records.groupBy("vslot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
@@ -126,7 +144,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: s
     """Put every row of ``docs`` into a shard, sizes near equal. Returns doc_id, size, text_crc32,
     law, shard, slot, grown_shard (null under this law), vslot, map_version."""
     spark = docs.sparkSession
-    records = cut(sized(docs, slots), "slots")
+    records = spread_hot(cut(sized(docs, slots), "slots"), slots)
     stats = slot_stats(records)
     versions = SlotMap(spark, map_path or shared_path(spark, "slot-map"))
     slot_map = versions.store(1, build_map(stats, shards, slots), stats)

@@ -229,3 +229,52 @@ def test_equal_windows_have_equal_anchors():
 
 def test_no_substrings(empty, sf):
     assert substring_dedup.dedup(empty).count() == 0
+
+
+def thue_morse(n):
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
+def test_texts_made_to_collide(spark, sf):
+    """Two words in Thue-Morse order, and swapped: polynomials modulo 2^64 agree whatever their base."""
+    one = " ".join("ab"[b] + f" c{i}" for i, b in enumerate(thue_morse(2048)))
+    two = " ".join("ba"[b] + f" c{i}" for i, b in enumerate(thue_morse(2048)))
+    long = ["".join("ab"[b ^ k] for b in thue_morse(4096)) for k in (0, 1)]
+    docs = spark.createDataFrame([(1, one), (2, two), (3, long[0]), (4, long[1]), (5, one)], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in rows(near_dup.classes(docs))} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    assert {r["doc_id"]: r["n_removed"] for r in rows(substring_dedup.dedup(docs))} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 4096}
+
+
+def test_classes_without_ids(spark, sf):
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = [(None, text), (None, text + " more"), (None, "other words of another text stand here"), (None, None), (4, "x y z"), (None, "x y z")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = rows(near_dup.classes(df))
+    assert sorted(r["class_size"] for r in found) == [1, 1, 2, 2, 2, 2]
+    kept = Counter((r["doc_id"], r["text"]) for r in rows(near_dup.keep_one(df)))
+    assert len(kept) == 4 and kept[(4, "x y z")] == 1 and (None, "x y z") not in kept
+
+
+@pytest.mark.parametrize("block", [512, 20])
+def test_family_of_far_copies(spark, sf, monkeypatch, block):
+    """Copies of one text with a few words changed each: most pairs are below the similarity, and what links is
+    found by components, in blocks of any size."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    docs = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            own[rng.randrange(120)] = f"x{i}-{rng.randrange(99)}"
+        docs.append((i, " ".join(own)))
+    docs += [(1000 + i, " ".join(base[:40]) + " " + " ".join(f"y{i}-{k}" for k in range(60))) for i in range(40)]  # a passage in common
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got_classes(df) == brute_classes(docs)
+
+
+def test_labels_in_common():
+    rng = np.random.default_rng(2)
+    a, b = ([rng.choice(300, rng.integers(0, 60), False) for _ in range(n)] for n in (13, 9))
+    for columns in (4096, 7):
+        assert (near_dup._in_common(a, b, columns) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()

@@ -64,6 +64,17 @@ def test_shards_hold_every_row_and_are_even(spark, edge, sf):
     assert Counter(map(str, found)) == Counter(map(str, rows(sharding.shard(docs))))  # reruns agree
 
 
+def test_an_id_with_a_third_of_all_rows(spark, sf):
+    for hot in (7, None):
+        docs = [(i, "x" * (i % 50)) for i in range(2000)] + [(hot, "same text")] * 600 + [(hot, f"other {i}") for i in range(400)]
+        found = rows(sharding.shard(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)))
+        check_shards(found, docs, 24)
+        load = Counter()
+        for r in found:
+            load[r["shard"]] += r["size"]
+        assert max(load.values()) <= 1.1 * min(load.values())
+
+
 def test_sharding_of_an_empty_table(empty):
     assert sharding.shard(empty).count() == 0
 

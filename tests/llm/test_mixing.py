@@ -60,7 +60,7 @@ def test_caps_and_small_fans(spark):
     docs = [(i, "a", "x " * (1 + i % 9)) for i in range(400)] + [(1000 + i, "c", "y " * 5) for i in range(3)] + [(2000, None, None)]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string")
     check(rows(mixing.mix(df)), [(i, s, len(words_of(t))) for i, s, t in docs])
-    narrow = mixing.sized(df).selectExpr("doc_id", "0L AS tag", "source", "size")
+    narrow = mixing.sized(df).selectExpr("doc_id", "0L AS tag", "source", "size", "1L AS nth")
     found = rows(mixing.round_copies(narrow, mixing.targets(narrow), fan_in=3))
     target = brute_targets({"a": sum(1 + i % 9 for i in range(400)), "c": 15, None: 0})
     assert len(found) == len(docs)
@@ -71,16 +71,35 @@ def test_take_repeats_whole_rows(edge):
     drawn = rows(mixing.mix(edge))
     got = mixing.take(edge)
     assert got.columns == edge.columns
-    most = defaultdict(int)
+    copies = Counter()
     for r in drawn:
-        most[(r["doc_id"], r["tag"], r["source"])] = max(most[(r["doc_id"], r["tag"], r["source"])], r["copies"])
-    import zlib
+        copies[(r["doc_id"], r["tag"], r["source"])] += r["copies"]
+    # equal ids, texts and sources: as many rows as their copies; other rows as often as drawn
+    got_rows = Counter(tuple(r) for r in got.collect())
+    assert set(got_rows) <= set(edge_rows())
+    tags = {r["doc_id"]: r["tag"] for r in drawn}
+    by = Counter()
+    for r, n in got_rows.items():
+        by[(r[0], r[1], r[3])] += n
     want = Counter()
-    for r in edge_rows():
-        n = most[(r[0], zlib.crc32((r[1] or "").encode()), r[3])]
-        if n:
-            want[r] += n
-    assert Counter(tuple(r) for r in got.collect()) == want
+    for r in {(r[0], r[1], r[3]) for r in edge_rows()}:
+        ids = [k for k in copies if k[0] == r[0] and k[2] == r[2]]
+        if len(ids) == 1 and copies[ids[0]]:
+            want[r] = copies[ids[0]]
+            assert by[r] == want[r]
+    assert len(want) > 20 and tags and sum(got_rows.values()) == sum(copies.values())
+
+
+def test_take_of_repeated_rows_meets_the_target(spark):
+    """Equal rows are drawn each by its own number."""
+    docs = [(1, "a", "x " * 10)] * 600 + [(2 + i, "b", "y " * 10) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(4)
+    found = rows(mixing.mix(df))
+    check(found, [(i, s, 10) for i, s, _ in docs])
+    taken = Counter(r["source"] for r in rows(mixing.take(df)))
+    assert abs(taken["a"] * 10 - 4000) <= 5 and abs(taken["b"] * 10 - 8000) <= 5
+    narrow = mixing.numbered(spark.createDataFrame([(1, 2, "a", 3)] * 10_000, "doc_id long, tag long, source string, size long"))
+    assert sorted(r["nth"] for r in rows(narrow)) == list(range(1, 10_001))
 
 
 def test_empty(empty):

@@ -208,6 +208,18 @@ def test_items_without_an_id_are_reported(spark, sf, monkeypatch):
     assert decontaminate.clean(df, bench).count() == 1
 
 
+def test_short_items_in_clean_text(spark, sf):
+    """The words of a short item, scattered over a clean text, are not the item."""
+    items = [(1, "What is the capital? Paris."), (2, "Who wrote the long book about the sea and the whale? Melville did.")]
+    docs = [(1, "what a nice day it is said the man near the river the capital letters of the sign were old and he went to paris"),
+            (2, "we ask What is the capital? Paris. is the answer"), (3, "who knows the man that wrote to us on the long way home with a small book or the like about birds of the sea and how then at last the whale came up and melville at least did not"),
+            (4, "quiz: Who wrote the long book about the sea and a whale? Melville did. next"), (5, "What is the capital? London is. I saw Paris.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.ids for r in decontaminate.find(df, bench).select("row.doc_id", F.array_sort("found.item_id").alias("ids")).collect()}
+    assert got[1] == got[3] == [] and got[2] == [1] and got[4] == [2]
+
+
 def test_decontamination_of_empty_tables(spark, empty, edge, sf):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.clean(empty, none).count() == 0
