@@ -240,25 +240,24 @@ def _left_links(mixed: DataFrame, nodes: DataFrame, sequences: DataFrame) -> Dat
     """Links between nodes of different components of a mixed bucket. Similar nodes differ in length by SIMILAR at most, so
     lengths are cut into classes in that ratio, and a node asks those of its own class and of its neighbours."""
     step = F.floor(F.log("n") / np.log(1 / SIMILAR) + 1e-9).cast("int")
-    own = cut(mixed.join(nodes.select("node", "n", "keys"), "node").select(
-        "key", "node", "root", step.alias("step"), (F.array_position("keys", F.col("key")) - 1).cast("int").alias("order")), "open-nodes")
+    about = cut(sequences.select("node", F.octet_length("words").alias("bytes")).join(nodes.select("node", "n", "keys"), "node"), "open-nodes")
+    own = cut(mixed.join(about, "node").select(
+        "key", "node", "root", "bytes", "keys", step.alias("step"), (F.array_position("keys", F.col("key")) - 1).cast("int").alias("order")), "open-nodes")
     mains = own.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
     own = cut(own.join(mains, "key"), "open-nodes")
     asking = own.filter("root <> main").withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
-    sizes = sequences.select("node", F.octet_length("words").alias("bytes"))
     at = ["key", "step"]
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         n = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES))
-        return rows.join(sizes, "node").groupBy(*at).agg(n.cast("int").alias(name))
+        return rows.groupBy(*at).agg(n.cast("int").alias(name))
 
     grid = cut(blocks(own, "down").join(blocks(asking, "across"), at), "grid")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
-    whole = sequences.join(nodes.select("node", "keys"), "node")
     left = own.join(grid, at).withColumn("v", one("down", 1)).withColumn("q", every("across"))
     right = asking.join(grid, at).withColumn("q", one("across", 2)).withColumn("v", every("down"))
-    sides = [renewed(x.join(whole, "node").select(*at, "v", "q", "node", "root", "main", "order", "keys", "words")) for x in (left, right)]
+    sides = [renewed(x.join(sequences, "node").select(*at, "v", "q", "node", "root", "main", "order", "keys", "words")) for x in (left, right)]
     by = [*at, "v", "q"]
     return sides[0].groupBy(*by).cogroup(sides[1].groupBy(*by)).applyInArrow(_compared, "a long, b long")
 
