@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_to_parquet
 
 _EPS = 1e-9
 
@@ -59,20 +59,117 @@ def cosine_pairs(vectors: DataFrame, ksim: float) -> DataFrame:
     whose remainder bound is zero are exact, and only the others are verified with the
     full dot product."""
     pref = prefix_terms(vectors, ksim)
-    p = pref.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"), "k", F.col("rest").alias("ra"))
-    q = pref.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"), F.col("rest").alias("rb"))
+    return similar_pairs(vectors, pref, pref, ksim)
+
+
+def similar_pairs(vectors: DataFrame, left: DataFrame, right: DataFrame, ksim: float) -> DataFrame:
+    """The pairs ``a < b`` with ``cos(a, b) > ksim`` whose ``a`` is in ``left`` and whose ``b`` is in ``right``, both of them
+    rows of :func:`prefix_terms`."""
+    p = left.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"), "k", F.col("rest").alias("ra"))
+    q = right.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"), F.col("rest").alias("rb"))
     cand = (p.join(q, "term").where(F.col("a") < F.col("b"))
             .groupBy("a", "b")
             .agg(F.sum(F.col("wa") * F.col("wb")).alias("s"),
                  F.max_by(F.col("ra") * F.col("rb"), F.col("k")).alias("tail")))
     cand = cand.filter(F.col("s") + F.col("tail") > F.lit(ksim - _EPS))
     exact = cand.filter(F.col("tail") <= F.lit(0.0)).select("a", "b", F.col("s").alias("cos"))
-    open_ = cand.filter(F.col("tail") > F.lit(0.0)).select("a", "b")
+    dots = dot_products(cand.filter(F.col("tail") > F.lit(0.0)).select("a", "b"), vectors)
+    return exact.unionByName(dots).filter(F.col("cos") > F.lit(ksim))
+
+
+def dot_products(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(a, b, cos) of the pairs (a, b) that share a term."""
     va = vectors.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
     vb = vectors.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
-    dots = (open_.join(va, "a").join(vb, ["b", "term"])
+    return (pairs.join(va, "a").join(vb, ["b", "term"])
             .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos")))
-    return exact.unionByName(dots).filter(F.col("cos") > F.lit(ksim))
+
+
+#: Signatures of a vector, each of two least term hashes, that lead it to a pivot.
+SIGNATURES = 4
+
+
+def pivot_links(vectors: DataFrame, ksim: float) -> DataFrame:
+    """(a, b) of rows ``b`` that are similar to the smallest row with one of their signatures: vectors with most of
+    their terms in common share a signature most likely, so a family of near copies mostly meets its first row
+    here, a pair for each signature. Which rows are found is chance; nothing but the cost depends on it."""
+    least = [F.min(F.xxhash64("term", F.lit(j))).alias(f"h{j}") for j in range(2 * SIGNATURES)]
+    signature = F.array(*[F.xxhash64(F.lit(j), f"h{2 * j}", f"h{2 * j + 1}") for j in range(SIGNATURES)])
+    signed = cut_to_parquet(vectors.groupBy("id").agg(*least).select("id", F.explode(signature).alias("sig")), "signatures")
+    first = signed.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").drop("last")
+    pairs = signed.join(first, "sig").filter("a < id").select("a", F.col("id").alias("b")).distinct()
+    return dot_products(pairs, vectors).filter(F.col("cos") > F.lit(ksim)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
+def greedy_leaders(vectors: DataFrame, ksim: float) -> DataFrame:
+    """A5 from vectors (id, term, df, w): (id, leader) of every row, as :func:`leader_clusters` over all pairs gives it, but
+    without all pairs.
+
+    A row leads unless it is similar to a smaller row that leads. Rows that :func:`pivot_links` finds similar to a
+    pivot need no other pair as long as the pivot leads; only the others are paired with all smaller rows.
+    What that settles (:func:`_settle`) leaves rows whose pivot follows another row, and rows that
+    depend on these; they are paired with the smaller rows that may lead, and settled. Rows that follow a
+    pivot are then paired with the leaders before it. So a family of m near copies costs about m pairs with its
+    leader, not m * m."""
+    pref = cut_to_parquet(prefix_terms(vectors, ksim), "prefix")
+    ids = cut_to_parquet(vectors.select("id").distinct(), "ids")
+    linked = cut_to_parquet(pivot_links(vectors, ksim), "pivots")
+    whole = similar_pairs(vectors, pref, pref.join(linked.select(F.col("b").alias("id")), "id", "left_anti"), ksim)
+    edges = cut_to_parquet(whole.select("a", "b", F.lit(True).alias("complete")).unionByName(linked.withColumn("complete", F.lit(False))), "edges")
+    state = _settle(ids, edges)
+    open_rows = state.filter("leads IS NULL").select("id")
+    if not open_rows.isEmpty():
+        may_lead = pref.join(state.filter("leads IS DISTINCT FROM false").select("id"), "id", "left_semi")
+        again = open_rows.join(linked.select(F.col("b").alias("id")), "id", "left_semi")
+        more = similar_pairs(vectors, may_lead, pref.join(again, "id", "left_semi"), ksim).select("a", "b", F.lit(True).alias("complete"))
+        edges = cut_to_parquet(edges.join(again.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b", "complete").unionByName(more), "edges")
+        state = _settle(ids, edges, state)
+    leads = state.filter("leads").select(F.col("id").alias("a"))
+    by_edge = edges.join(leads, "a", "left_semi")
+    # a pivot that leads need not be the first leader that is similar
+    pivoted = cut_to_parquet(by_edge.filter("NOT complete").select("a", "b"), "pivoted")
+    before = similar_pairs(vectors, pref.join(leads.withColumnRenamed("a", "id"), "id", "left_semi"),
+                           pref.join(pivoted.select(F.col("b").alias("id")), "id", "left_semi"), ksim).select("a", "b")
+    led = by_edge.select("a", "b").unionByName(before).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
+    return ids.join(led, "id", "left").withColumn("leader", F.coalesce("leader", "id"))
+
+
+def _settle(ids: DataFrame, edges: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """(id, leads) as far as edges (a, b, complete) tell: a row follows if one of its smaller neighbours leads, and leads if
+    its edges are complete and none does. A row with complete edges and one undecided neighbour is the
+    opposite of that neighbour; such rows are chains, whose links are doubled until each points to a row that is
+    none, so a chain takes as many rounds as the logarithm of its length."""
+    if state is None:
+        state = ids.withColumn("leads", F.lit(None).cast("boolean"))
+    left = None
+    while True:
+        of_a = state.select(F.col("id").alias("a"), F.col("leads").alias("la"))
+        seen = (edges.join(of_a, "a").groupBy(F.col("b").alias("id"))
+                .agg(F.bool_or(F.coalesce("la", F.lit(False))).alias("led"), F.count_if(F.col("la").isNull()).alias("n_open"),
+                     F.min(F.when(F.col("la").isNull(), F.col("a"))).alias("up"), F.bool_and("complete").alias("complete")))
+        now = (F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("led"), F.lit(False))
+               .when(F.coalesce("n_open", F.lit(0)) == 0, F.when(F.coalesce("complete", F.lit(True)), F.lit(True))))
+        link = now.isNull() & F.col("complete") & (F.col("n_open") == 1)
+        state = cut_to_parquet(state.join(seen, "id", "left").select("id", now.alias("leads"), F.when(link, F.col("up")).alias("up"),
+                                                                      link.alias("flip")), "settled")
+        state = cut_to_parquet(_ends_of_chains(state), "settled")
+        undecided = state.filter("leads IS NULL").count()
+        if undecided == 0 or undecided == left:
+            return state
+        left = undecided
+
+
+def _ends_of_chains(state: DataFrame) -> DataFrame:
+    """(id, leads) of (id, leads, up, flip): a row with ``up`` is like it, or its opposite with ``flip``."""
+    while True:
+        above = state.select(F.col("id").alias("up"), F.col("leads").alias("ul"), F.col("up").alias("uu"), F.col("flip").alias("uf"))
+        links = state.filter("up IS NOT NULL").join(above, "up")
+        links = links.select("id", (F.col("ul") != F.col("flip")).alias("leads"), F.col("uu").alias("up"),
+                             F.when(F.col("uu").isNotNull(), F.col("flip") != F.col("uf")).alias("flip"))
+        if links.isEmpty():
+            return state.select("id", "leads")
+        # what points to a row that is no link is decided with it, or left
+        state = cut_to_parquet(state.filter("up IS NULL").unionByName(links), "chains")
 
 
 def leader_clusters(pairs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from ..functions import text as T
 from ..functions.dates import with_day
 from ..functions.urls import fix_messenger_link, undo_messenger_link
 from ..operators import dedup, filters, ordering, scoring, state
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_to_parquet
 
 
 @dataclass(frozen=True)
@@ -182,9 +182,8 @@ def text_order_leaders(indexed: DataFrame, vectors: DataFrame, cfg: Config) -> D
     rep_ids = reps.select(F.col("rep").alias("idx"))
     vec = (vectors.join(nz.select("id", "idx"), "id").join(rep_ids, "idx", "left_semi")
            .select(F.col("idx").alias("id"), "term", "df", "w"))
-    pairs = dedup.cosine_pairs(vec, cfg.ksim)
-    rep_leaders = dedup.assign_leaders(rep_ids, pairs)
-    lead_nz = rep_of.join(rep_leaders.withColumnRenamed("idx", "rep"), "rep").select("idx", "leader")
+    rep_leaders = dedup.greedy_leaders(cut_to_parquet(vec, "vectors"), cfg.ksim).withColumnRenamed("id", "rep")
+    lead_nz = rep_of.join(rep_leaders, "rep").select("idx", "leader")
     zero = indexed.select("idx").join(rep_of.select("idx"), "idx", "left_anti")
     zero_leader = F.lit(-1).cast("long") if cfg.zero_vectors_one_group else F.col("idx")
     return lead_nz.unionByName(zero.select("idx", zero_leader.alias("leader")))

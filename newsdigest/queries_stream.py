@@ -22,10 +22,9 @@ def _events(spark, sf):
 
 def q_stream_seen_keys(spark, sf):
     out = ST.stream_dir(spark, "seen_keys")
-    s = ST.seen_keys(_events(spark, sf), "url").select("day", "url")
-    ST.run_available(s.writeStream.format("parquet").option("path", f"{out}/data")
-                     .option("checkpointLocation", f"{out}/_chk").outputMode("append"), out)
-    return spark.read.parquet(f"{out}/data")
+    ST.run_available(_events(spark, sf).writeStream.foreachBatch(ST.seen_keys(f"{out}/data", "url"))
+                     .option("checkpointLocation", f"{out}/_chk"), out)
+    return spark.read.parquet(f"{out}/data").select(F.col("run_date").alias("day"), "url")
 
 
 SQL_SEEN = """SELECT DISTINCT CAST(ts AS DATE) AS day, 'https://u' || CAST(user_id AS VARCHAR) || '.example.org/' AS url
@@ -61,15 +60,11 @@ FROM events WHERE CAST(ts AS DATE) = DATE '{CFG.run_day}'"""
 
 
 def q_stream_daily_counts(spark, sf):
-    """Update mode: a batch gives the counts that it changed, which replace those of their day; days behind
-    the watermark leave the state."""
+    """Each batch adds its own counts to the days that it touches; the result adds them up."""
     out = ST.stream_dir(spark, "daily")
-    s = ST.daily_counts(_events(spark, sf), "event_type").select(
-        F.col("day").alias("run_date"), "event_type", "n_events", F.lit(1).alias("run_no"))
-    merge = ST.upsert_batches(f"{out}/data", ["event_type"], "run_no", "n_events")
-    ST.run_available(s.writeStream.outputMode("update").foreachBatch(merge)
+    ST.run_available(_events(spark, sf).writeStream.foreachBatch(ST.daily_counts(f"{out}/data", "event_type"))
                      .option("checkpointLocation", f"{out}/_chk"), out)
-    return spark.read.parquet(f"{out}/data").select(F.col("run_date").alias("day"), "event_type", "n_events")
+    return ST.total_counts(spark, f"{out}/data", "event_type").select(F.col("run_date").alias("day"), "event_type", "n_events")
 
 
 SQL_DAILY = """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n_events FROM events GROUP BY 1, 2"""

@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -94,6 +95,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_to_parquet(df: DataFrame, tag: str = "cut") -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder as Parquet and read it back: later reads take only the
+    columns they need, and a lost executor costs nothing that was written."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df) if spread_rows else df

@@ -1,10 +1,10 @@
 """Structured Streaming versions of the day-scoped state (ST1-ST4).
 
 The monitored job re-runs through the day and keeps state per calendar day. As a
-stream: a file source of captured items, watermarks on the item time, and either
-built-in stateful operators (deduplication, windowed counts) or ``foreachBatch``
-upserts into a day-partitioned table (dynamic partition overwrite, so a replayed batch
-rewrites the same partitions: at-least-once delivery gives exactly-once state).
+stream: a file source of captured items, and ``foreachBatch`` bodies that keep their state in
+day-partitioned tables (dynamic partition overwrite, so a replayed batch
+rewrites the same partitions: at-least-once delivery gives exactly-once state). No watermark
+stands between an event and its day: files may come in any order of days, and every event counts.
 
 Sinks and checkpoints live under the session's shared checkpoint folder
 (``spark.checkpoint.dir``), never a machine-local folder.
@@ -54,12 +54,43 @@ def run_available(query_builder, out: str, fmt: str = "parquet"):
     return q
 
 
-def seen_keys(stream: DataFrame, key_col: str, watermark: str = "1 day") -> DataFrame:
-    """ST1: the first sighting of every (day, key). The day is a 1-day window of the event time, so the
-    watermark evicts the keys of a day once it is past."""
-    return (stream.withWatermark("event_time", watermark)
-            .withColumn("day_window", F.window("event_time", "1 day"))
-            .dropDuplicates(["day_window", key_col]))
+#: The partitions of a batch sink: the day, and the micro-batch that wrote the rows.
+DAY, BATCH = "run_date", "batch"
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The rows that :func:`write_batch` has put under ``path`` so far (``schema`` without the partition columns); None
+    if there are none yet. A sink that exists and cannot be read is an error."""
+    try:
+        return spark.read.schema(f"{schema}, {DAY} date, {BATCH} long").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def write_batch(rows: DataFrame, batch_id: int, path: str) -> None:
+    """A micro-batch's rows in partitions of their day and of the batch. A replayed batch rewrites its own
+    partitions and no other, so nothing is counted twice."""
+    (rows.withColumn(BATCH, F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(DAY, BATCH).parquet(path))
+
+
+def seen_keys(path: str, key_col: str):
+    """ST1: a ``foreachBatch`` body that stores the first sighting of every (day, key): keys that no earlier batch has in
+    their day's partitions. Days may come in any order, since the state of a day is its partitions and not an operator's
+    memory; a batch reads only the days that it touches."""
+    def first(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.select(F.col("day").alias(DAY), key_col).distinct().persist()
+        kind = batch.schema[key_col].dataType.simpleString()
+        earlier = read_batches(batch.sparkSession, path, f"{key_col} {kind}")
+        fresh = batch
+        if earlier is not None:
+            days = F.broadcast(batch.select(DAY).distinct())  # calendar days of one batch
+            fresh = batch.join(earlier.filter(F.col(BATCH) < batch_id).join(days, DAY, "left_semi"), [DAY, key_col], "left_anti")
+        write_batch(fresh, batch_id, path)
+        batch.unpersist()
+    return first
 
 
 def late_drop(stream: DataFrame, run_day, watermark: str = "1 day") -> DataFrame:
@@ -68,11 +99,18 @@ def late_drop(stream: DataFrame, run_day, watermark: str = "1 day") -> DataFrame
     return stream.withWatermark("event_time", watermark).filter(F.col("day") == F.lit(run_day))
 
 
-def daily_counts(stream: DataFrame, group_col: str, watermark: str = "1 day") -> DataFrame:
-    """ST4: per day (tumbling 1-day window) and group, the number of events."""
-    return (stream.withWatermark("event_time", watermark)
-            .groupBy(F.window("event_time", "1 day"), F.col(group_col))
-            .agg(F.count(F.lit(1)).alias("n_events"), F.min("day").alias("day")))
+def daily_counts(path: str, group_col: str):
+    """ST4: a ``foreachBatch`` body that stores, per day and group, the number of events of each batch. Late days
+    are counts like any other; :func:`total_counts` adds them up."""
+    def count(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch.groupBy(F.col("day").alias(DAY), group_col).agg(F.count(F.lit(1)).alias("n_events")), batch_id, path)
+    return count
+
+
+def total_counts(spark: SparkSession, path: str, group_col: str, kind: str = "string") -> DataFrame | None:
+    """(run_date, group, n_events) over all batches so far."""
+    parts = read_batches(spark, path, f"{group_col} {kind}, n_events long")
+    return None if parts is None else parts.groupBy(DAY, group_col).agg(F.sum("n_events").alias("n_events"))
 
 
 def upsert_batches(state_path: str, keys, run_col: str, pos_col: str):

@@ -31,10 +31,9 @@ def test_seen_keys_and_upsert_across_batches(spark):
     ev = spark.read.parquet(f"{SF}/events.parquet")
 
     out = ST.stream_dir(spark, "t_seen")
-    q = ST.seen_keys(_stream(spark, d, schema), "url").select("day", "url")
-    ST.run_available(q.writeStream.format("parquet").option("path", f"{out}/data")
+    ST.run_available(_stream(spark, d, schema).writeStream.foreachBatch(ST.seen_keys(f"{out}/data", "url"))
                      .option("checkpointLocation", f"{out}/_chk"), out)
-    got = {(r[0], r[1]) for r in spark.read.parquet(f"{out}/data").collect()}
+    got = {(r[0], r[1]) for r in spark.read.parquet(f"{out}/data").select("run_date", "url").collect()}
     want = {(r[0], r[1]) for r in ev.select(F.to_date("ts"), F.concat(F.lit("https://u"),
                                             F.col("user_id").cast("string"), F.lit("/"))).distinct().collect()}
     assert got == want
@@ -64,3 +63,41 @@ def test_daily_counts_independent_of_session_time_zone(spark):
     ev = spark.read.parquet(f"{SF}/events.parquet")
     want = {(r[0], r[1]): r[2] for r in ev.groupBy(F.to_date("ts"), "event_type").count().collect()}
     assert got == want
+
+
+def test_days_out_of_order_and_replayed_batches(spark):
+    """Files whose days go back and forth: every event counts, every sighting is kept, once."""
+    d = tempfile.mkdtemp(prefix="nd-stream-late-")
+    days = [10, 20, 21, 12, 10, 21]
+    rows = []
+    for f, day in enumerate(days):
+        own = [(f * 10 + i, f"2024-01-{day:02d} 0{i}:00:00", i + f % 2, "click" if i % 2 else "view") for i in range(5)]
+        rows += [(day, r[2], r[3]) for r in own]
+        (spark.createDataFrame(own, "event_id long, ts string, user_id int, event_type string")
+         .withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{d}/part{f}"))
+    schema = spark.read.parquet(f"{d}/part0").schema
+
+    out = ST.stream_dir(spark, "t_late")
+    body = ST.daily_counts(f"{out}/data", "event_type")
+
+    def twice(batch, batch_id):  # each batch is delivered again
+        body(batch, batch_id)
+        body(batch, batch_id)
+
+    ST.run_available(_stream(spark, d, schema).writeStream.foreachBatch(twice).option("checkpointLocation", f"{out}/_chk"), out)
+    got = {(r["run_date"].day, r["event_type"]): r["n_events"] for r in ST.total_counts(spark, f"{out}/data", "event_type").collect()}
+    want = {}
+    for day, _, kind in rows:
+        want[(day, kind)] = want.get((day, kind), 0) + 1
+    assert got == want and sum(got.values()) == 30
+
+    out = ST.stream_dir(spark, "t_late_seen")
+    seen = ST.seen_keys(f"{out}/data", "url")
+
+    def again(batch, batch_id):
+        seen(batch, batch_id)
+        seen(batch, batch_id)
+
+    ST.run_available(_stream(spark, d, schema).writeStream.foreachBatch(again).option("checkpointLocation", f"{out}/_chk"), out)
+    found = [(r["run_date"].day, r["url"]) for r in spark.read.parquet(f"{out}/data").collect()]
+    assert sorted(found) == sorted({(day, f"https://u{u}/") for day, u, _ in rows})
