@@ -38,7 +38,8 @@ def elements(events: Column) -> Column:
 
 
 def inside(events: Column, outer: Column) -> Column:
-    return F.filter(events, lambda e: (e["open"] > outer["open"]) & (e["close"] < outer["close"]))
+    """What is inside an element of ``events``, which are a page's events or a slice of them; null without the element."""
+    return F.slice(events, outer["at"] - F.try_element_at(events, F.lit(1))["at"] + 2, outer["size"])
 
 
 def text_of(events: Column, outer: Column) -> Column:
@@ -80,9 +81,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def without(events: Column, drops: Column) -> Column:
-    """Events outside every element that a selector of ``drops`` names."""
+    """Events, blank ones in place of every element that a selector of ``drops`` names and of what is inside, so that
+    places stay. The elements' ranges are merged first; what lies between them is copied as slices."""
+    def blank(part: Column) -> Column:
+        return F.transform(part, lambda e: F.struct(
+            e["open"].alias("open"), e["close"].alias("close"), F.lit(None).cast("string").alias("tag"),
+            F.lit(None).cast("map<string,string>").alias("attrs"), F.lit("").alias("text"), e["at"].alias("at"), F.lit(0).alias("size")))
+
+    def kept(ranges: Column) -> Column:
+        end_before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(ranges, i)["end"])
+        parts = F.transform(ranges, lambda r, i: F.concat(
+            F.slice(events, end_before(i) + 1, r["at"] - end_before(i) - 1), blank(F.slice(events, r["at"], r["end"] - r["at"] + 1))))
+        last = F.try_element_at(ranges, F.lit(-1))["end"]
+        return F.when(F.size(ranges) == 0, events).otherwise(
+            F.concat(F.flatten(parts), F.slice(events, last + 1, F.size(events) - last)))
+
     gone = F.filter(elements(events), lambda e: F.exists(drops, lambda d: selects(e, d["tag"], d["attrs"])))
-    return let(gone, lambda g: F.filter(events, lambda e: ~F.exists(g, lambda x: (e["open"] >= x["open"]) & (e["close"] <= x["close"]))))
+    none = F.expr("cast(array() as array<struct<at: int, end: int>>)")
+    return let(F.aggregate(gone, none, lambda s, e: F.when(
+        e["at"] > F.coalesce(F.try_element_at(s, F.lit(-1))["end"], F.lit(0)),
+        F.concat(s, F.array(F.struct(e["at"].alias("at"), (e["at"] + e["size"]).alias("end"))))).otherwise(s)), kept)
 
 
 # --- articles -----------------------------------------------------------------------

@@ -3,8 +3,10 @@
 Spark has no tolerant HTML parser (``xpath`` raises on ordinary HTML), so one ``mapInPandas`` job turns
 each page into an array of events, and nothing else happens in Python. An element is ``(open, close, tag,
 attrs)``, where open and close are event numbers of the page; a piece of text is ``(open, close = open,
-text)``. What lies inside an element lies between its numbers. Selection, dropping, nesting and text are
-column expressions over the array (:mod:`newsdigest.sources.extract`).
+text)``. What lies inside an element lies between its numbers. Every event also has its place ``at`` in the
+page's array (from 1) and ``size``, the number of events inside it, which follow it there: an element's inside is
+one slice. Selection, dropping, nesting and text are column expressions over the array
+(:mod:`newsdigest.sources.extract`).
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 
-EVENTS = "array<struct<open: int, close: int, tag: string, attrs: map<string, string>, text: string>>"
+EVENTS = "array<struct<open: int, close: int, tag: string, attrs: map<string, string>, text: string, at: int, size: int>>"
 
 #: Elements without an end tag, and start tags that end an open paragraph.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -35,7 +37,10 @@ class _Events(HTMLParser):
 
     def _end_from(self, level: int) -> None:
         while len(self.depth) > level:
-            self.depth.pop()["close"] = self._next()
+            self._close(self.depth.pop())
+
+    def _close(self, event: dict) -> None:
+        event["close"], event["size"] = self._next(), len(self.events) - event["at"]
 
     def _innermost(self, tags) -> int:
         return max((i for i, e in enumerate(self.depth) if e["tag"] in tags), default=-1)
@@ -47,15 +52,16 @@ class _Events(HTMLParser):
             self._end_from(at)
         event = self._element(tag, attrs)
         if tag in VOID:
-            event["close"] = self._next()
+            self._close(event)
         else:
             self.depth.append(event)
 
     def handle_startendtag(self, tag, attrs):
-        self._element(tag, attrs)["close"] = self._next()
+        self._close(self._element(tag, attrs))
 
     def _element(self, tag, attrs) -> dict:
-        event = {"open": self._next(), "close": 0, "tag": tag, "attrs": {k: v or "" for k, v in attrs}, "text": None}
+        event = {"open": self._next(), "close": 0, "tag": tag, "attrs": {k: v or "" for k, v in attrs}, "text": None,
+                 "at": len(self.events) + 1, "size": 0}
         self.events.append(event)
         return event
 
@@ -65,7 +71,7 @@ class _Events(HTMLParser):
 
     def handle_data(self, data):
         at = self._next()
-        self.events.append({"open": at, "close": at, "tag": None, "attrs": None, "text": data})
+        self.events.append({"open": at, "close": at, "tag": None, "attrs": None, "text": data, "at": len(self.events) + 1, "size": 0})
 
 
 def events(html: str | None) -> list[dict]:

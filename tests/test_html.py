@@ -74,3 +74,33 @@ def test_messenger_variants(spark):
 def test_authors(spark):
     df, e = _events(spark, '<a class="pi_author" href="#">Someone</a><a class="other">x</a>')
     assert _one(df, X.authors(e, "pi_author")) == [["Someone"]]
+
+
+def test_what_is_inside_is_a_slice():
+    import random
+
+    from newsdigest.sources.html import events
+    rng = random.Random(6)
+    tags = ["p", "div", "li", "ul", "b", "br", "/p", "/div", "/li", "/ul", "/b", "/x"]
+    for _ in range(60):
+        page = events("".join(rng.choice(["word ", f"<{rng.choice(tags)}>"]) for _ in range(60)))
+        for i, e in enumerate(page):
+            assert e["at"] == i + 1
+            assert page[i + 1:i + 1 + e["size"]] == [x for x in page if x["open"] > e["open"] and x["close"] < e["close"]]
+
+
+def test_long_pages_take_time_in_proportion(spark):
+    """A page of 50,000 items, each with an element that is dropped in the article."""
+    import time
+
+    n = 50_000
+    items = "".join(f"<li><a href='/x/{i}'>title {i}</a> after <i>no</i></li>" for i in range(n))
+    page = f"<html><body><nav><ul>{items}</ul></nav><p>one</p><p>two</p></body></html>"
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    begun = time.time()
+    found = X.extract_listing(df, "li", None, "a", "a").agg(F.count(F.lit(1)).alias("n"), F.max("item_no").alias("last"),
+                                                            F.max_by("title", "item_no").alias("title"), F.max_by("href", "item_no").alias("href")).first()
+    assert (found["n"], found["last"], found["title"], found["href"]) == (n, n - 1, f"title {n - 1}", f"/x/{n - 1}")
+    text = X.parsed(df).select(X.remaining_text(F.col("events"), [("nav", {})]).alias("t")).first()["t"]
+    assert text == "onetwo"
+    assert time.time() - begun < 90
