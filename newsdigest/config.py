@@ -194,6 +194,8 @@ LATIN_STOPWORDS = ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it
 LATIN_LEMMAS = (("was", "be"), ("are", "be"), ("this", "that"), ("from", "fro"),
                 ("orre", "orr"), ("rewh", "rew"), ("thatin", "that"))
 LATIN_ENTITIES = (("hehely", "ORG"), ("inoran", "PER"), ("orantion", "LOC"), ("worthless", "ORG"))
+LATIN_NAMES = (("hehely", "ORG"), ("hehely hehely", "PER"), ("of the", "LOC"), ("the and", "ORG"), ("the the the", "PER"),
+               ("de de", "LOC"), ("the of the and", "ORG"))
 LATIN_KEYWORDS = ("worthless", "", "  Nicht ", "hehely", "\t")
 LATIN_BOILERPLATE = ("Eauouon.", "Is and retitioning ouen the of, nterti thorreou ndernt.")
 

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .config import (DIGEST_GROUPS_HEADER, DIGEST_SEPARATOR, DIGEST_SINGLES_HEADER, latin_config)
+from .config import DIGEST_GROUPS_HEADER, DIGEST_SEPARATOR, DIGEST_SINGLES_HEADER, LATIN_NAMES, latin_config
 from .functions import text as T
 from .operators import dedup, ordering, scoring
+from .operators.lexicon import mask_spans
 from .plans import digest as D
 from .session import read_table
 from .streaming.stream import stream_dir
@@ -493,6 +494,34 @@ def sql_mask_entities():
         lambda x: f"array_to_string(list_transform({_toks_sql(x)}, lambda t: {O._case_map('t', ent, 't')}), ' ')")
 
 
+def q_mask_entity_spans(spark, sf):
+    """T3 with names of several tokens, a row for each sentence."""
+    s = F.flatten(F.transform(T.paragraphs(F.col("text")), lambda p: T.sentences(p)))
+    rows = _docs(spark, sf).select("doc_id", F.posexplode(s).alias("sentence_no", "s"))
+    rows = rows.select(F.struct("doc_id", "sentence_no").alias("id"), _toks(F.col("s")).alias("tokens"))
+    names = spark.createDataFrame([(k, CFG.placeholders[v]) for k, v in LATIN_NAMES], "surface string, replacement string")
+    return mask_spans(rows, names).select("id.doc_id", "id.sentence_no", F.array_join("tokens", " ").alias("out"))
+
+
+def sql_mask_entity_spans():
+    s = f"flatten(list_transform({O.paragraphs('text')}, lambda p: {O.sentences('p')}))"
+    names = ", ".join(f"({O.q(k)}, {len(k.split())}, {O.q(CFG.placeholders[v])})" for k, v in LATIN_NAMES)
+    return f"""WITH RECURSIVE names(surface, n, replacement) AS (VALUES {names}),
+s AS (SELECT doc_id, {s} AS s FROM documents),
+w AS (SELECT doc_id, i - 1 AS sentence_no, {_toks_sql('s[i]')} AS w FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)),
+t AS (SELECT doc_id, sentence_no, w, unnest(range(1, len(w) + 1)) AS p FROM w),
+h AS (SELECT doc_id, sentence_no, p, max(n) AS n, arg_max(replacement, n) AS replacement
+      FROM t JOIN names ON p + n - 1 <= len(w) AND array_to_string(w[p:p + n - 1], ' ') = surface GROUP BY ALL),
+nxt AS (SELECT a.doc_id, a.sentence_no, a.p, a.n, a.replacement, min(b.p) AS q
+        FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND a.sentence_no = b.sentence_no AND b.p >= a.p + a.n GROUP BY ALL),
+c AS (SELECT nxt.* FROM nxt JOIN (SELECT doc_id, sentence_no, min(p) AS p FROM h GROUP BY ALL) USING (doc_id, sentence_no, p)
+      UNION ALL SELECT nxt.* FROM c JOIN nxt ON nxt.doc_id = c.doc_id AND nxt.sentence_no = c.sentence_no AND nxt.p = c.q),
+m AS (SELECT doc_id, sentence_no, unnest(range(p, p + n)) AS p, replacement FROM c)
+SELECT w.doc_id, w.sentence_no::INTEGER AS sentence_no, coalesce(o.out, '') AS out
+FROM w LEFT JOIN (SELECT t.doc_id, t.sentence_no, string_agg(coalesce(m.replacement, t.w[t.p]), ' ' ORDER BY t.p) AS out
+                  FROM t LEFT JOIN m USING (doc_id, sentence_no, p) GROUP BY ALL) o USING (doc_id, sentence_no)"""
+
+
 def q_lemmatize_dict(spark, sf):
     lm = T.dictionary_map(RES.lemmas)
     return _sentence_step(spark, sf, lambda x: F.array_join(T.lookup_tokens(_toks(x), None, lm), " "))
@@ -565,6 +594,7 @@ QUERIES = {
     "remove_stopwords": (q_remove_stopwords, sql_remove_stopwords),
     "token_length": (q_token_length, sql_token_length),
     "mask_entities": (q_mask_entities, sql_mask_entities),
+    "mask_entity_spans": (q_mask_entity_spans, sql_mask_entity_spans),
     "lemmatize_dict": (q_lemmatize_dict, sql_lemmatize_dict),
     "negation_bigram": (q_negation_bigram, sql_negation_bigram),
     "collapse_placeholders": (q_collapse_placeholders, sql_collapse_placeholders),
