@@ -27,7 +27,7 @@ from pyspark.sql import window as W
 
 from newsdigest.operators.ordering import rank_within_group
 
-from .common import SPACE, cut, table
+from .common import SPACE, cut, numbered, table
 
 #: Documents, then residuals, that one fold takes on average.
 FAN_IN = 64
@@ -143,22 +143,6 @@ def round_copies(docs: DataFrame, plan: DataFrame, fan_in: int = FAN_IN) -> Data
                       (F.col("item.copies") + whole).alias("copies"))
 
 
-#: Repeated rows that one step numbers.
-CHUNK = 4096
-
-
-def numbered(narrow: DataFrame) -> DataFrame:
-    """Rows (doc_id, tag, source, size) with ``nth``, the number of a row among its equals. Equal rows are counted, and the
-    count is dealt out again in chunks, so that no task numbers all of them."""
-    of = ["doc_id", "tag", "source", "size"]
-    counted = narrow.groupBy(*of).agg(F.count(F.lit(1)).alias("rows"))
-    chunks = counted.select(*of, "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / CHUNK))).alias("chunk"))
-    once = chunks.filter("rows = 1").select(*of, F.lit(1).cast("long").alias("nth"))
-    begin = F.col("chunk") * CHUNK
-    more = chunks.filter("rows > 1").repartition(*of, "chunk").select(*of, F.explode(F.sequence(begin + 1, F.least(begin + CHUNK, "rows"))).alias("nth"))
-    return once.unionByName(more)
-
-
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, copies, tag, nth of every row of docs."""
     narrow = cut(numbered(sized(docs.select("doc_id", "source", "text")).select(

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import cut, shared_path, table
+from .common import cut, numbered, shared_path, table
 
 #: Virtual slots. Fixed for the life of a data set: records never change their slot.
 SLOTS = 8192
@@ -45,17 +45,17 @@ def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 
 def spread_hot(records: DataFrame, slots: int) -> DataFrame:
-    """records, with the rows of hot ids dealt over all slots. Fewer than half as many ids as slots can be hot, so they are
+    """records, with the rows of hot ids dealt over all slots by text and number among their equals. Fewer than half as many ids as slots can be hot, so they are
     broadcast."""
     total = records.agg(F.sum("size")).first()[0] or 0
     hot = records.groupBy("doc_id").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("b") > 2 * total / slots))
-    hot = cut(hot.select(F.col("doc_id").alias("hot_id"), F.lit(True).alias("hot")), "hot-ids")
+    hot = cut(hot.select(F.col("doc_id").alias("hot_id")), "hot-ids")
     if hot.isEmpty():
         return records
-    row = F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(slots)).cast("int")
-    # written, since a row's number is only the same as long as its file is read the same way
-    return cut(records.withColumn("own", row).join(F.broadcast(hot), F.col("doc_id").eqNullSafe(F.col("hot_id")), "left")
-               .withColumn("vslot", F.when(F.col("hot"), F.col("own")).otherwise(F.col("vslot"))).drop("own", "hot", "hot_id"), "slots")
+    is_hot = F.col("doc_id").eqNullSafe(F.col("hot_id"))
+    own = numbered(records.join(F.broadcast(hot), is_hot, "left_semi").drop("vslot"))
+    own = own.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32", "nth"), F.lit(slots)).cast("int")).drop("nth")
+    return cut(records.join(F.broadcast(hot), is_hot, "left_anti").unionByName(own), "slots")
 
 
 def slot_stats(records: DataFrame) -> dict[int, tuple[int, int]]:
