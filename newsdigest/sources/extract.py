@@ -209,3 +209,107 @@ def extract_listing(pages: DataFrame, main_tag: str | Column, main_attrs: Column
     after = F.coalesce(F.regexp_replace(tail["text"], r"(?U)^\s+|\s+$", ""), F.lit(""))
     return items.select("page_id", "item_no", lead("title").alias("title"), lead("text").alias("text"), lead("city").alias("city"),
                         lead("date").alias("date_str"), href.alias("href"), F.when(href == "", after).otherwise("").alias("href2"))
+
+
+# --- listings by path selectors (S2 + S5) ---------------------------------------------------
+
+#: the selectors of a site's configuration: of its items, and of an item's parts
+ITEMS, PARTS = "main_xpath", ("title_xpath", "text_xpath", "city_xpath", "date_xpath", "href_xpath")
+
+
+def _alternatives(selector: str) -> list[str]:
+    """The alternatives of an XPath, which ``|`` parts outside of quotes and brackets."""
+    out, depth, quote = [""], 0, None
+    for c in selector:
+        if quote or c in "'\"":
+            quote = None if c == quote else quote or c
+        else:
+            depth += (c in "[(") - (c in "])")
+            if c == "|" and depth == 0:
+                out.append("")
+                continue
+        out[-1] += c
+    return [a.strip() for a in out]
+
+
+def _absolute(selector: str) -> bool:
+    kinds = {a.startswith("/") for a in _alternatives(selector)}
+    if len(kinds) > 1:
+        raise ValueError(f"{selector!r} mixes paths from the page's root with paths from an item")
+    return kinds.pop()
+
+
+def _places(xml: Column, selector: str) -> Column:
+    """Places of the elements that an XPath names, in order. A relative path starts at the XML's root element."""
+    paths = [a if a.startswith(("/", "(")) else f"/*/{a}" for a in _alternatives(selector)]
+    return F.array_sort(F.xpath(xml, F.lit("|".join(f"{a}/@{H.PLACE}" for a in paths))).cast("array<int>"))
+
+
+def _by_value(value: Column, cases: dict[str, Column], kind: str) -> Column:
+    """The case of a column's value; null for other values."""
+    out = F.lit(None).cast(kind)
+    for v, case in cases.items():
+        out = F.when(value == v, case).otherwise(out)
+    return out
+
+
+def listing_by_paths(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """S2 + S5: one row per element that a site's ``main_xpath`` names on the site's pages: site_name, page_id,
+    item_no, title, text, city, date_str, href, href2.
+
+    pages: (site_name, page_id, html); sites: (site_name, main_xpath, title_xpath, text_xpath, city_xpath, date_xpath,
+    href_xpath), one row a site. Selectors are XPath 1.0 expressions that name elements, read by Spark's own ``xpath`` on the
+    page's XML form. A relative selector of a part starts at the item and sees what is inside it; one that begins
+    with ``/`` is looked up on the whole page. The first element found gives a part: its text before its first child
+    element (P5), or the link's address, for which the text after the link stands in (P3). A part without selector or element is
+    empty. A site without ``main_xpath``, a page of no site and a page without html give no rows; a path that is no
+    XPath is an error. Paths of an item that begin with ``(`` are not supported. Spark's ``xpath`` asks for literal paths, so
+    the distinct selectors of the configuration, not its rows, come to the driver."""
+    spark_sites = sites.select("site_name", *[F.nullif(F.trim(F.col(c)), F.lit("")).alias(c) for c in (ITEMS, *PARTS)])
+    known = spark_sites.select(*[F.collect_set(c).alias(c) for c in (ITEMS, *PARTS)]).first()
+    mains = sorted(known[ITEMS])
+    parts = sorted({s for c in PARTS for s in known[c]})
+    if bad := [s for s in parts if any(a.startswith("(") for a in _alternatives(s))]:
+        raise ValueError(f"paths of an item cannot begin with a bracket: {bad}")
+    on_page, in_item = [s for s in parts if _absolute(s)], [s for s in parts if not _absolute(s)]
+
+    own = (pages.select("site_name", "page_id", "html").filter(F.col("html").isNotNull())
+           .join(spark_sites.filter(F.col(ITEMS).isNotNull()), "site_name"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "html"]
+    marked = (own.select(*[c for c in own.columns if c != "html"], "html")
+              .mapInPandas(H.map_xml, ", ".join([*kinds, f"events {H.EVENTS}", "xml binary", "begins array<int>", "sizes array<int>"])))
+
+    element = "struct<lead: string, href: string, tail: string>"
+
+    def read(events: Column, e: Column) -> Column:
+        after = first(F.filter(events, lambda x: x["tag"].isNull() & (x["open"] == e["close"] + 1)))
+        return F.struct(leading_text(events, e).alias("lead"), F.coalesce(e["attrs"]["href"], F.lit("")).alias("href"),
+                        F.coalesce(F.regexp_replace(after["text"], r"(?U)^\s+|\s+$", ""), F.lit("")).alias("tail"))
+
+    def read_first(events: Column, places: Column) -> Column:
+        offset = F.try_element_at(events, F.lit(1))["at"] - 1
+        return let(first(places), lambda at: F.when(at.isNotNull(), read(events, F.try_element_at(events, at - offset))))
+
+    def asked(s: str) -> Column:
+        return F.coalesce(F.array_contains(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in PARTS]), s), F.lit(False))
+
+    ev, doc = F.col("events"), F.col("xml").cast("string")
+    main = _by_value(F.col(ITEMS), {s: _places(doc, s) for s in mains}, "array<int>")
+    # an item is its events and its part of the XML; what follows looks at these only
+    item = lambda at: F.struct(F.slice(ev, at, F.try_element_at(ev, at)["size"] + 1).alias("own"),
+                               F.substring(F.col("xml"), F.col("begins")[at - 1], F.col("sizes")[at - 1]).cast("string").alias("xml"))
+    keep = ["site_name", "page_id", *PARTS]
+    x = marked.withColumn("mains", main)
+    x = x.withColumn("on_page", F.array(*[F.when(asked(s), read_first(ev, _places(doc, s))) for s in on_page]).cast(f"array<{element}>"))
+    x = x.select(*keep, "on_page", F.posexplode(F.transform("mains", item)).alias("item_no", "item"))
+    x = x.withColumn("in_item", F.array(*[F.when(asked(s), read_first(F.col("item.own"), _places(F.col("item.xml"), s))) for s in in_item])
+                     .cast(f"array<{element}>"))
+    at = {s: F.col("on_page")[i] for i, s in enumerate(on_page)} | {s: F.col("in_item")[i] for i, s in enumerate(in_item)}
+    for c in PARTS:
+        x = x.withColumn(f"_{c}", _by_value(F.col(c), at, element))
+    lead = lambda c: F.coalesce(F.col(f"_{c}.lead"), F.lit(""))
+    href = F.coalesce(F.col("_href_xpath.href"), F.lit(""))
+    tail = F.coalesce(F.col("_href_xpath.tail"), F.lit(""))
+    return x.select("site_name", "page_id", "item_no", lead("title_xpath").alias("title"), lead("text_xpath").alias("text"),
+                    lead("city_xpath").alias("city"), lead("date_xpath").alias("date_str"), href.alias("href"),
+                    F.when(href == "", tail).otherwise("").alias("href2"))
