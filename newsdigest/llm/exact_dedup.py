@@ -13,6 +13,7 @@ text are reported once per row, with the same decision. An empty batch gives an
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,8 @@ from .common import SPACE, cut, shared_path
 
 #: Buckets of a new index. At 100 TB choose thousands: one bucket should fit a task.
 BUCKETS = 48
+#: Batches by id in which the query loads its table into a new index.
+BATCHES = 2
 
 
 def text_digest(text: Column) -> Column:
@@ -57,6 +60,27 @@ class DigestIndex:
 
         Returns doc_id, keep_id, group_size (rows of this batch with the text), kept, text_sha256.
         """
+        return _decisions(*self._load(docs, id_col, text_col))
+
+    def dedup_in_ranges(self, docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Like :meth:`dedup`, but ``docs`` comes as that many batches by ranges of the id, smallest ids first and rows
+        without an id last, so that each batch meets what the earlier ones left in the index. ``group_size`` counts the
+        rows of all batches. Ranges end at approximate quantiles; equal ids are in one batch."""
+        at = [i / batches for i in range(1, batches)]
+        ends = docs.agg(F.percentile_approx(id_col, at, 10_000)).first()[0] or []
+        ends = sorted(set(ends))
+        key = F.col(id_col)
+        ranges = [F.lit(True) if not ends else key < ends[0]]
+        ranges += [(key >= a) & (key < b) for a, b in zip(ends, ends[1:], strict=False)]
+        if ends:
+            ranges.append((key >= ends[-1]) | key.isNull())
+        loads = [self._load(docs.filter(r), id_col, text_col) for r in ranges]
+        digests, decided = (functools.reduce(DataFrame.unionByName, side) for side in zip(*loads, strict=True))
+        decided = decided.groupBy("text_sha256").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        return _decisions(digests, cut(decided, "decided"))
+
+    def _load(self, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+        """Adds a batch to the index; its rows' digests, and each digest's keep_id and rows in the batch."""
         digests = cut(docs.select(F.col(id_col).alias("doc_id"),
                                   text_digest(F.col(text_col)).alias("text_sha256")), "digests")
         groups = digests.groupBy("text_sha256").agg(F.min("doc_id").alias("first_id"),
@@ -69,15 +93,19 @@ class DigestIndex:
         # hot digest can be split at run time
         decided = cut(groups.join(self.read().hint("merge"), "text_sha256")
                       .select("text_sha256", "keep_id", "group_size"), "decided")
-        return (digests.join(decided, "text_sha256")
-                .select("doc_id", "keep_id", "group_size",
-                        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
+        return digests, decided
+
+
+def _decisions(digests: DataFrame, decided: DataFrame) -> DataFrame:
+    return (digests.join(decided, "text_sha256")
+            .select("doc_id", "keep_id", "group_size",
+                    F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import table
     index = DigestIndex(spark, shared_path(spark, "digest-index"))
-    return index.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return index.dedup_in_ranges(table(spark, sf_dir, "documents").select("doc_id", "text"), BATCHES)
 
 
 OP3_SQL = r"""

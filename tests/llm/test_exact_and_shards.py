@@ -38,8 +38,20 @@ def test_exact_dedup_matches_brute_force_and_its_index_persists(spark, edge):
     assert again.read().count() == before + 1
 
 
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_exact_dedup_in_ranges_equals_one_batch(spark, edge, batches):
+    """Later ranges meet the earlier ones in the index: texts that come again in each range, and rows without an id."""
+    again = spark.createDataFrame([(2000 + i, f"again {i % 7}") for i in range(60)] + [(None, "again 1"), (None, "only here")], "doc_id long, text string")
+    docs = edge.select("doc_id", "text").unionByName(again)
+    flat = lambda df: Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in rows(df))
+    index = exact_dedup.DigestIndex(spark, shared_path(spark, "index"), 4)
+    assert flat(index.dedup_in_ranges(docs, batches)) == flat(exact_dedup.DigestIndex(spark, shared_path(spark, "index"), 4).dedup(docs))
+    assert index.read().count() == index.read().distinct().count() == len({plain(r["text"]) for r in docs.collect()})
+
+
 def test_exact_dedup_of_an_empty_table(spark, empty):
     assert exact_dedup.DigestIndex(spark, shared_path(spark, "index"), 4).dedup(empty).count() == 0
+    assert exact_dedup.DigestIndex(spark, shared_path(spark, "index"), 4).dedup_in_ranges(empty, 3).count() == 0
 
 
 def check_shards(found, texts, shards):
