@@ -127,6 +127,13 @@ REPORT_DATE_HEADER = "Дата"
 REPORT_TITLE_HEADER = "Текстовка"
 REPORT_LINK_HEADER = "Ссылка"
 REPORT_NOTHING_FOUND = "Ничего не найдено"
+REPORT_HEAD = ('<head><link rel="stylesheet" href="page.css" type="text/css">'
+               '<meta http-equiv="Content-Type" content="text/html;charset=utf-8"></head>')
+REPORT_TIME_FORMAT = "dd-MM-yyyy HH:mm"
+REPORT_TABLE_END = "</table>"
+
+#: hosts whose first rule selector takes the article's path in an attribute
+PATH_ATTRIBUTES = {"vz.ru": "data-url"}
 
 #: digest strings
 DIGEST_SINGLES_HEADER = "News without duplicates:"

@@ -50,25 +50,11 @@ def rank_within_group(df: DataFrame, group_col: str, order_cols: list, name: str
     pieces = tagged.groupBy("_pid", group_col).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.partitionBy(group_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select("_pid", group_col, "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (tagged.join(offsets, ["_pid", group_col])
+    offsets = offsets.withColumnsRenamed({"_pid": "_opid", group_col: "_ogroup"})
+    same = (F.col("_pid") == F.col("_opid")) & F.col(group_col).eqNullSafe(F.col("_ogroup"))  # null is a group too
+    return (tagged.join(offsets, same)
             .withColumn(name, F.col("_off") + (F.col("_mid") - F.col("_m0")) + 1)
-            .drop("_pid", "_mid", "_m0", "_off"))
-
-
-#: groups up to this size are ranked with a window partitioned by the group (one task
-#: sorts at most this many narrow rows); a larger group switches to rank_within_group
-WINDOW_GROUP_LIMIT = 2_000_000
-
-
-def rank_in_groups(df: DataFrame, group_col: str, order_cols: list, name: str,
-                   group_sizes: DataFrame, size_col: str) -> DataFrame:
-    """Skew-aware choice between a window partitioned by the group (every group is
-    bounded) and :func:`rank_within_group` (some group is hot). ``group_sizes`` holds
-    one row per group; only its maximum reaches the driver."""
-    biggest = group_sizes.agg(F.max(size_col)).first()[0] or 0
-    if biggest <= WINDOW_GROUP_LIMIT:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(group_col).orderBy(*order_cols)).cast("long"))
-    return rank_within_group(df, group_col, order_cols, name)
+            .drop("_pid", "_mid", "_m0", "_off", "_opid", "_ogroup"))
 
 
 def netloc_of(url) -> Column:
@@ -89,15 +75,14 @@ def interleave_domains(items: DataFrame, url_col: str = "url", pos_col: str = "p
     """Round-robin over hosts. Hosts are ranked by item count (desc), ties by first
     appearance; round ``r`` takes the ``r``-th item of every host that still has one.
 
-    The rank inside a host comes from :func:`rank_in_groups`: a window per host while
-    every host is bounded, :func:`rank_within_group` when a host is hot (a host holding
-    a third of all rows is then split over many partitions, not one window partition). The host
+    The rank inside a host comes from :func:`rank_within_group`: a host holding
+    a third of all rows is split over many partitions. The host
     counts are a partial aggregate, one row per host, joined back. The output key is
     ``(round, -count, first position)``."""
     with_host = items.withColumn("netloc", netloc_of(F.col(url_col)))
     hosts = (with_host.groupBy("netloc")
              .agg(F.count(F.lit(1)).alias("_cnt"), F.min(pos_col).alias("_first")))
-    ranked = rank_in_groups(with_host, "netloc", [F.col(pos_col)], "round", hosts, "_cnt")
+    ranked = rank_within_group(with_host, "netloc", [F.col(pos_col)], "round")
     # hosts in visiting order (count desc, first appearance); one row per host
     hosts = global_row_number(hosts, [F.col("_cnt").desc(), F.col("_first")], "_hrank")
     out = ranked.join(hosts, "netloc")

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import strip_ws
-from ..config import (HISTORY_DATE_FORMAT, REPORT_DATE_HEADER, REPORT_LINK_HEADER, REPORT_NOTHING_FOUND,
-                      REPORT_TITLE_HEADER)
+from ..session import cut_to_parquet
+from ..config import (HISTORY_DATE_FORMAT, REPORT_DATE_HEADER, REPORT_HEAD, REPORT_LINK_HEADER, REPORT_NOTHING_FOUND,
+                      REPORT_TABLE_END, REPORT_TIME_FORMAT, REPORT_TITLE_HEADER)
 
 
 def new_items(items: DataFrame, state: DataFrame, keys=("site_name", "href2")) -> DataFrame:
@@ -59,12 +60,10 @@ def read_day(spark, path: str, run_date, day_col: str = "run_date") -> DataFrame
 def report_rows(sites: DataFrame, state: DataFrame) -> DataFrame:
     """K1 + J6: every configured site in config order with its items sorted by link; a
     'nothing found' row for a site without items. Returns (site_pos, site_name, row_no,
-    date, title, href2, cell_html) where row_no orders items inside a site; the sort is
-    per site (window partitioned by site), never global."""
-    from .ordering import rank_in_groups
+    date, title, href2, cell_html) where row_no orders items inside a site."""
+    from .ordering import rank_within_group
     st = state.select("site_name", "href2", "date", "title")
-    sizes = st.groupBy("site_name").agg(F.count(F.lit(1)).alias("_n"))
-    items = rank_in_groups(st, "site_name", [F.col("href2")], "row_no", sizes, "_n")
+    items = rank_within_group(st, "site_name", [F.col("href2")], "row_no")
     j = sites.select("site_pos", "site_name").join(items, "site_name", "left")
     row = F.coalesce(F.col("row_no"), F.lit(0))
     cell = F.when(
@@ -110,16 +109,21 @@ def parse_history(lines: DataFrame, run_date, value_col: str = "value") -> DataF
             .filter(F.col("url").isNotNull()))
 
 
-def write_report(report: DataFrame, sites_header: DataFrame, path: str, run_date) -> None:
-    """K1 sink: the day's report as text lines under ``run_date=<day>``: one header line
-    per configured site, then its cells, in site order then link order. The sort is a
+def write_report(report: DataFrame, sites_header: DataFrame, path: str, run_date, run_time: str | None = None) -> None:
+    """K1 sink: the day's report as text lines under ``run_date=<day>``: the page's head and the run's time
+    (``run_time`` as ``dd-MM-yyyy HH:mm``; the day at midnight without one), then one header line
+    per configured site, its cells and the end of its table, in site order then link order. The sort is a
     range sort (no single-partition step); part files are written in order."""
     spark = report.sparkSession
-    heads = sites_header.select("site_pos", F.lit(-1).alias("row_no"), report_header(F.col("site_name")).alias("value"))
-    cells = report.select("site_pos", "row_no", F.col("cell_html").alias("value"))
-    lines = heads.unionByName(cells).withColumn("run_date", F.lit(run_date))
+    heads = sites_header.select(F.lit(1).alias("part"), "site_pos", F.lit(-1).cast("long").alias("row_no"), report_header(F.col("site_name")).alias("value"))
+    ends = sites_header.select(F.lit(1).alias("part"), "site_pos", F.lit(2**63 - 1).alias("row_no"), F.lit(REPORT_TABLE_END).alias("value"))
+    cells = report.select(F.lit(1).alias("part"), "site_pos", F.col("row_no").cast("long").alias("row_no"), F.col("cell_html").alias("value"))
+    at = F.lit(run_time) if run_time else F.date_format(F.lit(run_date).cast("timestamp"), REPORT_TIME_FORMAT)
+    top = spark.range(2).select(F.lit(0).alias("part"), F.lit(None).cast("long").alias("site_pos"), F.col("id").alias("row_no"),
+                                F.when(F.col("id") == 0, F.lit(REPORT_HEAD)).otherwise(F.format_string("<h2>%s</h2>", at)).alias("value"))
+    lines = top.unionByName(heads).unionByName(cells).unionByName(ends).withColumn("run_date", F.lit(run_date))
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (lines.orderBy("site_pos", "row_no").select("run_date", "value")
+    (lines.orderBy("part", "site_pos", "row_no").select("run_date", "value")
      .write.mode("overwrite").partitionBy("run_date").text(path))
 
 
@@ -145,19 +149,23 @@ def read_history(spark, path: str, run_date) -> DataFrame:
 
 def read_report(spark, path: str, run_date) -> DataFrame:
     """S9 + J8 for the K1 sink: (site_name, href2, date, title) of the run day's report. A cell belongs to the last
-    site header before it; a file that begins in a site's cells goes on with the last header of the files
-    before, of which one row each is enough."""
-    files = (spark.read.option("wholetext", True).text(path).where(F.col("run_date") == F.lit(run_date))
-             .select(F.col("_metadata.file_name").alias("file"), F.split("value", "\n").alias("lines")))
-    lines = files.select("file", F.posexplode("lines").alias("line_no", "value"))
-    site = F.regexp_extract("value", "<h2>(.*?)</h2>", 1)
-    lines = lines.withColumn("site", F.when(F.col("value").startswith("<h2>"), site))
-    in_file = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    last = lines.groupBy("file").agg(F.max_by("site", F.when(F.col("site").isNotNull(), F.col("line_no"))).alias("last"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.select("file", F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    site header before it. Files are read line by line in splits, so a report may be of any size: a line's place is
+    its file, its split's first byte and its turn there. Inside a split the last header is carried forward; a split that
+    begins in a site's cells goes on with the last header of the splits before, of which one row each is enough. The page's first
+    header is the run's time, not a site."""
+    lines = spark.read.text(path).where(F.col("run_date") == F.lit(run_date)).select(
+        "run_date", "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("turn"))
+    lines = lines.withColumn("site", F.when(F.col("value").startswith("<h2>"), F.regexp_extract("value", "<h2>(.*?)</h2>", 1)))
+    split = ["file", "start"]
+    lines = cut_to_parquet(lines.filter(F.col("site").isNotNull() | F.col("value").contains('<a href="')), "report")
+    headers = F.when(F.col("site").isNotNull(), F.col("turn"))
+    last = lines.groupBy("run_date", *split).agg(F.max_by("site", headers).alias("last"))
+    earlier = Window.partitionBy("run_date").orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    last = last.select(*split, F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    in_split = Window.partitionBy(*split).orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     cells = F.regexp_extract_all("value", F.lit("<th>(.*?)</th>"), 1)
-    return (lines.withColumn("in_file", F.last("site", ignorenulls=True).over(in_file)).join(last, "file")
+    return (lines.withColumn("in_split", F.last("site", ignorenulls=True).over(in_split)).join(last, split)
             .filter(F.col("value").contains('<a href="'))
-            .select(F.coalesce("in_file", "before").alias("site_name"), F.regexp_extract("value", '<a href="([^"]*)"', 1).alias("href2"),
+            .select(F.coalesce("in_split", "before").alias("site_name"), F.regexp_extract("value", '<a href="([^"]*)"', 1).alias("href2"),
                     F.element_at(cells, 1).alias("date"), F.element_at(cells, 2).alias("title")))

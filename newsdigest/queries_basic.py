@@ -266,10 +266,9 @@ def q_text_fallback(spark, sf):
     blank-stripped to nothing; both empty -> the row is dropped."""
     from .functions.text import text_fallback
     c = _t(spark, sf, "conversations")
-    # the next turn of the same conversation: skew-aware in-conversation ranks, then an
+    # the next turn of the same conversation: skew-safe in-conversation ranks, then an
     # equi-join on (conversation, rank + 1) instead of a window over a whole conversation
-    sizes = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ordering.rank_in_groups(c, "conv_id", [F.col("turn")], "_rk", sizes, "_n")
+    ranked = ordering.rank_within_group(c, "conv_id", [F.col("turn")], "_rk")
     nxt = ranked.select("conv_id", (F.col("_rk") - 1).alias("_rk"), F.col("text").alias("feed"))
     x = ranked.join(nxt, ["conv_id", "_rk"], "left") \
         .withColumn("article", F.regexp_replace("text", "^\\s+|\\s+$", ""))

@@ -12,7 +12,7 @@ from . import queries_dates as QD
 from . import queries_digest as QG
 from . import queries_sources as QS
 from .config import latin_config
-from .functions.urls import netloc
+from .functions.urls import netloc, origin
 from .operators import filters
 from .plans import digest as D
 from .plans import ingest as I
@@ -106,6 +106,81 @@ SELECT s.site_pos, s.site_name,
 FROM sites s LEFT JOIN st USING (site_name)"""
 
 
+# --- M7 from configuration, URL lists, captures and prior state --------------------------------
+
+def _run_inputs(spark, sf):
+    """Stand-ins: the pages' and the feeds' bodies as captures, URL lists with blank and wrong lines, and a state.
+
+    German pages cannot be fetched; the first attempt at French ones is an error page. Hosts of ``net`` send UTF-8 that was read as
+    ISO-8859-1 once. The state knows the English documents and the root link ``/The`` of every host."""
+    p = QS._listing_pages(spark, sf)
+    is_net = F.substring_index("site_name", ".", -1) == "net"
+    latin = F.regexp_replace("html", "[^\\x00-\\x7F]", "\u00e9")
+    html = F.when(is_net, F.decode(F.encode(latin, "UTF-8"), "ISO-8859-1")).otherwise(F.col("html"))
+    attempt = F.col("page_id") * 2
+    bad = p.filter(F.col("lang").isin("de", "fr")).select(
+        "url", attempt.alias("attempt"), F.lit(503).alias("status"), F.when(F.col("lang") == "de", F.lit("timeout")).alias("error"),
+        F.encode(F.lit("<html><nav><ul><li><a href='/down'>The down</a></li></ul></nav></html>"), "UTF-8").alias("body"))
+    good = p.filter(F.col("lang") != "de").select("url", (attempt + 1).alias("attempt"), F.lit(200).alias("status"),
+                                                  F.lit(None).cast("string").alias("error"), F.encode(html, "UTF-8").alias("body"))
+    feeds = QS._feeds(spark, sf)
+    feed_url = F.concat(F.lit("https://feeds.example.org/"), F.col("source"), F.lit("/"), F.col("page").cast("string"))
+    captures = bad.unionByName(good).unionByName(feeds.select(
+        feed_url.alias("url"), F.lit(1).cast("long").alias("attempt"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("error"),
+        F.encode("xml", "UTF-8").alias("body")))
+    own = p.select("site_name", F.explode(F.array(F.struct((F.col("page_id") * 3).alias("line_no"), F.concat(F.lit(" "), F.col("url")).alias("value")),
+                                                  F.struct((F.col("page_id") * 3 + 1).alias("line_no"), F.lit("  ").alias("value")),
+                                                  F.struct((F.col("page_id") * 3 + 2).alias("line_no"), F.lit("no url").alias("value")))).alias("l"))
+    lines = own.select("site_name", "l.line_no", "l.value").unionByName(
+        feeds.select(F.col("source").alias("site_name"), F.col("page").alias("line_no"), feed_url.alias("value")))
+    known = (_t(spark, sf, "documents").filter(F.col("lang") == "en").select(
+        F.col("source").alias("site_name"), F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"), F.col("doc_id").cast("string")).alias("href2"))
+        .unionByName(p.select("site_name", F.concat(origin(F.col("url")), F.lit("/The")).alias("href2")).distinct()))
+    state = known.select("site_name", "href2", F.lit("known").alias("title"), F.lit(str(CFG.run_day)).alias("date"), F.lit("").alias("city"),
+                         F.lit(1).alias("run_no"), F.struct(F.lit(0).cast("long").alias("line_no"), F.lit(0).alias("item_no")).alias("pos"))
+    return QS.site_config(spark, sf), lines, captures, state
+
+
+def q_ingest_sites(spark, sf):
+    sites, lines, captures, state = _run_inputs(spark, sf)
+    _, report = I.ingest_sites(sites, lines, captures, CFG, INGEST_KEYWORDS, state, run_no=2)
+    return report.select("site_pos", "site_name", "row_no", "date", "title", "href2", "cell_html")
+
+
+def sql_ingest_sites():
+    origin_sql = f"{O.scheme('url')} || '://' || {O.netloc('url')}"
+    net = f"string_split({O.netloc('url')}, '.')[-1] = 'net'"
+    seen = QS.listing_sql(source="got")
+    return f"""WITH got AS (
+  SELECT p.page_id, p.url, CASE WHEN {net.replace('url', 'p.url')} THEN regexp_replace(c.html, '[^\x00-\x7F]', '\u00e9', 'g') ELSE c.html END AS html
+  FROM pages p JOIN (SELECT url, arg_min(html, page_id) AS html FROM pages
+                     WHERE regexp_extract(html, '^<!DOCTYPE html><html lang="([^"]*)"', 1) <> 'de' GROUP BY url) c ON c.url = p.url
+  WHERE {O.is_valid_url('p.url')}),
+it AS (
+  SELECT {O.netloc('url')} AS site_name,
+    CASE WHEN {net} THEN replace(link, '\u00e9', '\u00c3\u00a9') ELSE link END AS href2, title, page_id * 3 AS line_no, item_no
+  FROM (SELECT *, {O.resolve_link(chr(39) * 2, 'href', origin_sql)} AS link FROM ({seen}))
+  WHERE date_str IN ('', '{CFG.run_day}') AND ({_kw_sql('title')} OR {_kw_sql('text')})
+  UNION ALL
+  SELECT source, link, title, page, entry_no FROM ({QS.sql_src_feed_items()}) WHERE {_kw_sql('title')} OR {_kw_sql('summary')}),
+known AS (
+  SELECT source AS site_name, {O.doc_url('source', 'doc_id')} AS href2 FROM documents WHERE lang = 'en'
+  UNION SELECT {O.netloc('url')}, {origin_sql} || '/The' FROM pages),
+st AS (
+  SELECT site_name, href2, 'known' AS title FROM known
+  UNION ALL
+  SELECT site_name, href2, arg_max(title, row(line_no, item_no)) FROM it ANTI JOIN known USING (site_name, href2) GROUP BY 1, 2),
+sites AS (
+  SELECT DISTINCT CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS site_pos, source AS site_name FROM documents
+  UNION ALL SELECT min(page_id), {O.netloc('url')} FROM pages GROUP BY 2)
+SELECT s.site_pos, s.site_name,
+  CASE WHEN st.href2 IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY s.site_name ORDER BY st.href2 NULLS FIRST) END AS row_no,
+  CASE WHEN st.href2 IS NOT NULL THEN '{CFG.run_day}' END AS date, st.title, st.href2,
+  CASE WHEN st.href2 IS NULL THEN {O.q('<th>Ничего не найдено</th><th></th></tr>')}
+       ELSE printf('<th>%s</th><th>%s</th><th><a href="%s">%s</a></th></tr>', '{CFG.run_day}', st.title, st.href2, st.href2) END AS cell_html
+FROM sites s LEFT JOIN st USING (site_name)"""
+
+
 # --- M8 with articles, dates and history --------------------------------------------------
 
 def _sent(spark, sf):
@@ -184,6 +259,7 @@ QUERIES = {
     "score_news_v1": (q_score_news_v1, sql_score_news_v1),
     "resolve_texts": (q_resolve_texts, sql_resolve_texts),
     "ingest": (q_ingest, sql_ingest),
+    "ingest_sites": (q_ingest_sites, sql_ingest_sites),
     "digest_resolved": (q_digest_resolved, sql_digest_resolved),
     "score_news_resolved": (q_score_news_resolved, sql_score_news_resolved),
     "lr_train_score": (q_lr_train_score, None),

@@ -3,11 +3,14 @@ twins where the semantics are expressible in SQL."""
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+
 from pyspark.sql import functions as F
 
 from . import oracle as O
 from .config import (LATIN_NEGATION, MESSENGER_MESSAGE_CLASSES, MESSENGER_TEXT_CLASSES, latin_config)
-from .functions.urls import origin, resolve_link
+from .functions.urls import netloc, origin, path, resolve_link
 from .operators import domains
 from .session import read_table
 from .sources import extract as X
@@ -80,22 +83,61 @@ def _generic_sql(html: str) -> str:
 
 # --- S5 listing -----------------------------------------------------------------
 
+#: Test pages: a listing item also has a place (the page's language) and a day, and the site's domain decides its selectors.
+SELECTORS = {
+    "com": {"main_xpath": "//nav//li", "title_xpath": "a", "text_xpath": "//h1", "href_xpath": "a", "city_xpath": "em[1]", "date_xpath": "em[@class='day']"},
+    "net": {"main_xpath": "//ul/li[position() > 1]", "title_xpath": ".//a", "text_xpath": "", "href_xpath": "*[1]", "city_xpath": "em[@class='city']", "date_xpath": "em[2]"},
+    "org": {"main_xpath": "/html/body/nav/ul/li", "title_xpath": "strong | a", "text_xpath": "", "href_xpath": "descendant::a", "city_xpath": "", "date_xpath": ""},
+}
+OTHER_DAY = CFG.run_day - dt.timedelta(days=1)
+
+
+def _listing_pages(spark, sf):
+    """pages with ``site_name`` and the items' place and day; the markup of French pages says the day before the run's."""
+    p = _t(spark, sf, "pages")
+    lang = F.regexp_extract("html", '^<!DOCTYPE html><html lang="([^"]*)"', 1)
+    day = F.when(lang == "fr", F.lit(str(OTHER_DAY))).otherwise(F.lit(str(CFG.run_day)))
+    more = F.concat(F.lit('</a><em class="city"> '), lang, F.lit(' <b>x</b></em><em class="day">'), day, F.lit("</em> after</li>"))
+    return p.select(netloc("url").alias("site_name"), "page_id", "url", lang.alias("lang"), F.replace(F.col("html"), F.lit("</a></li>"), more).alias("html"))
+
+
+def _page_sites(spark, sf):
+    """One configuration row per host of the pages, in order of the host's first page."""
+    p = _t(spark, sf, "pages").groupBy(netloc("url").alias("site_name")).agg(F.min("page_id").alias("site_pos"))
+    kind = F.substring_index("site_name", ".", -1)
+    names = list(SELECTORS["com"])
+    pick = lambda n: F.when(kind == "com", SELECTORS["com"][n]).when(kind == "net", SELECTORS["net"][n]).otherwise(SELECTORS["org"][n])
+    return p.select("site_pos", "site_name", F.concat(F.lit("urls/"), F.col("site_name"), F.lit(".txt")).alias("url_path"),
+                    F.lit(False).alias("rss"), F.lit(False).alias("lower_ssl_security"),
+                    F.when(kind == "net", F.lit("ISO-8859-1")).otherwise(F.lit("")).alias("encoding"), *[pick(n).alias(n) for n in names])
+
+
 def q_src_listing_items(spark, sf):
-    pages = _t(spark, sf, "pages")
-    items = X.extract_listing(pages, "li", None, "a", "a")
-    j = items.join(pages.select("page_id", "url"), "page_id")
-    return j.select("page_id", F.col("item_no").cast("long").alias("item_no"), "title",
-                    resolve_link(F.col("href2"), F.col("href"), origin(F.col("url"))).alias("href2"))
+    pages = _listing_pages(spark, sf)
+    items = X.listing_by_paths(pages, _page_sites(spark, sf)).join(pages.select("page_id", "url"), "page_id")
+    return items.select("page_id", F.col("item_no").cast("long").alias("item_no"), "title", "text", "city", "date_str",
+                        resolve_link(F.col("href2"), F.col("href"), origin(F.col("url"))).alias("href2"))
+
+
+def listing_sql(html: str = "html", source: str = "pages") -> str:
+    """Every item of the pages of ``source``, by its site's selectors: page_id, url, lang, item_no, title, text, city, date_str, href."""
+    hrefs = f"regexp_extract_all({html}, '<li><a href=\"([^\"]*)\">', 1)"
+    titles = f"regexp_extract_all({html}, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1)"
+    h1 = O.strip_ws(_strip_sql(_elem_sql(html, "h1")))
+    lang = f"regexp_extract({html}, '^<!DOCTYPE html><html lang=\"([^\"]*)\"', 1)"
+    return f"""SELECT page_id, url, lang, i - CASE WHEN kind = 'net' THEN 1 ELSE 0 END AS item_no,
+  {O.strip_ws(_unescape_sql('title'))} AS title, CASE WHEN kind = 'com' THEN h1 ELSE '' END AS text,
+  CASE WHEN kind IN ('com', 'net') THEN lang ELSE '' END AS city,
+  CASE WHEN kind NOT IN ('com', 'net') THEN '' WHEN lang = 'fr' THEN '{OTHER_DAY}' ELSE '{CFG.run_day}' END AS date_str, {_unescape_sql('href')} AS href
+FROM (SELECT page_id, url, {lang} AS lang, {h1} AS h1, string_split({O.netloc('url')}, '.')[-1] AS kind,
+             unnest({hrefs}) AS href, unnest({titles}) AS title, unnest(range(0, len({hrefs}))) AS i FROM {source})
+WHERE kind <> 'net' OR i > 0"""
 
 
 def sql_src_listing_items():
-    hrefs = "regexp_extract_all(html, '<li><a href=\"([^\"]*)\">', 1)"
-    titles = "regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1)"
     origin_sql = f"{O.scheme('url')} || '://' || {O.netloc('url')}"
-    return f"""SELECT page_id, item_no, {O.strip_ws(_unescape_sql('title'))} AS title,
-       {O.resolve_link(chr(39) * 2, 'href', origin_sql)} AS href2
-FROM (SELECT page_id, url, unnest({hrefs}) AS href, unnest({titles}) AS title,
-             unnest(range(0, len({hrefs}))) AS item_no FROM pages)"""
+    return f"""SELECT page_id, item_no, title, text, city, date_str, {O.resolve_link(chr(39) * 2, 'href', origin_sql)} AS href2
+FROM ({listing_sql()})"""
 
 
 # --- S6 / S8 / P14 / P15 article extraction ---------------------------------------
@@ -304,21 +346,28 @@ def sql_src_url_list():
             f"(SELECT page_id, {u} AS url FROM ({lines})) WHERE url <> '' AND {O.is_valid_url('url')}")
 
 
+def site_config(spark, sf):
+    """The configuration of all sites: one row per source of the documents, which are feeds, and per host of the pages."""
+    feeds = _t(spark, sf, "documents").select("source").distinct().select(
+        F.regexp_extract("source", "([0-9]+)$", 1).cast("long").alias("site_pos"), F.col("source").alias("site_name"),
+        F.concat(F.lit("urls/"), F.col("source"), F.lit(".txt")).alias("url_path"), F.lit(True).alias("rss"),
+        F.lit(False).alias("lower_ssl_security"), F.lit("").alias("encoding"), *[F.lit("").alias(n) for n in SELECTORS["com"]])
+    return feeds.unionByName(_page_sites(spark, sf))
+
+
 def q_src_site_config(spark, sf):
-    """One configuration row per source (explicit schema, config order kept)."""
-    d = _t(spark, sf, "documents").select("source").distinct()
-    return d.select(F.regexp_extract("source", "([0-9]+)$", 1).cast("int").alias("site_pos"),
-                    F.col("source").alias("site_name"),
-                    F.concat(F.lit("urls/"), F.col("source"), F.lit(".txt")).alias("url_path"),
-                    (F.col("source") == "src3").alias("rss"), F.lit(False).alias("lower_ssl_security"),
-                    F.lit("").alias("encoding"), F.lit("//nav//li").alias("main_xpath"),
-                    F.lit("a").alias("title_xpath"), F.lit("a").alias("href_xpath"))
+    return site_config(spark, sf)
 
 
 def sql_src_site_config():
-    return """SELECT DISTINCT CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS site_pos, source AS site_name,
-  'urls/' || source || '.txt' AS url_path, source = 'src3' AS rss, false AS lower_ssl_security, '' AS encoding,
-  '//nav//li' AS main_xpath, 'a' AS title_xpath, 'a' AS href_xpath FROM documents"""
+    names = list(SELECTORS["com"])
+    pick = lambda n: f"CASE kind WHEN 'com' THEN {O.q(SELECTORS['com'][n])} WHEN 'net' THEN {O.q(SELECTORS['net'][n])} ELSE {O.q(SELECTORS['org'][n])} END AS {n}"
+    return f"""SELECT DISTINCT CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS site_pos, source AS site_name,
+  'urls/' || source || '.txt' AS url_path, true AS rss, false AS lower_ssl_security, '' AS encoding, {', '.join(f"'' AS {n}" for n in names)}
+FROM documents
+UNION ALL
+SELECT site_pos, site_name, 'urls/' || site_name || '.txt', false, false, CASE kind WHEN 'net' THEN 'ISO-8859-1' ELSE '' END, {', '.join(pick(n) for n in names)}
+FROM (SELECT min(page_id) AS site_pos, {O.netloc('url')} AS site_name, string_split({O.netloc('url')}, '.')[-1] AS kind FROM pages GROUP BY 2, 3)"""
 
 
 RULE_JSON_SCHEMA = "map<string, array<struct<tag: string, attrs: map<string, string>>>>"
@@ -327,7 +376,6 @@ RULE_JSON_SCHEMA = "map<string, array<struct<tag: string, attrs: map<string, str
 def q_rules_load(spark, sf):
     """Rule documents as JSON text (one per page host), parsed with ``from_json``
     and exploded to (netloc, div_no, tag, class)."""
-    from .functions.urls import netloc
     p = _t(spark, sf, "pages").select(netloc("url").alias("host")).distinct()
     js = F.concat(F.lit('{"'), F.col("host"), F.lit('": [{"tag": "article", "attrs": {}}, '
                                                     '{"tag": "div", "attrs": {"class": "ad"}}]}'))
@@ -342,6 +390,65 @@ def sql_rules_load():
   unnest([NULL, 'ad']) AS class FROM (SELECT DISTINCT {O.netloc('url')} AS host FROM pages)"""
 
 
+#: Rule documents of the test profile.
+DOCUMENTS = {
+    "div_map": {".example.com": [["article"]], "example.net": [["article", {}]], "vz.ru": [["article", {"class": "main"}]]},
+    "extract_map": {".example.com": [["div", {"class": "ad"}]], "vz.ru": [["nav"], ["h1"]]},
+    "collect_all": [], "sub_p": ["example.net"], "ignore_header": ["example.net", "vz.ru", "unknown.example"],
+    "endswith": ["example.net", ".example.com", "example.com", "vz.ru"], "lower_ssl_security": ["vz.ru"],
+}
+
+
+def _documents(spark):
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in DOCUMENTS.items()], "name string, value string")
+
+
+def q_rules_documents(spark, sf):
+    """The rules of every host of the pages, from the seven rule documents."""
+    from .functions.urls import lookup_host
+    rules, suffixes = S.load_rules(_documents(spark))
+    hosts = _rule_pages(spark, sf).select(lookup_host("url").alias("host"), "url").groupBy("host").agg(F.min("url").alias("url"))
+    routed = domains.route_rules(domains.canonical_domain(hosts, suffixes, "url", "host"), rules)
+    flat = lambda c: F.array_join(F.transform(c, lambda d: F.concat_ws(" ", d["tag"], F.map_values(d["attrs"]))), ",")
+    return routed.select("host", "canonical", "has_rule", flat(F.col("divs")).alias("divs"), flat(F.col("drop_divs")).alias("drops"), "collect_all",
+                         "sub_p", "ignore_header", "lower_ssl_security", "attr_from_path")
+
+
+def sql_rules_documents():
+    return f"""WITH h AS (SELECT DISTINCT replace({_host_sql()}, 'example.org', 'vz.ru') AS host FROM pages),
+c AS (SELECT host, CASE WHEN ends_with(host, 'example.net') THEN 'example.net' WHEN ends_with(host, '.example.com') THEN '.example.com'
+  WHEN ends_with(host, 'example.com') THEN 'example.com' WHEN ends_with(host, 'vz.ru') THEN 'vz.ru' ELSE host END AS canonical FROM h)
+SELECT host, canonical, d.divs IS NOT NULL AS has_rule, d.divs, d.drops, d.collect_all, d.sub_p, d.ignore_header, d.lower_ssl_security, d.attr_from_path
+FROM c LEFT JOIN (VALUES ('.example.com', 'article', 'div ad', false, false, false, false, NULL),
+  ('example.net', 'article', NULL, false, true, true, false, NULL),
+  ('vz.ru', 'article main', 'nav,h1', false, false, true, true, 'data-url'))
+  AS d(canonical, divs, drops, collect_all, sub_p, ignore_header, lower_ssl_security, attr_from_path) USING (canonical)"""
+
+
+def _rule_pages(spark, sf):
+    """pages whose ``example.org`` hosts are ``vz.ru`` ones; there another article comes before the page's own, which has the
+    url's path as an attribute."""
+    p = _t(spark, sf, "pages")
+    own = F.col("url").contains("example.org")
+    html = F.replace(F.col("html"), F.lit("<article>"), F.concat(
+        F.lit('<article class="main" data-url="/other">other</article><article class="main" data-url="'), path("url"), F.lit('">')))
+    return p.select("page_id", F.replace(F.col("url"), F.lit("example.org"), F.lit("vz.ru")).alias("url"), F.when(own, html).otherwise(F.col("html")).alias("html"))
+
+
+def q_article_text_documents(spark, sf):
+    """S6 with the rules of the rule documents, one of which takes the article that has the url's path."""
+    rules, suffixes = S.load_rules(_documents(spark))
+    return X.extract_articles(_rule_pages(spark, sf), rules, suffixes).select("page_id", "canonical", "has_rule", "text")
+
+
+def sql_article_text_documents():
+    art = _elem_sql("html", "article")
+    no_h1 = f"regexp_replace(regexp_replace({art}, '(?s)<nav>.*?</nav>', '', 'g'), '(?s)<h1>.*?</h1>', '', 'g')"
+    return f"""SELECT a.page_id, CASE WHEN p.url LIKE '%example.org%' THEN 'vz.ru' ELSE a.canonical END AS canonical,
+  a.has_rule OR p.url LIKE '%example.org%' AS has_rule, CASE WHEN p.url LIKE '%example.org%' THEN {_strip_sql(no_h1)} || chr(10) ELSE a.text END AS text
+FROM ({_article_sql_body()}) a JOIN pages p USING (page_id)"""
+
+
 # --- S14, S15 captures ------------------------------------------------------------------
 
 def _captures(spark, sf):
@@ -426,6 +533,8 @@ QUERIES = {
     "src_url_list": (q_src_url_list, sql_src_url_list),
     "src_site_config": (q_src_site_config, sql_src_site_config),
     "rules_load": (q_rules_load, sql_rules_load),
+    "rules_documents": (q_rules_documents, sql_rules_documents),
+    "article_text_documents": (q_article_text_documents, sql_article_text_documents),
     "capture_select_listing": (q_capture_select_listing, sql_capture_select_listing),
     "capture_select_article": (q_capture_select_article, sql_capture_select_article),
     "decode_body": (q_decode_body, sql_decode_body),

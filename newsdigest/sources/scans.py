@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import FEED_AGGREGATOR
+from ..config import FEED_AGGREGATOR, PATH_ATTRIBUTES
 from ..functions.urls import is_valid_url, netloc, origin, strip_ws
 
 #: RSS channels and Atom feeds in one: what a document does not have is null
@@ -88,6 +88,38 @@ def xml_escape(c: Column) -> Column:
     return c
 
 
+# --- rule documents (S11) ------------------------------------------------------------
+
+_SELECTORS = "map<string, array<array<string>>>"
+RULE_DOCUMENTS = {"div_map": _SELECTORS, "extract_map": _SELECTORS, "collect_all": "array<string>", "sub_p": "array<string>",
+                  "ignore_header": "array<string>", "endswith": "array<string>", "lower_ssl_security": "array<string>"}
+
+
+def load_rules(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``documents``, (name, value) with the JSON text of the seven rule documents, as the tables of rules (one
+    row a host of ``div_map``, for ``extract_articles``, with ``lower_ssl_security`` as well) and suffix templates (ord, template).
+
+    ``div_map`` and ``extract_map`` give each host its selectors, ``[tag]`` or ``[tag, {attribute: value}]``; the others list
+    hosts. Attribute values are taken as strings. A document that is missing, null or no JSON counts as empty; hosts that
+    are not in ``div_map`` have no rule."""
+    def document(name: str) -> DataFrame:
+        return documents.filter(F.col("name") == name).select(F.from_json("value", RULE_DOCUMENTS[name]).alias("v"))
+
+    def selectors(name: str, column: str) -> DataFrame:
+        one = lambda d: F.struct(d[0].alias("tag"), F.coalesce(
+            F.from_json(F.try_element_at(d, F.lit(2)), "map<string,string>"), F.create_map().cast("map<string,string>")).alias("attrs"))
+        return (document(name).select(F.explode("v").alias("netloc", "d"))
+                .groupBy("netloc").agg(F.max_by("d", F.size("d")).alias("d")).select("netloc", F.transform("d", one).alias(column)))
+
+    rules = selectors("div_map", "divs").join(selectors("extract_map", "drop_divs"), "netloc", "left")
+    for name in ("collect_all", "sub_p", "ignore_header", "lower_ssl_security"):
+        hosts = document(name).select(F.explode("v").alias("netloc")).distinct().withColumn(name, F.lit(True))
+        rules = rules.join(hosts, "netloc", "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    paths = F.create_map(*[F.lit(x) for kv in PATH_ATTRIBUTES.items() for x in kv])
+    suffixes = document("endswith").select(F.posexplode("v").alias("ord", "template"))
+    return rules.withColumn("attr_from_path", F.try_element_at(paths, F.col("netloc"))), suffixes
+
+
 # --- captures (S14, S15) ----------------------------------------------------------
 
 def select_listing_capture(captures: DataFrame) -> DataFrame:
@@ -133,19 +165,23 @@ def decode_body(body: Column) -> Column:
     return F.coalesce(as_text, F.try_validate_utf8(inner.cast("string")), F.decode(F.coalesce(inner, body), "ISO-8859-1"))
 
 
-def repair_mojibake(text: Column, charset: str) -> Column:
+@F.pandas_udf(T.StringType())
+def _repaired(texts: pd.Series, charsets: pd.Series) -> pd.Series:
+    def one(v, charset):
+        if v is None or not charset:
+            return v
+        try:
+            return unicodedata.normalize("NFC", v).encode(charset).decode("utf-8", "ignore")
+        except UnicodeError:
+            return ""
+    return pd.Series([one(v, c) for v, c in zip(texts, charsets, strict=True)], dtype=object)
+
+
+def repair_mojibake(text: Column, charset: str | Column) -> Column:
     """Text that was UTF-8 bytes decoded with ``charset`` is composed (NFC), encoded with the charset
     again and decoded as UTF-8, without the bytes that are none. Text that the charset cannot encode
-    becomes empty."""
-    @F.pandas_udf(T.StringType())
-    def repair(s: pd.Series) -> pd.Series:
-        def one(v):
-            try:
-                return None if v is None else unicodedata.normalize("NFC", v).encode(charset).decode("utf-8", "ignore")
-            except UnicodeError:
-                return ""
-        return s.map(one)
-    return repair(text)
+    becomes empty. The charset may be a column (per-site configuration); text without one stays as it is."""
+    return _repaired(text, F.lit(charset) if isinstance(charset, str) else charset)
 
 
 def host_of(url: Column) -> Column:

@@ -184,7 +184,7 @@ def test_mojibake_repair_other_charset(spark):
 
 def test_rank_within_group_matches_window_on_a_hot_group(spark):
     from pyspark.sql import Window
-    rows = [("hot", i) for i in range(500)] + [(f"g{i % 7}", i) for i in range(500, 560)]
+    rows = [("hot", i) for i in range(500)] + [(f"g{i % 7}", i) for i in range(500, 560)] + [(None, i) for i in range(560, 600)]
     df = spark.createDataFrame(rows, "g string, pos long").repartition(5)
     got = {(r["g"], r["pos"]): r["rk"] for r in ordering.rank_within_group(df, "g", [F.col("pos")], "rk").collect()}
     want = {(r["g"], r["pos"]): r["rk"] for r in
@@ -192,8 +192,7 @@ def test_rank_within_group_matches_window_on_a_hot_group(spark):
     assert got == want
 
 
-def test_interleave_hot_host_path(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "WINDOW_GROUP_LIMIT", 0)
+def test_interleave_hosts(spark):
     urls = ["https://a/1", "https://b/1", "https://a/2", "https://c/1", "https://a/3", "https://b/2"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "pos long, url string")
     rows = ordering.interleave_domains(df).orderBy(*ordering.interleave_sort_cols()).select("pos").collect()

@@ -36,8 +36,27 @@ def test_history_and_report_sinks(spark):
     rep = state.report_rows(sites, st)
     state.write_report(rep, sites, f"{base}/report", DAY)
     lines = _lines(spark, f"{base}/report/run_date={DAY}")
-    assert lines[0].startswith("<h2>s1</h2>") and "https://s1/a" in lines[1] and "https://s1/b" in lines[2]
-    assert lines[3].startswith("<h2>s2</h2>") and "Ничего не найдено" in lines[4]
+    assert lines[0].startswith("<head>") and lines[1] == "<h2>15-01-2024 00:00</h2>"
+    assert lines[2].startswith("<h2>s1</h2>") and "https://s1/a" in lines[3] and "https://s1/b" in lines[4] and lines[5] == "</table>"
+    assert lines[6].startswith("<h2>s2</h2>") and "Ничего не найдено" in lines[7] and lines[8:] == ["</table>"]
+
+
+def test_report_is_read_back_over_many_splits(spark):
+    """Cells whose header is in an earlier split, or in an earlier file, keep their site."""
+    base = ensure_checkpoint_dir(spark).replace("file:", "") + "/report-splits"
+    sites = spark.createDataFrame([(i, f"s{i}") for i in range(4)], "site_pos int, site_name string")
+    rows = [(f"s{i % 2 * 3}", f"https://x/{i:04d}", "d", f"T{i}") for i in range(600)]
+    st = spark.createDataFrame(rows, "site_name string, href2 string, date string, title string")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        state.write_report(state.report_rows(sites, st), sites, base, DAY, "15-01-2024 09:30")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = state.read_report(spark, base, DAY).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert sorted((r.site_name, r.href2, r.date, r.title) for r in got) == sorted(rows)
 
 
 def test_model_table_round_trip(spark):
