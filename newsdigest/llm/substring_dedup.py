@@ -108,7 +108,9 @@ def anchors(w: wd.Words) -> tuple[np.ndarray, np.ndarray]:
         return starts, np.zeros(0, np.uint64)
     edge_low, edge_high = w.first[:-1] - 1, w.first[1:] + 1
     s = Symbols(w.hashes, at, at + 1, at, at + 1, w.doc_of())
+    sums = wd.prefix_sums(w.hashes)
     best = np.zeros((WINDOW, n + 1), np.uint64)  # [scope's length - 1][scope's low]
+    flat = best.reshape(-1)  # one index is many times faster than two
     for level in range(ROUNDS + 1):
         if level == 1:
             s = name_runs(s, edge_low, edge_high)
@@ -118,8 +120,8 @@ def anchors(w: wd.Words) -> tuple[np.ndarray, np.ndarray]:
         fits = np.flatnonzero((s.low >= 0) & (s.high <= n) & (size <= WINDOW))
         low, size = s.low[fits], size[fits]
         # told apart by all words of the scope; a higher round is a higher number
-        key = wd.mixed(wd.spans(w.hashes, low, low + size) + s.name[fits]) >> np.uint64(2) | np.uint64(level << 62)
-        np.maximum.at(best, (size - 1, low), key)
+        key = wd.mixed(wd.between(sums, low, low + size) + s.name[fits]) >> np.uint64(2) | np.uint64(level << 62)
+        np.maximum.at(flat, (size - 1) * (n + 1) + low, key)
     inside = best[0]
     for size in range(1, WINDOW):  # greatest of all scopes within [i, i + size]
         inside = np.maximum(np.maximum(inside, np.append(inside[1:], np.uint64(0))), best[size])

@@ -129,10 +129,19 @@ def words(text: Text, of: np.ndarray = NOT_SPACE, mapped: np.ndarray | None = No
 
 def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Polynomial hash of values[start:end] for each span, not yet mixed. For short spans only."""
+    return between(prefix_sums(values, base), starts, ends, base)
+
+
+def prefix_sums(values: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """The sums that :func:`between` takes the hashes of spans from."""
     n = len(values)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values * _powers(base, n + 1)[:n], out=sums[1:])
-    back = _powers(pow(base, -1, 1 << 64), n + 1)
+    return sums
+
+
+def between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
+    back = _powers(pow(base, -1, 1 << 64), len(sums))
     return (sums[ends] - sums[starts]) * back[starts]
 
 
