@@ -256,8 +256,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     # 1: shared anchors, by document, without the documents whose every row is a copy
     rest = whole.join(copies, ["doc_id", "tag"], "left_anti").select("doc_id")
     only_copies = copies.select("doc_id").distinct().join(rest, "doc_id", "left_anti")
-    rows = texts.filter("doc_id IS NOT NULL").mapInArrow(_anchor_rows, "anchor long, doc_id long")
-    shared = _shared(_shared(rows).join(only_copies, "doc_id", "left_anti"))
+    # a range exchange reads its input twice, for the bounds and for the rows; both inputs are cut, so that each is computed once
+    rows = cut(texts.filter("doc_id IS NOT NULL").mapInArrow(_anchor_rows, "anchor long, doc_id long"), "anchors")
+    shared = _shared(cut(_shared(rows).join(only_copies, "doc_id", "left_anti"), "shared"))
     by_doc = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
     # 2: their windows, verified
