@@ -222,12 +222,19 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = b.column(3)
         for low, high, text in wd.slices(b.column(2)):
             w = wd.words(text)
+            pairs = [places[low + d].values.flatten() for d in range(high - low)]
+            doc = np.repeat(np.arange(high - low), [len(x[0]) for x in pairs])
+            at, two = (np.concatenate([x[k].to_numpy() for x in pairs]) for k in (0, 1))
+            at = w.first[doc] + at
+            inside = at + WINDOW <= w.first[doc + 1]
+            doc, at, two = doc[inside], at[inside], two[inside]
+            hit = fingerprints(w, at)[1] == two
+            doc, at = doc[hit], at[hit]
+            edge = np.searchsorted(doc, np.arange(high - low + 1))
             counts, hashes = [], []
             for d in range(high - low):
                 n = int(w.first[d + 1] - w.first[d])
-                place, two = (x.to_numpy() for x in places[low + d].values.flatten())
-                place, two = place[place + WINDOW <= n], two[place + WINDOW <= n]
-                place = np.unique(place[fingerprints(w, w.first[d] + place)[1] == two])
+                place = np.unique(at[edge[d]:edge[d + 1]]) - w.first[d]
                 edges = np.zeros(n + 1, np.int64)
                 np.add.at(edges, place, 1)
                 np.add.at(edges, place + WINDOW, -1)
