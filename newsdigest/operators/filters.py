@@ -56,16 +56,6 @@ def keyword_filter(df: DataFrame, words: list[str], title_col: str = "title", te
     return df.filter(keyword_match(title_col, words) | keyword_match(text_col, words))
 
 
-def keyword_hits(df: DataFrame, words_df: DataFrame, text_col: str = "text", id_col: str = "id",
-                 word_col: str = "word") -> DataFrame:
-    """F1 for long keyword lists: (id, word) for every keyword contained in the text.
-    The word list is joined with a ``contains`` condition; Spark broadcasts it only when
-    its size is under the broadcast threshold."""
-    low = df.select(_c(id_col).alias("id"), F.lower(_c(text_col)).alias("_low"))
-    return (low.join(words_df.select(F.col(word_col).alias("word")), F.contains(F.col("_low"), F.col("word")))
-            .select("id", "word"))
-
-
 #: keyword lists longer than this are matched with an automaton per task instead of one ``contains`` per
 #: word; an automaton takes a block of at most this many keywords, and every block sees all texts
 LARGE_LIST = 50
@@ -124,6 +114,13 @@ def drop_reposts(items: DataFrame, known_urls: DataFrame | None, pos_col: str =
     repost marker is dropped when the reposted post's wall URL is the URL of another row
     on that host, or is already in the history. Left semi/anti joins only: the reposted
     URL is an equi-join key, the own-row exclusion a residual condition."""
+    hits = repost_positions(items, known_urls, pos_col, url_col, text_col)
+    return items.join(hits, pos_col, "left_anti")
+
+
+def repost_positions(items: DataFrame, known_urls: DataFrame | None, pos_col: str = "pos",
+                     url_col: str = "url", text_col: str = "text") -> DataFrame:
+    """The positions of the rows that :func:`drop_reposts` drops."""
     host_rows = items.filter(netloc(_c(url_col)) == F.lit(REPOST_HOST))
     # The marker pattern is '.*Reposted \(.*data-post-id="(.*?)".*' on the text with
     # newlines as spaces: the captured id is the last data-post-id="..." after the first
@@ -144,7 +141,7 @@ def drop_reposts(items: DataFrame, known_urls: DataFrame | None, pos_col: str =
         hit_hist = reposts.join(known_urls.select(F.col("url").alias("_hurl")),
                                 F.col("_target") == F.col("_hurl"), "left_semi")
         hits = hits.union(hit_hist.select("_rpos"))
-    return items.join(hits.withColumnRenamed("_rpos", pos_col), pos_col, "left_anti")
+    return hits.withColumnRenamed("_rpos", pos_col)
 
 
 def author_is(html, author: str = SKIPPED_AUTHOR) -> Column:

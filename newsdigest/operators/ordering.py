@@ -12,17 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_to_parquet
 
 
-def global_row_number(df: DataFrame, order_by: list, name: str = "rn") -> DataFrame:
+def global_row_number(df: DataFrame, order_by: list, name: str = "rn", drop: tuple = ()) -> DataFrame:
     """Add a 1-based row number in ``order_by`` order (ties broken by the given
-    columns only, so pass a total order). Scales: one range sort, one count per
+    columns only, so pass a total order). Columns in ``drop`` are only sorted by: they
+    are not written. Scales: one range sort, one count per
     partition, one broadcast of ``#partitions`` offsets."""
     tagged = (df.orderBy(*order_by)
               .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    tagged = cut_lineage(tagged)
+              .withColumn("_mid", F.monotonically_increasing_id()).drop(*drop))
+    tagged = cut_to_parquet(tagged, "numbered")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a bounded table, numbered with a tiny window
     offsets = counts.select(
@@ -45,7 +46,7 @@ def rank_within_group(df: DataFrame, group_col: str, order_cols: list, name: str
     tagged = (df.orderBy(F.col(group_col), *order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
-    tagged = cut_lineage(tagged)
+    tagged = cut_to_parquet(tagged, "ranked")
     # one row per (partition, group): bounded by #partitions + #groups
     pieces = tagged.groupBy("_pid", group_col).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.partitionBy(group_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -31,13 +31,22 @@ def doc_terms(df: DataFrame, id_col: str = "id", cleaned_col: str = "cleaned") -
 RAW_TOKEN = "[\\p{L}\\p{N}_]{2,}"
 
 
-def doc_terms_raw(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf) from raw text (lower-cased word runs), the v1 vectoriser input."""
-    toks = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(RAW_TOKEN), 0)
-    return (df.select(F.col(id_col).alias("id"), F.explode(toks).alias("term"))
+def raw_tokens(text_col: str = "text"):
+    """The v1 vectoriser's tokens: lower-cased word runs."""
+    return F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(RAW_TOKEN), 0)
+
+
+def token_counts(df: DataFrame, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
+    """(id, term, tf) from arrays of tokens."""
+    return (df.select(F.col(id_col).alias("id"), F.explode(tokens_col).alias("term"))
             .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
+def doc_terms_raw(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, term, tf) from raw text, the v1 vectoriser input."""
+    return token_counts(df.select(id_col, raw_tokens(text_col).alias("tokens")), id_col)
+
+
 def fit_idf(terms: DataFrame, n_docs: int | None = None) -> DataFrame:
     """(term, df, idf) fitted on a corpus of ``(id, term, tf)`` rows."""
     if n_docs is None:

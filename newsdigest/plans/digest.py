@@ -7,8 +7,11 @@ messenger link fix (P10) -> today filter (F4) -> boilerplate (P12) -> non-blank
 (J2) -> text-order index -> cosine pairs (J9) -> leader clusters (A5) -> groups (A3,
 A4) -> digest lines (K3).
 
-One lazy DataFrame up to the cleaned vectors, cut by a checkpoint (it feeds the fit,
-the scorer and the pair join); the clustering rounds are the only driver loop.
+Texts stay behind. Order, distinct texts and duplicates are decided on narrow rows: positions and
+128-bit digests of texts. The first paragraphs are fetched once for the distinct rows, to be cleaned, and
+whole texts once for the found rows, which are put in text order. Cleaned rows and vectors are
+written as Parquet (they feed the fit, the scorer and the pair join); the clustering rounds are the only
+driver loop.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from ..functions import text as T
 from ..functions.dates import with_day
 from ..functions.urls import fix_messenger_link, undo_messenger_link
 from ..operators import dedup, filters, ordering, scoring, state
-from ..session import cut_lineage, cut_to_parquet
+from ..session import cut_to_parquet
 
 
 @dataclass(frozen=True)
@@ -67,7 +70,8 @@ def with_articles(cands: DataFrame, articles: DataFrame | None) -> DataFrame:
     their own text (P13)."""
     if articles is None:
         return cands
-    found = articles.select("pos", F.col("text").alias("article"))
+    # read several times below, so it is not extracted again each time
+    found = cut_to_parquet(articles.select("pos", F.col("text").alias("article")), "articles")
     return cands.join(found, "pos", "left").withColumn("text", T.text_fallback(F.col("article"), F.col("text"))).drop("article")
 
 
@@ -80,49 +84,77 @@ def with_days(cands: DataFrame, dates: DataFrame | None, cfg: Config) -> DataFra
     return with_day(x.withColumn("date_str", F.coalesce("date_str", F.lit(""))), "date_str", "day", cfg).drop("date_str")
 
 
+def text_digest(text):
+    """128 bits of the SHA-256 of a text; null for null."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def judged_text(cfg: Config):
+    """A candidate's text without boilerplate."""
+    return T.strip_boilerplate(F.col("text"), cfg.boilerplate)
+
+
 def ordered_candidates(cands: DataFrame, known_urls: DataFrame | None) -> DataFrame:
-    """F11 then W1: reposts dropped, then each row gets its interleave order key."""
-    kept = filters.drop_reposts(cands, known_urls)
-    # the order key is computed on a narrow projection (no text is sorted or shuffled
-    # by host) and joined back on pos
-    keys = ordering.interleave_domains(kept.select("pos", "url")).select("pos", F.col("order_key").alias("order"))
-    return kept.join(keys, "pos")
-
-
-def resolved_texts(ordered: DataFrame, cfg: Config) -> DataFrame:
-    """today's rows, fixed links, boilerplate removed, one row per
-    distinct text with the URL of its first row in interleave order."""
-    x = (filters.today_filter(ordered, cfg.run_day)
-         .withColumn("url", fix_messenger_link(F.col("url")))
-         .withColumn("text", T.strip_boilerplate(F.col("text"), cfg.boilerplate)))
-    x = filters.nonblank_text(x)
-    # one pass: the first row's (pos, url) by the packed order key, combined map-side
-    return (x.groupBy("text")
-            .agg(F.min_by(F.struct("pos", "url"), F.col("order")).alias("_f"))
-            .select("text", F.col("_f.url").alias("url"), F.col("_f.pos").alias("pos")))
-
-
-def scored(distinct: DataFrame, labels: DataFrame, cfg: Config, res: TextResources):
-    """Clean, vectorise, fit the model on the labelled texts and score every text.
-    Returns (scored rows (pos, url, text, prob), vectors (id=pos, term, df, w))."""
-    cleaned = cut_lineage(distinct.withColumn("cleaned", clean_column(F.col("text"), cfg, res)))
+    """F11 then W1: (pos, order), reposts dropped, each other row with its interleave order key. No text is
+    sorted or shuffled."""
+    kept = cands.select("pos", "url").join(filters.repost_positions(cands, known_urls), "pos", "left_anti")
+    return ordering.interleave_domains(kept).select("pos", F.col("order_key").alias("order"))
+
+
+def distinct_candidates(cands: DataFrame, known_urls: DataFrame | None, cfg: Config) -> DataFrame:
+    """The position of the first row, in interleave order, of each of today's distinct texts.
+
+    Texts are told apart by their digests, which are taken at the scan; the buffer is two numbers, so a text that
+    repeats in a third of all rows is combined map-side by hashing."""
+    text = judged_text(cfg)
+    narrow = (filters.today_filter(cands, cfg.run_day)
+              .select("pos", F.when(T.has_text(text), text_digest(text)).alias("digest")).filter("digest IS NOT NULL"))
+    return (narrow.join(ordered_candidates(cands, known_urls), "pos")
+            .groupBy("digest").agg(F.min_by("pos", "order").alias("pos")).select("pos"))
+
+
+def fetch(rows: DataFrame, cands: DataFrame, **columns) -> DataFrame:
+    """rows (pos, ...) with columns that are computed from their candidates before they meet (an inner join: a
+    semi join would be moved below the columns, and whole texts shuffled)."""
+    return rows.join(cands.select("pos", *[c.alias(name) for name, c in columns.items()]), "pos")
+
+
+def resolved_texts(cands: DataFrame, known_urls: DataFrame | None, cfg: Config) -> DataFrame:
+    """The distinct candidates (pos, url, text) with whole texts and fixed links (P10)."""
+    return fetch(distinct_candidates(cands, known_urls, cfg), cands, url=fix_messenger_link(F.col("url")), text=judged_text(cfg))
+
+
+def scored(cands: DataFrame, known_urls: DataFrame | None, labels: DataFrame, cfg: Config, res: TextResources):
+    """Clean and vectorise the distinct candidates, fit the model on the labelled texts and score every text.
+    Returns (scored rows (pos, url, digest, prob), vectors (id=pos, term, df, w)); ``digest`` is that of the cleaned text."""
+    lead = T.paragraphs(judged_text(cfg))
+    lead = F.array_join(T.head(lead, cfg.head_paragraphs) if cfg.head_paragraphs else lead, "\n")
+    distinct = fetch(distinct_candidates(cands, known_urls, cfg), cands, url=fix_messenger_link(F.col("url")), lead=lead)
+    cleaned = cut_to_parquet(distinct.select("pos", "url", clean_column(F.col("lead"), cfg, res).alias("cleaned"))
+                             .withColumn("digest", text_digest(F.col("cleaned"))), "cleaned")
     terms = scoring.doc_terms(cleaned, "pos", "cleaned")
     idf = scoring.fit_idf(terms, cleaned.count())
-    vectors = cut_lineage(scoring.tfidf_vectors(terms, idf))
+    vectors = cut_to_parquet(scoring.tfidf_vectors(terms, idf), "tfidf")
     # the model fit reads the materialised vectors (id, term), not the exploded terms again
     weights, b = scoring.fit_linear_model(vectors, labels)
-    probs = scoring.lr_score(cleaned.select(F.col("pos").alias("id"), "url", "text", "cleaned"), vectors, weights, b)
+    probs = scoring.lr_score(cleaned.select(F.col("pos").alias("id"), "url", "digest"), vectors, weights, b)
     return probs.withColumnRenamed("id", "pos"), vectors
 
 
-def scored_raw(distinct: DataFrame, labels: DataFrame):
-    """Rows (id, url, text, prob) with a non-zero vector (F8) of the whole raw texts, and the vectors."""
-    distinct = cut_lineage(distinct)
-    terms = scoring.doc_terms_raw(distinct, "pos", "text")
-    vectors = scoring.tfidf_vectors(terms, scoring.fit_idf(terms, distinct.count()))
-    weights, b = scoring.fit_linear_model(terms, labels)
-    ids = scoring.nonzero_vector(distinct.select(F.col("pos").alias("id"), "url", "text"), vectors)
-    return scoring.lr_score(ids, vectors, weights, b), vectors
+def scored_raw(cands: DataFrame, known_urls: DataFrame | None, labels: DataFrame, cfg: Config):
+    """Rows (id, url, prob) with a non-zero vector (F8) of the whole raw texts, and the vectors."""
+    distinct = resolved_texts(cands, known_urls, cfg)
+    rows = cut_to_parquet(distinct.select(F.col("pos").alias("id"), "url", scoring.raw_tokens("text").alias("tokens")), "tokens")
+    terms = scoring.token_counts(rows, "id", "tokens")
+    vectors = cut_to_parquet(scoring.tfidf_vectors(terms, scoring.fit_idf(terms, rows.count())), "tfidf")
+    weights, b = scoring.fit_linear_model(vectors, labels)
+    return scoring.lr_score(scoring.nonzero_vector(rows.select("id", "url"), vectors), vectors, weights, b), vectors
+
+
+def in_text_order(found: DataFrame, cands: DataFrame, cfg: Config) -> DataFrame:
+    """found (pos, ...) with ``text_no``, the place of its text among the found ones. Only here do found rows
+    meet their texts, which are sorted by and left."""
+    return ordering.global_row_number(fetch(found, cands, text=judged_text(cfg)), [F.col("text"), F.col("pos")], "text_no", drop=("text",))
 
 
 def score_news_v1(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Config,
@@ -131,34 +163,31 @@ def score_news_v1(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg:
     vector dropped (F8), raw probability at or above the v1 threshold (F9), not yet sent
     (J2), links shown undone (P10). Returns (pos, url, prob)."""
     cands = candidates_from_documents(docs, cfg)
-    distinct = resolved_texts(ordered_candidates(cands, history), cfg)
-    probs, _ = scored_raw(distinct, labels)
-    found = scoring.threshold_v1(probs, cfg.threshold_v1)
-    found = state.unsent(found, history, "text", "id")
-    return found.select(F.col("id").alias("pos"), undo_messenger_link(F.col("url")).alias("url"), "prob")
+    probs, _ = scored_raw(cands, history, labels, cfg)
+    found = scoring.threshold_v1(probs, cfg.threshold_v1).withColumnRenamed("id", "pos")
+    found = state.unsent(in_text_order(found, cands, cfg), history, "text_no")
+    return found.select("pos", undo_messenger_link(F.col("url")).alias("url"), "prob")
 
 
 def score_news_v2(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Config,
                   res: TextResources, history: DataFrame | None = None,
                   known_urls: DataFrame | None = None, articles: DataFrame | None = None, dates: DataFrame | None = None):
-    """M5: found rows (pos, url, text, prob) with prob rounded to 3 decimals, at or above
-    the v2 threshold, not yet in the history; also returns the vectors."""
+    """M5: found rows (pos, url, digest, prob, text_no) with prob rounded to 3 decimals, at or above
+    the v2 threshold, not yet in the history, their texts' order; also returns the vectors."""
     cands = with_days(with_articles(candidates_from_documents(docs, cfg), articles), dates, cfg)
-    ordered = ordered_candidates(cands, known_urls)
-    distinct = resolved_texts(ordered, cfg)
-    probs, vectors = scored(distinct, labels, cfg, res)
+    probs, vectors = scored(cands, known_urls, labels, cfg, res)
     found = (scoring.threshold_v2(probs, cfg.threshold_v2)
              .withColumn("prob", scoring.round_prob("prob")))
     # Not in today's history; a URL is reported once, the first text in text order wins
-    # materialised once: the text-order numbering reads it twice (sample, then sort)
-    found = cut_lineage(state.unsent(found, history, "text", "pos"))
+    # materialised once: the numbering below reads it twice (sample, then sort)
+    found = cut_to_parquet(state.unsent(in_text_order(found, cands, cfg), history, "text_no"), "found")
     return found, vectors
 
 
 def digest_rows(found: DataFrame, vectors: DataFrame, cfg: Config) -> DataFrame:
     """From found rows to digest lines: text-order index, pairs, leaders, groups, lines.
     Returns (line_no, line)."""
-    indexed = ordering.global_row_number(found, [F.col("text")], "idx")
+    indexed = ordering.global_row_number(found, [F.col("text_no")], "idx")
     leaders = text_order_leaders(indexed, vectors, cfg)
     members = indexed.join(leaders, "idx").select("idx", "leader", "prob", "url")
     groups = dedup.dup_groups(members)
@@ -174,11 +203,11 @@ def text_order_leaders(indexed: DataFrame, vectors: DataFrame, cfg: Config) -> D
     group of copies that survive exact-text dedup costs one representative, not a
     quadratic number of pairs. Zero vectors never match anything and stay singletons
     (or share id -1 with ``zero_vectors_one_group``)."""
-    ids = indexed.select(F.col("pos").alias("id"), "idx", "cleaned")
+    ids = indexed.select(F.col("pos").alias("id"), "idx", "digest")
     nonzero = vectors.select("id").distinct()
     nz = ids.join(nonzero, "id", "left_semi")
-    reps = nz.groupBy("cleaned").agg(F.min("idx").alias("rep"))
-    rep_of = nz.join(reps, "cleaned").select("idx", "rep")
+    reps = nz.groupBy("digest").agg(F.min("idx").alias("rep"))
+    rep_of = nz.join(reps, "digest").select("idx", "rep")
     rep_ids = reps.select(F.col("rep").alias("idx"))
     vec = (vectors.join(nz.select("id", "idx"), "id").join(rep_ids, "idx", "left_semi")
            .select(F.col("idx").alias("id"), "term", "df", "w"))

@@ -186,7 +186,7 @@ def sql_score_news_v2():
 def _leaders(spark, sf):
     """(pos, idx, leader, prob) of the found rows (computed once per query)."""
     found, vectors = _found_and_vectors(spark, sf)
-    indexed = ordering.global_row_number(found, [F.col("text")], "idx")
+    indexed = ordering.global_row_number(found, [F.col("text_no")], "idx")
     lead = D.text_order_leaders(indexed, vectors, CFG)
     return lead.join(indexed.select("idx", "pos", "prob"), "idx")
 
@@ -241,8 +241,7 @@ FROM members"""
 def q_cosine_pairs(spark, sf):
     """J9 over all distinct documents (not only found ones): (pos_a, pos_b, cos)."""
     cands = D.candidates_from_documents(_docs(spark, sf), CFG)
-    distinct = D.resolved_texts(D.ordered_candidates(cands, None), CFG)
-    _, vectors = D.scored(distinct, _labels(spark, sf), CFG, RES)
+    _, vectors = D.scored(cands, None, _labels(spark, sf), CFG, RES)
     pairs = dedup.cosine_pairs(vectors, CFG.ksim)
     return pairs.select(F.col("a").alias("pos_a"), F.col("b").alias("pos_b"), F.round("cos", 6).alias("cos"))
 
@@ -256,8 +255,7 @@ GROUP BY a.id, b.id HAVING sum(a.w * b.w) > {CFG.ksim!r}"""
 
 def _scored(spark, sf):
     cands = D.candidates_from_documents(_docs(spark, sf), CFG)
-    distinct = D.resolved_texts(D.ordered_candidates(cands, None), CFG)
-    return D.scored(distinct, _labels(spark, sf), CFG, RES)
+    return D.scored(cands, None, _labels(spark, sf), CFG, RES)
 
 
 def q_lr_score(spark, sf):
@@ -272,7 +270,7 @@ def sql_lr_score():
 def _scored_raw(spark, sf):
     """The first scorer's rows and vectors: terms of the whole raw texts."""
     cands = D.candidates_from_documents(_docs(spark, sf), CFG)
-    return D.scored_raw(D.resolved_texts(D.ordered_candidates(cands, None), CFG), _labels(spark, sf))
+    return D.scored_raw(cands, None, _labels(spark, sf), CFG)
 
 
 def q_lr_threshold_v1(spark, sf):
@@ -348,7 +346,7 @@ def sql_tfidf():
 
 def q_distinct_texts(spark, sf):
     cands = D.candidates_from_documents(_docs(spark, sf), CFG)
-    distinct = D.resolved_texts(D.ordered_candidates(cands, None), CFG)
+    distinct = D.resolved_texts(cands, None, CFG)
     return distinct.select("pos", "url", F.length("text").cast("long").alias("n_chars"))
 
 
