@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import AUTHOR_LINK_CLASS, REPOST_HOST, REPOST_WALL_PREFIX, SKIPPED_AUTHOR
 from ..functions.text import has_text
 from ..functions.urls import netloc, strip_ws
+from ..session import cut_to_parquet
 
 REPOST_MARKER = "Reposted ("
 REPOST_MARKER_RE = "Reposted \\("
@@ -40,7 +41,7 @@ def keyword_match(text, words: list[str]) -> Column:
     """lower-cased substring of any keyword; null or '' -> False. A short list is one
     alternation of quoted literals: the text is lowered and scanned once per row, even
     when a filter pushed below a projection inlines the expression. Long lists go
-    through :func:`keyword_counts` (automaton)."""
+    through :func:`keyword_counts` (joins)."""
     if not words:
         return F.lit(False)
     pattern = "|".join(_quote(w) for w in words)
@@ -56,46 +57,66 @@ def keyword_filter(df: DataFrame, words: list[str], title_col: str = "title", te
     return df.filter(keyword_match(title_col, words) | keyword_match(text_col, words))
 
 
-#: keyword lists longer than this are matched with an automaton per task instead of one ``contains`` per
-#: word; an automaton takes a block of at most this many keywords, and every block sees all texts
-LARGE_LIST = 50
-KEYWORD_BLOCK = 1_000_000
+#: Characters of the grams that keywords and tokens are joined by.
+GRAM = 3
+
+
+def _grams(df: DataFrame, text_col: str, sizes) -> DataFrame:
+    """(text, gram): the distinct runs of so many characters of each text."""
+    def runs(n):
+        # a run that would go beyond the end is null
+        all_runs = F.transform("chars", lambda _, i: F.concat(*[F.get(F.col("chars"), i + k) for k in range(n)]))
+        return F.filter(all_runs, lambda g: g.isNotNull())
+    # a text's characters are a column of their own, not split again for each of them
+    chars = df.select(text_col, F.split(text_col, "").alias("chars"))
+    return chars.select(text_col, F.explode(F.array_distinct(F.concat(*[runs(n) for n in sizes]))).alias("gram"))
+
+
+def _held_pieces(pieces: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(token, piece): the tokens that hold a piece. Of each piece the gram that the fewest tokens have leads to its
+    tokens; a piece with a gram that none has is in no token. A piece of fewer than ``GRAM`` characters is its own
+    gram. Only the tokens' grams that a piece has are kept, and written once: an exploded column's size is
+    unknown to the planner, a written table's is not, so nothing large is broadcast by mistake."""
+    short = F.length("piece") < GRAM
+    own = _grams(pieces.filter(~short), "piece", [GRAM]).unionByName(pieces.filter(short).select("piece", F.col("piece").alias("gram")))
+    own = cut_to_parquet(own, "keyword-grams")
+    grams = cut_to_parquet(_grams(vocabulary, "token", range(1, GRAM + 1)).join(own.select("gram").distinct(), "gram", "left_semi"), "grams")
+    held = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    least = own.join(held, "gram", "left").groupBy("piece").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
+    rarest = least.filter("m.n > 0").select(F.col("m.gram").alias("gram"), "piece")
+    return grams.join(rarest, "gram").filter(F.contains(F.col("token"), F.col("piece"))).select("token", "piece")
 
 
 def keyword_counts(df: DataFrame, words_df: DataFrame, text_col: str = "text", id_col: str = "id",
                    word_col: str = "word") -> DataFrame:
-    """F1 with a long keyword list: (id, kw_hit, n_words) where ``n_words`` counts the
-    distinct keywords contained in the lowered text. Short lists stay a built-in
-    ``exists(contains)`` expression; a long list goes block by block through ``mapInPandas``,
-    where an Aho-Corasick automaton makes the cost per text linear in its length."""
-    own = words_df.select(F.lower(strip_ws(F.col(word_col))).alias("w")).filter("w <> ''").distinct()
-    blocks = max(1, -(-own.count() // KEYWORD_BLOCK))
-    base = df.select(_c(id_col).alias("id"), _c(text_col).alias("_t"), F.lit(0).cast("long").alias("n_words"))
-    for k in range(blocks):
-        words = sorted(r.w for r in own.filter(F.pmod(F.xxhash64("w"), F.lit(blocks)) == k).collect())
-        base = _count_block(base, words)
-    return base.select("id", (F.col("n_words") > 0).alias("kw_hit"), "n_words")
-
-
-def _count_block(base: DataFrame, words: list[str]) -> DataFrame:
-    """base (id, _t, n_words) with the words that a text contains added to n_words."""
-    if not words:
-        return base
-    if len(words) <= LARGE_LIST:
-        # the lowered text is a column of its own, not recomputed inside the lambda per word
-        low = base.withColumn("_low", F.lower(F.coalesce(F.col("_t"), F.lit(""))))
-        n = F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("_low"), w)))
-        return low.select("id", "_t", (F.col("n_words") + n).alias("n_words"))
-
-    def run(batches):
-        import ahocorasick
-        auto = ahocorasick.Automaton()
-        for i, w in enumerate(words):
-            auto.add_word(w, i)
-        auto.make_automaton()
-        for pdf in batches:
-            yield pdf.assign(n_words=pdf["n_words"] + [len({i for _, i in auto.iter(t.lower())}) if t else 0 for t in pdf["_t"]])
-    return base.mapInPandas(run, base.schema)
+    """F1 with a keyword list of any size: (id, kw_hit, n_words) where ``n_words`` counts the distinct keywords
+    contained in the lowered text; null and empty texts contain none. Rows that repeat, share an id or have none get their own
+    counts.
+
+    A keyword without white space is in a text if it is in one of its tokens, so it is looked for in the
+    distinct tokens of all texts: tokens and keywords meet by the keyword's rarest gram. Of a keyword with
+    white space the longest piece is looked for, and the texts that have it are searched. All of it is joins
+    and grouped counts; neither list nor texts pass through the driver or Python."""
+    pieces = F.transform(F.split("word", "\\s+"), lambda p: F.struct(F.length(p).alias("n"), p.alias("piece")))
+    words = (words_df.select(F.lower(strip_ws(F.col(word_col))).alias("word")).filter("word <> ''").distinct()
+             .withColumn("piece", F.array_max(pieces)["piece"]))
+    words = cut_to_parquet(words, "keywords")
+    rows = df.select(_c(id_col).alias("id"), F.xxhash64(_c(text_col)).alias("tag"), F.lower(_c(text_col)).alias("low"))
+    tokens = rows.select("id", "tag", F.explode(F.array_distinct(F.split("low", "\\s+"))).alias("token")).filter("token <> ''")
+    vocabulary = cut_to_parquet(tokens.select("token").distinct(), "vocabulary")
+    hits = _held_pieces(words.select("piece").distinct(), vocabulary).join(words, "piece").select("token", "word", "piece")
+    hits = cut_to_parquet(hits, "hits")  # tokens of texts are shuffled only if these are too many to broadcast
+    found = tokens.join(hits, "token").groupBy("id", "tag", "word").agg((F.first("piece") == F.col("word")).alias("whole"))
+    found = cut_to_parquet(found, "found-words")
+    phrases = found.filter("NOT whole").select(F.col("id").alias("of"), F.col("tag").alias("of_tag"), "word")
+    of_row = F.col("id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag"))
+    inside = phrases.join(rows.distinct(), of_row).filter(F.contains(F.col("low"), F.col("word"))).select("id", "tag", "word")
+    counts = (found.filter("whole").select("id", "tag", "word").unionByName(inside)
+              .groupBy("id", "tag").agg(F.count(F.lit(1)).alias("n")))
+    counts = counts.select(F.col("id").alias("of"), F.col("tag").alias("of_tag"), "n")
+    n_words = F.coalesce("n", F.lit(0).cast("long"))
+    return (rows.join(counts, of_row, "left")
+            .select("id", (n_words > 0).alias("kw_hit"), n_words.alias("n_words")))
 
 
 def today_filter(df: DataFrame, run_day, day_col: str = "day") -> DataFrame:

@@ -208,11 +208,9 @@ def test_canonical_domain_first_template_by_order(spark):
     assert got == {1: ".example.com", 2: "example.com", 3: "example.net", 4: "other.org", 5: "example.net", 6: ""}
 
 
-def test_keyword_counts_builtin_and_automaton_agree(spark, monkeypatch):
+def test_keyword_counts(spark):
     docs = spark.createDataFrame([(1, "A Strike at the Mill; strikes again"), (2, None), (3, "calm day"),
                                   (4, "")], "id long, text string")
     words = spark.createDataFrame([("strike",), ("mill",), ("again",), ("nothing",), ("Strike",)], "word string")
-    small = {r["id"]: (r["kw_hit"], r["n_words"]) for r in filters.keyword_counts(docs, words).collect()}
-    monkeypatch.setattr(filters, "LARGE_LIST", 0)
-    big = {r["id"]: (r["kw_hit"], r["n_words"]) for r in filters.keyword_counts(docs, words).collect()}
-    assert small == big == {1: (True, 3), 2: (False, 0), 3: (False, 0), 4: (False, 0)}
+    got = {r["id"]: (r["kw_hit"], r["n_words"]) for r in filters.keyword_counts(docs, words).collect()}
+    assert got == {1: (True, 3), 2: (False, 0), 3: (False, 0), 4: (False, 0)}
