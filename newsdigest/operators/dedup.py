@@ -5,13 +5,18 @@ Cosine pairs use an exact prefix filter (all-pairs similarity search): terms of
 unit vector are ordered rarest first (global order: ``df``, then term) and a term is
 indexed while the squared norm of the rest of the vector, this term included, exceeds
 ``ksim^2``. Two vectors with ``cos > ksim`` must share an indexed term on both sides,
-so the candidate join touches only short posting lists; every candidate is then
-verified with the full dot product. No pair is capped or sampled.
+so the candidate join touches only short posting lists. Where two rows meet, the norms of both
+rests and the sketches of both vectors (:func:`sketches`) bound the cosine before anything is
+shuffled by pair; every candidate left is then verified with the full dot product. No pair is capped or sampled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, cut_to_parquet
@@ -30,21 +35,50 @@ def distinct_texts(df: DataFrame, text_col: str = "text", url_col: str = "url",
             .select(F.col(text_col), F.col("_first.url").alias(url_col), F.col("_first.pos").alias(pos_col)))
 
 
-def prefix_terms(vectors: DataFrame, ksim: float) -> DataFrame:
-    """The indexed prefix of every vector: (id, term, w, k, rest) where ``k`` is the
-    term's position in the global order and ``rest`` the norm of the vector strictly
-    after it. The rest-of-vector norm comes from a running sum (one pass per document),
+#: Buckets of a sketch, in words of 64 bits.
+SKETCH_WORDS = 8
+
+
+def sketches(vectors: DataFrame, ksim: float) -> DataFrame:
+    """(id, bits, need) of every vector: its terms are hashed to buckets, ``bits`` says which of them hold a term, and
+    ``need`` is the least number of buckets that hold more than ``ksim^2`` of its squared norm. Two unit vectors with
+    ``cos > ksim`` have at least that many buckets in common, for either's ``need``: the cosine is at most the product of the norms of
+    what the two have there (Cauchy-Schwarz)."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(64 * SKETCH_WORDS)).cast("int")
+    # dealt by id once; both groupings stay in their partitions
+    masses = (vectors.select("id", bucket.alias("bucket"), (F.col("w") * F.col("w")).alias("m")).repartition("id")
+              .groupBy("id", "bucket").agg(F.sum("m").alias("m")))
+    word = lambda j: F.coalesce(F.bit_or(F.expr(
+        f"CASE WHEN bucket div 64 = {j} THEN shiftleft(1L, bucket % 64) END")), F.lit(0).cast("long"))
+    heavy = F.sort_array(F.collect_list("m"), asc=False)
+    need = F.aggregate(heavy, F.struct(F.lit(0.0).alias("m"), F.lit(0).alias("n")),
+                       lambda s, m: F.when(s["m"] > F.lit(ksim * ksim - _EPS), s).otherwise(
+                           F.struct((s["m"] + m).alias("m"), (s["n"] + 1).alias("n"))), lambda s: s["n"])
+    return masses.groupBy("id").agg(F.array(*[word(j) for j in range(SKETCH_WORDS)]).alias("bits"), need.alias("need"))
+
+
+def may_be_similar(bits_a: Column, need_a: Column, bits_b: Column, need_b: Column) -> Column:
+    """False only for two vectors whose sketches rule ``cos > ksim`` out."""
+    common = sum((F.bit_count(bits_a[j].bitwiseAND(bits_b[j])) for j in range(SKETCH_WORDS)), F.lit(0))
+    return common >= F.greatest(need_a, need_b)
+
+
+def prefix_terms(vectors: DataFrame, ksim: float, sketched: DataFrame | None = None) -> DataFrame:
+    """The indexed prefix of every vector: (id, term, w, reach, rest, bits, need) where ``rest`` is the norm of the vector
+    strictly after the term in the global order, ``reach`` that with the term, and ``bits`` and ``need`` are the vector's sketch.
+    The rest-of-vector norm comes from a running sum (one pass per document),
     not an unbounded-following frame. ``df`` only orders the terms: it may come from a stored
     model, so it does not tell which terms are shared here."""
     w = Window.partitionBy("id")
     run = Window.partitionBy("id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
     sq = F.col("w") * F.col("w")
-    return (vectors.withColumn("_tot", F.sum(sq).over(w))
-            .withColumn("_run", F.sum(sq).over(run))
-            .withColumn("_rest", F.col("_tot") - F.col("_run") + sq)
-            .filter(F.col("_rest") > F.lit(ksim * ksim - _EPS))
-            .select("id", "term", "w", F.struct("df", "term").alias("k"),
-                    F.sqrt(F.greatest(F.col("_tot") - F.col("_run"), F.lit(0.0))).alias("rest")))
+    prefix = (vectors.withColumn("_tot", F.sum(sq).over(w))
+              .withColumn("_run", F.sum(sq).over(run))
+              .withColumn("_rest", F.col("_tot") - F.col("_run") + sq)
+              .filter(F.col("_rest") > F.lit(ksim * ksim - _EPS))
+              .select("id", "term", "w", F.sqrt("_rest").alias("reach"),
+                      F.sqrt(F.greatest(F.col("_tot") - F.col("_run"), F.lit(0.0))).alias("rest")))
+    return prefix.join(sketches(vectors, ksim) if sketched is None else sketched, "id")
 
 
 def cosine_pairs(vectors: DataFrame, ksim: float) -> DataFrame:
@@ -52,44 +86,72 @@ def cosine_pairs(vectors: DataFrame, ksim: float) -> DataFrame:
 
     ``vectors``: (id, term, df, w), unit-norm per id, ``df`` a global term order.
 
-    Candidates come from the prefix join. Every shared term up to the last shared
-    prefix term ``t*`` is in both prefixes, so the join yields the exact partial dot
+    Candidates come from the prefix join. The first term that two vectors share bounds their cosine by the product of what is left
+    of both from there on (``reach``), so rows of the join whose product is no more than ``ksim`` go: they are the last ones of a
+    pair, or all of them. What is left of a pair is every shared term up to some ``t*``, so its sum is the exact partial dot
     product ``S`` over them; the rest is at most ``rest_a(t*) * rest_b(t*)``
     (Cauchy-Schwarz). Candidates with ``S + rest_a * rest_b <= ksim`` are pruned, those
     whose remainder bound is zero are exact, and only the others are verified with the
     full dot product."""
-    pref = prefix_terms(vectors, ksim)
+    pref = cut_to_parquet(prefix_terms(vectors, ksim), "prefix")
     return similar_pairs(vectors, pref, pref, ksim)
 
 
 def similar_pairs(vectors: DataFrame, left: DataFrame, right: DataFrame, ksim: float) -> DataFrame:
     """The pairs ``a < b`` with ``cos(a, b) > ksim`` whose ``a`` is in ``left`` and whose ``b`` is in ``right``, both of them
     rows of :func:`prefix_terms`."""
-    p = left.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"), "k", F.col("rest").alias("ra"))
-    q = right.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"), F.col("rest").alias("rb"))
-    cand = (p.join(q, "term").where(F.col("a") < F.col("b"))
-            .groupBy("a", "b")
-            .agg(F.sum(F.col("wa") * F.col("wb")).alias("s"),
-                 F.max_by(F.col("ra") * F.col("rb"), F.col("k")).alias("tail")))
-    cand = cand.filter(F.col("s") + F.col("tail") > F.lit(ksim - _EPS))
+    side = lambda d, n: d.select(F.col("id").alias(n), "term", *[F.col(c).alias(c + n) for c in ("w", "reach", "rest", "need", "bits")])
+    met = side(left, "a").join(side(right, "b"), "term").where(
+        (F.col("a") < F.col("b")) & (F.col("reacha") * F.col("reachb") > F.lit(ksim - _EPS))
+        & may_be_similar(F.col("bitsa"), F.col("needa"), F.col("bitsb"), F.col("needb")))
+    # the rests shrink along the order: their least product is that of the last shared term
+    cand = (met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"), F.min(F.col("resta") * F.col("restb")).alias("tail"))
+            .filter(F.col("s") + F.col("tail") > F.lit(ksim - _EPS)))
+    cand = cut_to_parquet(cand, "candidates")
     exact = cand.filter(F.col("tail") <= F.lit(0.0)).select("a", "b", F.col("s").alias("cos"))
     dots = dot_products(cand.filter(F.col("tail") > F.lit(0.0)).select("a", "b"), vectors)
     return exact.unionByName(dots).filter(F.col("cos") > F.lit(ksim))
 
 
+#: Pairs that are verified together, about: those of a block of rows ``a`` and a block of rows ``b``.
+CELL_PAIRS = 4096
+
+
 def dot_products(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(a, b, cos) of the pairs (a, b) that share a term."""
-    va = vectors.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
-    vb = vectors.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
-    return (pairs.join(va, "a").join(vb, ["b", "term"])
-            .groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos")))
+    """(a, b, cos) of distinct pairs (a, b). Rows are dealt to blocks by their ids, and the pairs of two blocks make a cell. A vector
+    goes once to every cell that has a pair of it, not once to every pair: m similar rows have up to m * m pairs."""
+    blocks = max(1, math.ceil(math.sqrt(pairs.count() / CELL_PAIRS)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    celled = pairs.select((block("a") * blocks + block("b")).alias("cell"), "a", "b")
+    wanted = celled.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
+    rows = vectors.join(wanted.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("v"))
+    rows = wanted.join(rows, "id").select(F.col("cell").alias("of"), "id", F.col("v.term").alias("terms"), F.col("v.w").alias("ws"))
+    return celled.groupBy("cell").cogroup(rows.groupBy("of")).applyInPandas(_cell_dots, "a long, b long, cos double")
+
+
+def _cell_dots(pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    if pairs.empty or rows.empty:
+        return pd.DataFrame({"a": [], "b": [], "cos": []}).astype({"a": "int64", "b": "int64", "cos": "float64"})
+    ends = np.cumsum([len(t) for t in rows["terms"]])
+    codes, known = pd.factorize(np.concatenate(rows["terms"].to_list()))
+    vector = dict(zip(rows["id"], zip(np.split(codes, ends[:-1]), rows["ws"], strict=True), strict=True))
+    pairs = pairs[pairs["a"].isin(vector) & pairs["b"].isin(vector)].sort_values("a")
+    dense, cos, spread = np.zeros(len(known)), [], None
+    for a, b in zip(pairs["a"], pairs["b"], strict=True):
+        if a != spread:
+            dense[:] = 0.0
+            np.add.at(dense, *vector[a])
+            spread = a
+        at, w = vector[b]
+        cos.append(float(dense[at] @ w))
+    return pairs[["a", "b"]].assign(cos=np.asarray(cos, dtype="float64"))
 
 
 #: Signatures of a vector, each of two least term hashes, that lead it to a pivot.
 SIGNATURES = 4
 
 
-def pivot_links(vectors: DataFrame, ksim: float) -> DataFrame:
+def pivot_links(vectors: DataFrame, ksim: float, sketched: DataFrame) -> DataFrame:
     """(a, b) of rows ``b`` that are similar to the smallest row with one of their signatures: vectors with most of
     their terms in common share a signature most likely, so a family of near copies mostly meets its first row
     here, a pair for each signature. Which rows are found is chance; nothing but the cost depends on it."""
@@ -98,7 +160,10 @@ def pivot_links(vectors: DataFrame, ksim: float) -> DataFrame:
     signed = cut_to_parquet(vectors.groupBy("id").agg(*least).select("id", F.explode(signature).alias("sig")), "signatures")
     first = signed.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").drop("last")
     pairs = signed.join(first, "sig").filter("a < id").select("a", F.col("id").alias("b")).distinct()
-    return dot_products(pairs, vectors).filter(F.col("cos") > F.lit(ksim)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    for n in "ab":
+        pairs = pairs.join(sketched.select(F.col("id").alias(n), F.col("bits").alias(f"bits{n}"), F.col("need").alias(f"need{n}")), n)
+    pairs = pairs.filter(may_be_similar(F.col("bitsa"), F.col("needa"), F.col("bitsb"), F.col("needb"))).select("a", "b")
+    return dot_products(cut_to_parquet(pairs, "near"), vectors).filter(F.col("cos") > F.lit(ksim)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
 
 def greedy_leaders(vectors: DataFrame, ksim: float) -> DataFrame:
@@ -111,9 +176,10 @@ def greedy_leaders(vectors: DataFrame, ksim: float) -> DataFrame:
     depend on these; they are paired with the smaller rows that may lead, and settled. Rows that follow a
     pivot are then paired with the leaders before it. So a family of m near copies costs about m pairs with its
     leader, not m * m."""
-    pref = cut_to_parquet(prefix_terms(vectors, ksim), "prefix")
+    sketched = cut_to_parquet(sketches(vectors, ksim), "sketches")
+    pref = cut_to_parquet(prefix_terms(vectors, ksim, sketched), "prefix")
     ids = cut_to_parquet(vectors.select("id").distinct(), "ids")
-    linked = cut_to_parquet(pivot_links(vectors, ksim), "pivots")
+    linked = cut_to_parquet(pivot_links(vectors, ksim, sketched), "pivots")
     whole = similar_pairs(vectors, pref, pref.join(linked.select(F.col("b").alias("id")), "id", "left_anti"), ksim)
     edges = cut_to_parquet(whole.select("a", "b", F.lit(True).alias("complete")).unionByName(linked.withColumn("complete", F.lit(False))), "edges")
     state = _settle(ids, edges)
