@@ -165,16 +165,14 @@ def decode_body(body: Column) -> Column:
     return F.coalesce(as_text, F.try_validate_utf8(inner.cast("string")), F.decode(F.coalesce(inner, body), "ISO-8859-1"))
 
 
-@F.pandas_udf(T.StringType())
-def _repaired(texts: pd.Series, charsets: pd.Series) -> pd.Series:
-    def one(v, charset):
-        if v is None or not charset:
-            return v
-        try:
-            return unicodedata.normalize("NFC", v).encode(charset).decode("utf-8", "ignore")
-        except UnicodeError:
-            return ""
-    return pd.Series([one(v, c) for v, c in zip(texts, charsets, strict=True)], dtype=object)
+@F.udf(T.StringType(), useArrow=False)  # a few rows at a time: texts may be long
+def _repaired(text, charset):
+    if text is None or not charset:
+        return text
+    try:
+        return unicodedata.normalize("NFC", text).encode(charset).decode("utf-8", "ignore")
+    except UnicodeError:
+        return ""
 
 
 def repair_mojibake(text: Column, charset: str | Column) -> Column:
