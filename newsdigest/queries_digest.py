@@ -12,7 +12,7 @@ from .functions import text as T
 from .operators import dedup, ordering, scoring
 from .operators.lexicon import mask_spans
 from .plans import digest as D
-from .session import read_table
+from .session import cut_to_parquet, read_table
 from .streaming.stream import stream_dir
 
 CFG = latin_config()
@@ -268,13 +268,13 @@ def sql_lr_score():
 
 
 def _scored_raw(spark, sf):
-    """The first scorer's rows and vectors: terms of the whole raw texts."""
+    """The first scorer's rows with a non-zero vector: terms of the whole raw texts."""
     cands = D.candidates_from_documents(_docs(spark, sf), CFG)
     return D.scored_raw(cands, None, _labels(spark, sf), CFG)
 
 
 def q_lr_threshold_v1(spark, sf):
-    probs, _ = _scored_raw(spark, sf)
+    probs = _scored_raw(spark, sf)
     return scoring.threshold_v1(probs, CFG.threshold_v1).select(F.col("id").alias("pos"), "url", F.round("prob", 6).alias("prob"))
 
 
@@ -289,12 +289,13 @@ def q_lr_score_stored(spark, sf):
     are dropped."""
     docs = _docs(spark, sf)
     english = docs.filter(F.col("lang") == "en")
-    terms = scoring.doc_terms_raw(english, "doc_id", "text")
+    terms = cut_to_parquet(scoring.doc_terms_raw(english, "doc_id", "text"), "terms")
     path = f"{stream_dir(spark, 'model')}/model"
     scoring.save_linear_model(scoring.fit_idf(terms, english.count()), *scoring.fit_linear_model(terms, _labels(spark, sf)), path)
     idf, weights, b = scoring.load_linear_model(spark, path)
-    vectors = scoring.tfidf_vectors(scoring.doc_terms_raw(docs, "doc_id", "text"), idf)
-    probs = scoring.lr_score(docs.select(F.col("doc_id").alias("id")), vectors, weights, b)
+    scored = scoring.score_counts(scoring.doc_terms_raw(docs, "doc_id", "text"), idf, weights, b)
+    none = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-b)))  # a text without a known term has a zero vector
+    probs = docs.select(F.col("doc_id").alias("id")).join(scored, "id", "left").withColumn("prob", F.coalesce("prob", none))
     return probs.select(F.col("id").alias("doc_id"), F.round("prob", 6).alias("prob"))
 
 
@@ -327,7 +328,7 @@ SELECT pos, url, round_even(prob, 3) AS prob FROM probs WHERE round_even(prob, 3
 
 
 def q_nonzero_vector(spark, sf):
-    probs, _ = _scored_raw(spark, sf)
+    probs = _scored_raw(spark, sf)
     return probs.select(F.col("id").alias("pos"), "url")
 
 
