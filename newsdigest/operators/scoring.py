@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import vector_terms
+from ..session import cut_to_parquet
 
 
 def doc_terms(df: DataFrame, id_col: str = "id", cleaned_col: str = "cleaned") -> DataFrame:
@@ -64,6 +65,54 @@ def tfidf_vectors(terms: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.select("id", "term", "df", (F.col("raw") / norm).alias("w"))
 
 
+#: Terms whose idf and weight are sent to every task, at most: those of the most documents.
+COMMON_TERMS = 1 << 16
+
+
+def bags(terms: DataFrame) -> DataFrame:
+    """(id, terms, tfs) of (id, term, tf): one row per id."""
+    return (terms.groupBy("id").agg(F.collect_list(F.struct("term", F.col("tf").cast("int").alias("tf"))).alias("e"))
+            .select("id", F.col("e.term").alias("terms"), F.col("e.tf").alias("tfs")))
+
+
+def bag_terms(packed: DataFrame) -> DataFrame:
+    """(id, term, tf) of :func:`bags`."""
+    return packed.select("id", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+
+
+def packed_vectors(packed: DataFrame, idf: DataFrame, weights: DataFrame) -> DataFrame:
+    """M1, one row per id of :func:`bags`: (id, terms, dfs, raws, norm, dot), the terms in the order of ``df``, then term. ``raws / norm``
+    are the weights of :func:`tfidf_vectors` and ``dot`` is the sum of :func:`lr_score`.
+
+    The terms of most documents, a bounded number, are sent to every task, so most rows meet their idf where their id
+    is; only rows of rarer terms are dealt by term and back."""
+    model = cut_to_parquet(idf.select("term", "df", "idf").join(weights.select("term", "weight"), "term", "left"), "model")
+    common = cut_to_parquet(model.orderBy(F.desc("df"), "term").limit(COMMON_TERMS), "common")
+    raw = F.col("tf") * F.col("idf")
+
+    def per_id(rows: DataFrame, side: str) -> DataFrame:
+        return rows.groupBy("id").agg(F.collect_list(F.struct("df", "term", raw.alias("raw"))).alias(side), F.sum(raw * raw).alias(f"{side}_square"),
+                                      F.sum(raw * F.coalesce("weight", F.lit(0.0))).alias(f"{side}_dot"))
+
+    # no term holds a space; one string is shuffled in less room than an array of strings
+    dealt = (packed.select("id", F.array_join("terms", " ").alias("line"), "tfs").repartition("id")
+             .select("id", F.split("line", " ").alias("terms"), "tfs"))
+    own = per_id(bag_terms(dealt).join(F.broadcast(common), "term"), "own")
+    rare = per_id(bag_terms(packed).join(F.broadcast(common.select("term")), "term", "left_anti").join(model, "term"), "rare")
+    none = F.array().cast("array<struct<df:bigint,term:string,raw:double>>")
+    both = lambda c: F.coalesce(f"own_{c}", F.lit(0.0)) + F.coalesce(f"rare_{c}", F.lit(0.0))
+    rows = own.join(rare, "id", "full").select("id", F.sort_array(F.concat(F.coalesce("own", none), F.coalesce("rare", none))).alias("e"),
+                                               F.sqrt(both("square")).alias("norm"), both("dot").alias("dot"))
+    return rows.select("id", F.col("e.term").alias("terms"), F.col("e.df").alias("dfs"), F.col("e.raw").alias("raws"), "norm",
+                       (F.col("dot") / F.col("norm")).alias("dot"))
+
+
+def unpacked(vectors: DataFrame) -> DataFrame:
+    """(id, term, df, w) of :func:`packed_vectors`."""
+    entry = F.arrays_zip(F.col("terms").alias("term"), F.col("dfs").alias("df"), F.col("raws").alias("raw"))
+    return vectors.select("id", "norm", F.inline(entry)).select("id", "term", "df", (F.col("raw") / F.col("norm")).alias("w"))
+
+
 def fit_linear_model(terms: DataFrame, labels: DataFrame, label_col: str = "quality"):
     """A linear model fitted in closed form (log-count ratio with add-one smoothing):
     ``weight(t) = ln((c1+1)/(n1+2)) - ln((c0+1)/(n0+2))`` over labelled documents that
@@ -91,9 +140,9 @@ def fit_linear_model(terms: DataFrame, labels: DataFrame, label_col: str = "qual
 def lr_score(ids: DataFrame, vectors: DataFrame, weights: DataFrame, intercept: float,
              id_col: str = "id") -> DataFrame:
     """M2: ``prob = 1 / (1 + exp(-(b + sum(w * weight))))`` for every id in ``ids``;
-    a zero vector scores ``sigmoid(b)``."""
-    dots = (vectors.join(weights, "term")
-            .groupBy("id").agg(F.sum(F.col("w") * F.col("weight")).alias("dot")))
+    a zero vector scores ``sigmoid(b)``. Rows of :func:`packed_vectors` bring their sums with them."""
+    dots = (vectors.select("id", "dot") if "dot" in vectors.columns else
+            vectors.join(weights, "term").groupBy("id").agg(F.sum(F.col("w") * F.col("weight")).alias("dot")))
     out = ids.join(dots, ids[id_col] == dots["id"], "left") if id_col != "id" else ids.join(dots, "id", "left")
     z = F.lit(intercept) + F.coalesce(F.col("dot"), F.lit(0.0))
     out = out.withColumn("prob", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))

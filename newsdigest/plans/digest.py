@@ -126,17 +126,17 @@ def resolved_texts(cands: DataFrame, known_urls: DataFrame | None, cfg: Config)
 
 def scored(cands: DataFrame, known_urls: DataFrame | None, labels: DataFrame, cfg: Config, res: TextResources):
     """Clean and vectorise the distinct candidates, fit the model on the labelled texts and score every text.
-    Returns (scored rows (pos, url, digest, prob), vectors (id=pos, term, df, w)); ``digest`` is that of the cleaned text."""
+    Returns (scored rows (pos, url, digest, prob), vectors (:func:`scoring.packed_vectors`, id=pos)); ``digest`` is that of the cleaned text."""
     lead = T.paragraphs(judged_text(cfg))
     lead = F.array_join(T.head(lead, cfg.head_paragraphs) if cfg.head_paragraphs else lead, "\n")
     distinct = fetch(distinct_candidates(cands, known_urls, cfg), cands, url=fix_messenger_link(F.col("url")), lead=lead)
     cleaned = cut_to_parquet(distinct.select("pos", "url", clean_column(F.col("lead"), cfg, res).alias("cleaned"))
                              .withColumn("digest", text_digest(F.col("cleaned"))), "cleaned")
-    terms = scoring.doc_terms(cleaned, "pos", "cleaned")
-    idf = scoring.fit_idf(terms, cleaned.count())
-    vectors = cut_to_parquet(scoring.tfidf_vectors(terms, idf), "tfidf")
-    # the model fit reads the materialised vectors (id, term), not the exploded terms again
-    weights, b = scoring.fit_linear_model(vectors, labels)
+    # a row per text: what follows moves bags and vectors whole, not a row per term
+    bags = cut_to_parquet(scoring.bags(scoring.doc_terms(cleaned, "pos", "cleaned")), "bags")
+    terms = scoring.bag_terms(bags)
+    weights, b = scoring.fit_linear_model(terms, labels)
+    vectors = cut_to_parquet(scoring.packed_vectors(bags, scoring.fit_idf(terms, cleaned.count()), weights), "tfidf")
     probs = scoring.lr_score(cleaned.select(F.col("pos").alias("id"), "url", "digest"), vectors, weights, b)
     return probs.withColumnRenamed("id", "pos"), vectors
 
@@ -152,10 +152,23 @@ def scored_raw(cands: DataFrame, known_urls: DataFrame | None, labels: DataFrame
     return scoring.nonzero_vector(rows.select("id", "url"), terms).join(probs, "id")
 
 
+#: Characters of a text that it is sorted by where no other text begins with them.
+TEXT_HEAD = 32
+
+
 def in_text_order(found: DataFrame, cands: DataFrame, cfg: Config) -> DataFrame:
-    """found (pos, ...) with ``text_no``, the place of its text among the found ones. Only here do found rows
-    meet their texts, which are sorted by and left."""
-    return ordering.global_row_number(fetch(found, cands, text=judged_text(cfg)), [F.col("text"), F.col("pos")], "text_no", drop=("text",))
+    """found (pos, ...) with ``text_no``, the place of its text among the found ones. Found rows meet the first characters
+    of their texts, which are sorted by and left; only rows that share them with another row meet whole texts."""
+    found = cut_to_parquet(found, "scored")  # read twice
+    text = judged_text(cfg)
+    head = F.substring(text, 1, TEXT_HEAD)
+    rows = cut_to_parquet(fetch(found.select("pos").distinct(), cands, head=head), "heads")
+    shared = rows.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("head")
+    ties = cut_to_parquet(rows.join(shared, "head", "left_semi").select("pos").distinct(), "ties")
+    alone = rows.join(ties, "pos", "left_anti").withColumn("text", F.lit(None).cast("string"))
+    tied = fetch(ties, cands, head=head, text=text)
+    places = ordering.global_row_number(alone.unionByName(tied), [F.col("head"), F.col("text"), F.col("pos")], "text_no", drop=("head", "text"))
+    return found.join(places, "pos")
 
 
 def score_news_v1(spark: SparkSession, docs: DataFrame, labels: DataFrame, cfg: Config,
@@ -205,13 +218,12 @@ def text_order_leaders(indexed: DataFrame, vectors: DataFrame, cfg: Config) -> D
     quadratic number of pairs. Zero vectors never match anything and stay singletons
     (or share id -1 with ``zero_vectors_one_group``)."""
     ids = indexed.select(F.col("pos").alias("id"), "idx", "digest")
-    nonzero = vectors.select("id").distinct()
-    nz = ids.join(nonzero, "id", "left_semi")
-    reps = nz.groupBy("digest").agg(F.min("idx").alias("rep"))
-    rep_of = nz.join(reps, "digest").select("idx", "rep")
-    rep_ids = reps.select(F.col("rep").alias("idx"))
-    vec = (vectors.join(nz.select("id", "idx"), "id").join(rep_ids, "idx", "left_semi")
-           .select(F.col("idx").alias("id"), "term", "df", "w"))
+    nz = ids.join(vectors.select("id"), "id", "left_semi")
+    reps = cut_to_parquet(nz.groupBy("digest").agg(F.min("idx").alias("rep"), F.min_by("id", "idx").alias("id")), "reps")
+    rep_of = nz.join(reps.drop("id"), "digest").select("idx", "rep")
+    # no term holds a space; one string is shuffled in less room than an array of strings
+    vec = (vectors.select("id", F.array_join("terms", " ").alias("line"), "raws", "norm").join(reps.select("id", "rep"), "id")
+           .select(F.col("rep").alias("id"), F.split("line", " ").alias("terms"), "raws", "norm"))
     rep_leaders = dedup.greedy_leaders(cut_to_parquet(vec, "vectors"), cfg.ksim).withColumnRenamed("id", "rep")
     lead_nz = rep_of.join(rep_leaders, "rep").select("idx", "leader")
     zero = indexed.select("idx").join(rep_of.select("idx"), "idx", "left_anti")

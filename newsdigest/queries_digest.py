@@ -338,7 +338,7 @@ def sql_nonzero_vector():
 
 def q_tfidf(spark, sf):
     _, vectors = _scored(spark, sf)
-    return vectors.select(F.col("id").alias("pos"), "term", "df", F.round("w", 6).alias("w"))
+    return scoring.unpacked(vectors).select(F.col("id").alias("pos"), "term", "df", F.round("w", 6).alias("w"))
 
 
 def sql_tfidf():
