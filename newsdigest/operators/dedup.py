@@ -178,8 +178,10 @@ def similar_pairs(vectors: DataFrame, left: DataFrame, right: DataFrame, ksim: f
 
 def _postings(rows: DataFrame, n: str) -> DataFrame:
     """A row for each indexed term of ``rows``, its columns but the term named for the side ``n``."""
-    entry = F.arrays_zip(F.col("terms").alias("term"), F.col("ws").alias(f"w{n}"), F.col("reach").alias(f"reach{n}"), F.col("rest").alias(f"rest{n}"))
-    return rows.select(F.col("id").alias(n), F.col("needs").alias(f"needs{n}"), F.col("bits").alias(f"bits{n}"), F.inline(entry))
+    entry = F.arrays_zip(F.col("terms").alias("term"), "ws", "reach", "rest")
+    # named after the arrays are opened: both sides of a join with itself are one shuffle
+    return rows.select("id", "needs", "bits", F.inline(entry)).select(
+        "term", F.col("id").alias(n), F.col("ws").alias(f"w{n}"), *[F.col(c).alias(c + n) for c in ("reach", "rest", "needs", "bits")])
 
 
 #: Words of 64 bits of the set of terms that is sent to every task, at most.
